@@ -6,33 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from reefpulse.functions.nulls import share, strict_sem
+from reefpulse.functions.nulls import strict_sem
 from reefpulse.functions.nulls import sem as sem_of
 from reefpulse.functions.pvalues import p_f, p_normal
-from reefpulse.operators.joining import join_null_safe
-from reefpulse.operators.ranks import exact_quantiles, running_counts, value_counts
+from reefpulse.operators.joining import join_group_row, join_null_safe
+from reefpulse.operators.ranks import counted_quantiles, quantile_aggs, running_counts, value_counts
 
 QUARTILES = ("q1", "median", "q3")
 
 
-def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Joins two results that have one row per group, or one row at all."""
-    if by:
-        return join_null_safe(left, right, by)
-    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
-
-
 def six_number(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Minimum, quartiles, median, mean, maximum and number of nulls."""
-    x = F.col(value)
-    moments = df.groupBy(*by).agg(
-        F.min(x).cast("double").alias("min"),
-        F.avg(x).alias("mean"),
-        F.max(x).cast("double").alias("max"),
-        F.count_if(x.isNull()).alias("nulls"),
+    """Minimum, quartiles, median, mean, maximum and number of nulls.
+
+    Everything comes from the counted values, so the data is read once.
+    """
+    picks, finals = quantile_aggs((0.25, 0.5, 0.75), QUARTILES)
+    ranked = running_counts(value_counts(df, value, by), by)
+    mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n"))
+    return (
+        ranked.groupBy(*by)
+        .agg(
+            *picks,
+            F.min("value").alias("min"),
+            mean.alias("mean"),
+            F.max("value").alias("max"),
+            F.sum("nulls").alias("nulls"),
+        )
+        .select("*", *finals)
+        .select(*by, "min", "q1", "median", "mean", "q3", "max", "nulls")
     )
-    quarts = exact_quantiles(df, value, (0.25, 0.5, 0.75), by, QUARTILES)
-    return _beside(moments, quarts, by).select(*by, "min", "q1", "median", "mean", "q3", "max", "nulls")
 
 
 def six_number_dates(df: DataFrame, date: str, by: Sequence[str] = ()) -> DataFrame:
@@ -62,88 +64,84 @@ def histogram(
     first and last one, zero where empty.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
-    span = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
-        "lo",
-        "hi",
-        (F.lit(float(width)) if width else F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) / (bins - 1)).alias("w"),
-    )
-    w, lo, hi = (span.select(c).scalar() for c in ("w", "lo", "hi"))
-    rows = rows.withColumns({"w": w, "lo": lo, "hi": hi})
+    lo, hi = F.min("x"), F.max("x")
+    step = F.lit(float(width)) if width else F.nullif(hi - lo, F.lit(0.0)) / (bins - 1)
+    span = rows.agg(F.struct(lo.alias("lo"), hi.alias("hi"), step.alias("w")).alias("s")).scalar()
 
     def cell(x):
-        return F.ceil((x - F.col("w") / 2) / F.col("w") - F.lit(1e-8))
+        return F.ceil((x - F.col("s.w") / 2) / F.col("s.w") - F.lit(1e-8))
 
-    first = F.floor((F.col("lo") - F.col("w") / 2) / F.col("w")) + 1
+    first = F.floor((F.col("s.lo") - F.col("s.w") / 2) / F.col("s.w")) + 1
+    last = F.greatest(cell(F.col("s.hi")), first)
     counted = (
-        rows.withColumn("bin", F.greatest(cell(F.col("x")), first))
+        rows.withColumn("s", span)
+        .withColumn("bin", F.greatest(cell(F.col("x")), first))
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = span.select("w", F.explode(F.sequence(first, F.greatest(cell(F.col("hi")), first))).alias("bin"))
-    if by:
-        groups = counted.select(*by).distinct()
-        cells = edges.agg(F.collect_list("bin").alias("cells")).scalar()
-        grid = groups.withColumn("bin", F.explode(cells)).withColumn("w", w)
-    else:
-        grid = edges
+    groups = counted.select(*by).distinct() if by else counted.agg(F.count(F.lit(1)).alias("__cells"))
+    grid = groups.withColumn("s", span).select(*by, "s", F.explode(F.sequence(first, last)).alias("bin"))
     full = join_null_safe(grid, counted, [*by, "bin"])
     return full.select(
         *by,
-        (F.col("bin") * F.col("w")).alias("center"),
-        ((F.col("bin") - 0.5) * F.col("w")).alias("xmin"),
-        ((F.col("bin") + 0.5) * F.col("w")).alias("xmax"),
+        (F.col("bin") * F.col("s.w")).alias("center"),
+        ((F.col("bin") - 0.5) * F.col("s.w")).alias("xmin"),
+        ((F.col("bin") + 0.5) * F.col("s.w")).alias("xmax"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"),
     )
 
 
-def _with_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    quarts = exact_quantiles(df, value, (0.25, 0.5, 0.75), by, QUARTILES)
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = quarts.withColumns({"__low": F.col("q1") - reach, "__high": F.col("q3") + reach})
-    rows = df.filter(F.col(value).isNotNull())
-    return join_null_safe(rows, fences, by).withColumn("__inner", F.col(value).between(F.col("__low"), F.col("__high")))
+def _counted_with_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Counted values beside their group's quartiles, with ``inner`` for those
+    within 1.5 quartile ranges of the box."""
+    counted = value_counts(df.filter(F.col(value).isNotNull()), value, by)
+    box = counted_quantiles(counted, (0.25, 0.5, 0.75), by, QUARTILES)
+    reach = (F.col("q3") - F.col("q1")) * 1.5
+    inner = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    return join_group_row(counted, box, by, "value").withColumn("inner", inner)
 
 
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 quartile ranges) and outlier count."""
-    x = F.col(value)
-    inner = F.when(F.col("__inner"), x)
+    whisker = F.when(F.col("inner"), F.col("value"))
     return (
-        _with_fences(df, value, by)
+        _counted_with_fences(df, value, by)
         .groupBy(*by)
         .agg(
-            F.min(inner).alias("ymin"),
-            F.first("q1").alias("lower"),
-            F.first("median").alias("middle"),
-            F.first("q3").alias("upper"),
-            F.max(inner).alias("ymax"),
-            F.count_if(~F.col("__inner")).alias("outliers"),
+            F.min(whisker).alias("ymin"),
+            F.min("q1").alias("lower"),
+            F.min("median").alias("middle"),
+            F.min("q3").alias("upper"),
+            F.max(whisker).alias("ymax"),
+            F.sum(F.when(F.col("inner"), 0).otherwise(F.col("n"))).alias("outliers"),
         )
     )
 
 
 def boxplot_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    return _with_fences(df, value, by).filter(~F.col("__inner")).select(*by, value)
+    """One row per outlying value, with how often it occurs as ``n``."""
+    return _counted_with_fences(df, value, by).filter(~F.col("inner")).select(*by, F.col("value").alias(value), "n")
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Homogeneity of variance: one-way F of absolute deviations from group medians."""
+    """Homogeneity of variance: one-way F of absolute deviations from group medians.
+
+    Works on the counted values, weighted by their counts.
+    """
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    medians = exact_quantiles(rows, value, (0.5,), [group], ["__med"])
-    dev = join_null_safe(rows.select(group, value), medians, [group]).withColumn(
-        "__d", F.abs(F.col(value) - F.col("__med"))
-    )
+    counted = value_counts(rows, value, [group])
+    medians = counted_quantiles(counted, (0.5,), [group], ["__med"])
+    dev = join_group_row(counted, medians, [group], "value").withColumn("d", F.abs(F.col("value") - F.col("__med")))
+    weighted = F.col("n") * F.col("d")
     groups = dev.groupBy(group).agg(
-        F.count("__d").alias("n"),
-        F.avg("__d").alias("m"),
-        F.sum("__d").alias("s"),
-        (F.coalesce(F.var_pop("__d"), F.lit(0.0)) * F.count("__d")).alias("w"),
+        F.sum("n").alias("n"), F.sum(weighted).alias("s"), F.sum(weighted * F.col("d")).alias("q")
     )
+    within = F.col("q") - F.col("s") * F.col("s") / F.col("n")
     sums = groups.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"),
-        F.sum("w").alias("within"),
+        (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"),
+        F.sum(within).alias("within"),
     )
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
     f = F.try_divide(F.try_divide(F.col("between"), df1), F.try_divide(F.col("within"), df2))
@@ -162,7 +160,7 @@ def rank_sum(df: DataFrame, value: str, group: str, first: object) -> DataFrame:
     approximation.
     """
     is_first = (F.col(group) == F.lit(first)).cast("long")
-    rows = df.filter(F.col(group).isNotNull())
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     ranked = running_counts(value_counts(rows, value, n1=is_first))
     n = F.col("n").cast("double")
     rank = F.col("before") + (n + 1.0) / 2.0

@@ -1,15 +1,17 @@
 """Chesson electivity: S = (r/P) / sum(r/P), 0 avoided to 1 exclusive.
 
-Sums over all categories are scalar subqueries on the counted table, so no
-window ever gathers the categories in one task, however many there are; Spark
-reuses the counting shuffle for them.
+Sums over all categories come in two ways. Where the calendar or a listed set
+bounds the categories (zones, half-hours, months, DAFM, presence) they are a
+window over the counted rows, at most a few hundred. Otherwise (stations) they
+are scalar subqueries that reuse the counting shuffle, so the categories are
+never gathered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reefpulse.functions.nulls import share
 from reefpulse.operators.joining import join_null_safe
@@ -18,31 +20,44 @@ from reefpulse.operators.joining import join_null_safe
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
+def _whole(df: DataFrame, agg: Column, bounded: bool) -> Column:
+    """An aggregate over all categories, beside each of them."""
+    return agg.over(Window.partitionBy()) if bounded else df.agg(agg).scalar()
+
+
 def chesson(
     counts: DataFrame,
     used: str = "tot_freq",
     available: str = "chesson_p",
     total: str | None = None,
     suffix: str = "",
+    bounded: bool = False,
 ) -> DataFrame:
     """Adds prop (share of the used total), rdivp and chesson_s.
 
-    ``total`` names the column whose sum divides ``used``; by default ``used`` itself.
+    ``total`` names the column whose sum divides ``used``; by default ``used``
+    itself. ``bounded`` says that the number of categories is bounded.
     """
     prop, rdivp, s = f"prop{suffix}", f"rdivp{suffix}", f"chesson_s{suffix}"
-    out = counts.withColumn(prop, share(F.col(used), counts.agg(F.sum(total or used)).scalar()))
+    out = counts.withColumn(prop, share(F.col(used), _whole(counts, F.sum(total or used), bounded)))
     out = out.withColumn(rdivp, F.try_divide(F.col(prop), F.col(available)))
-    return out.withColumn(s, share(F.col(rdivp), out.agg(F.sum(rdivp)).scalar()))
+    return out.withColumn(s, share(F.col(rdivp), _whole(out, F.sum(rdivp), bounded)))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
-    """Counts of ``row`` x ``col`` as one column per value, zero where unseen."""
-    return df.filter(F.col(row).isNotNull()).groupBy(row).pivot(col, list(values)).count().fillna(0, list(values))
+    """Counts of ``row`` x ``col`` as one column per value, zero where unseen.
+
+    Counted per row with one conditional count per value: a single shuffle of
+    at most one partial row per task and ``row``.
+    """
+    counts = [F.count_if(F.col(col) == v).alias(v) for v in values]
+    return df.filter(F.col(row).isNotNull()).groupBy(row).agg(*counts)
 
 
 def pivot_zone(counts: DataFrame, value: str = "tot_freq", zones: Sequence[str] = ("in", "out")) -> DataFrame:
-    """Half-hour x zone matrix of a counted table."""
-    return counts.groupBy("halfhour").pivot("mssca", list(zones)).agg(F.first(value))
+    """Half-hour x zone matrix of a counted table; null where unseen."""
+    cells = [F.sum(F.when(F.col("mssca") == z, F.col(value))).alias(z) for z in zones]
+    return counts.groupBy("halfhour").agg(*cells)
 
 
 def chesson_presence(bins: DataFrame) -> DataFrame:
@@ -56,13 +71,13 @@ def chesson_presence(bins: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tot_freq"))
         .withColumn("chesson_p", F.lit(0.5))
     )
-    return chesson(counts)
+    return chesson(counts, bounded=True)
 
 
 def availability_zone(stations: DataFrame, slots: int = 1) -> DataFrame:
     """Share of station-years per zone, divided over ``slots`` half-hours."""
-    total = stations.agg(F.sum("years_deployed")).scalar()
     zones = stations.groupBy("mssca").agg(F.sum("years_deployed").alias("__y"))
+    total = _whole(zones, F.sum("__y"), bounded=True)
     return zones.select("mssca", (share(F.col("__y"), total) / F.lit(float(slots))).alias("chesson_p"))
 
 
@@ -71,34 +86,33 @@ def chesson_zone(bins: DataFrame, stations: DataFrame) -> DataFrame:
     counts = (
         bins.filter(F.col("mssca").isNotNull()).groupBy("mssca").agg(F.count(F.lit(1)).alias("tot_freq"))
     )
-    return chesson(join_null_safe(counts, availability_zone(stations), ["mssca"]))
+    return chesson(join_null_safe(counts, availability_zone(stations), ["mssca"]), bounded=True)
 
 
 def chesson_halfhour(by_halfhour_zone: DataFrame, stations: DataFrame) -> DataFrame:
     """Per half-hour and zone; ``expected`` is one over the number of rows."""
     counts = join_null_safe(by_halfhour_zone, availability_zone(stations, 48), ["mssca"])
-    rows = by_halfhour_zone.agg(F.count(F.lit(1))).scalar()
-    return chesson(counts).withColumn("expected", share(F.lit(1), rows))
+    rows = _whole(counts, F.count(F.lit(1)), bounded=True)
+    return chesson(counts, bounded=True).withColumn("expected", share(F.lit(1), rows))
 
 
 def _presence_index(table: DataFrame) -> DataFrame:
     out = table.withColumn("tot_freq", F.col("A") + F.col("P"))
-    total = out.agg(F.sum("tot_freq")).scalar()
-    return out.withColumn("chesson_p", share(F.col("tot_freq"), total))
+    return out.withColumn("chesson_p", share(F.col("tot_freq"), _whole(out, F.sum("tot_freq"), bounded=True)))
 
 
 def chesson_month(tag_months: DataFrame) -> DataFrame:
     """Presence index per month over all tags and years, with the calendar order."""
     table = _presence_index(crosstab(tag_months, "month", "pa", ["A", "P"]))
     order = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.col("month")).cast("int")
-    return chesson(table, "P", total="tot_freq").withColumn("month_no", order)
+    return chesson(table, "P", total="tot_freq", bounded=True).withColumn("month_no", order)
 
 
 def chesson_dafm(bins: DataFrame) -> DataFrame:
     """Presence and absence index per DAFM beside the expected share."""
     table = _presence_index(crosstab(bins, "dafm", "pa", ["A", "P"]))
-    present = chesson(table, "P", total="tot_freq")
-    both = chesson(present, "A", total="tot_freq", suffix="_abs")
+    present = chesson(table, "P", total="tot_freq", bounded=True)
+    both = chesson(present, "A", total="tot_freq", suffix="_abs", bounded=True)
     return both.select("dafm", "chesson_p", "chesson_s", "chesson_s_abs")
 
 
@@ -122,5 +136,5 @@ def unpivot_index(index: DataFrame, row: str = "dafm") -> DataFrame:
 
 def mosaic_share(counts: DataFrame, row: str, col: str, value: str = "tot_freq") -> DataFrame:
     """Share of each column within its row."""
-    rows = counts.groupBy(row).agg(F.sum(value).alias("__row"))
-    return join_null_safe(counts, rows, [row]).select(row, col, value, share(F.col(value), F.col("__row")).alias("share"))
+    in_row = F.sum(value).over(Window.partitionBy(row))
+    return counts.select(row, col, value, share(F.col(value), in_row).alias("share"))

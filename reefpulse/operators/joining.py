@@ -20,3 +20,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     cond = reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys))
     joined = left.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
+
+
+SALTS = 16
+
+
+def join_group_row(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread_on: str) -> DataFrame:
+    """Puts each group's one row of ``stats`` beside that group's ``rows``.
+
+    A group may hold much of the data, so the join key is widened by a salt
+    taken from ``spread_on``: should the join be by shuffle, every group goes to
+    ``SALTS`` tasks. ``stats`` is one row per group, repeated once per salt.
+    """
+    salt = F.pmod(F.hash(F.col(spread_on)), F.lit(SALTS))
+    salted = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_null_safe(rows.withColumn("__salt", salt), salted, [*keys, "__salt"], "inner").drop("__salt")

@@ -13,18 +13,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reefpulse.operators.joining import join_null_safe
+from reefpulse.operators.joining import join_group_row, join_null_safe
 
 GRID = 1024
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Column) -> DataFrame:
-    """One row per group and non-null value: ``value``, its count ``n``, and the
-    named sums."""
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    """One row per group and distinct value: ``value``, its count ``n``, and the
+    named sums. Missing values are one row with ``n`` zero and their number in
+    ``nulls``, so a group of missing values only is kept."""
+    return df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(
+        F.count(value).alias("n"),
+        F.count_if(F.col(value).isNull()).alias("nulls"),
+        *[F.sum(c).alias(k) for k, c in sums.items()],
     )
 
 
@@ -35,37 +36,58 @@ def running_counts(counted: DataFrame, by: Sequence[str] = (), grid: int = GRID)
     ``counted`` is the output of ``value_counts``.
     """
     by = list(by)
-    # A constant key stands in for "no groups", so one code path serves both.
-    keys = by or ["__all"]
-    rows = counted if by else counted.withColumn("__all", F.lit(0))
-    bounds = rows.groupBy(*keys).agg(
-        F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.sum("n").alias("total")
-    )
+    ends = [F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")]
     if by:
-        ranged = join_null_safe(rows, bounds, keys)
+        bounds = counted.groupBy(*by).agg(F.struct(*ends).alias("__b"))
+        ranged = join_group_row(counted, bounds, by, "value")
     else:
-        ranged = rows.withColumns({c: bounds.select(c).scalar() for c in ("__lo", "__hi", "total")})
-    width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    at = F.coalesce((F.col("value") - F.col("__lo")) / width * grid, F.lit(0.0))
-    cells = ranged.withColumn("__at", at).withColumn("__b1", F.floor("__at"))
-    cells = cells.withColumn("__b2", F.floor((F.col("__at") - F.col("__b1")) * grid)).drop("__at", "__lo", "__hi")
-
-    fine = cells.groupBy(*keys, "__b1", "__b2").agg(F.sum("n").alias("__m"))
-    in_coarse = Window.partitionBy(*keys, "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = fine.groupBy(*keys, "__b1").agg(F.sum("__m").alias("__m"))
-    # At most grid + 1 coarse cells per group.
-    in_group = Window.partitionBy(*keys).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
+        ranged = counted.withColumn("__b", counted.agg(F.struct(*ends).alias("b")).scalar())
+    width = F.nullif(F.col("__b.hi") - F.col("__b.lo"), F.lit(0.0))
+    at = F.coalesce((F.col("value") - F.col("__b.lo")) / width * grid, F.lit(0.0))
+    cells = (
+        ranged.withColumns({"__at": at, "total": F.col("__b.total")})
+        .withColumn("__b1", F.floor("__at"))
+        .withColumn("__b2", F.floor((F.col("__at") - F.col("__b1")) * grid))
+        .drop("__at", "__b")
+    )
     zero = F.lit(0).cast("long")
-    ahead_coarse = coarse.select(*keys, "__b1", F.coalesce(F.sum("__m").over(in_group), zero).alias("__c1"))
-    ahead_fine = fine.select(*keys, "__b1", "__b2", F.coalesce(F.sum("__m").over(in_coarse), zero).alias("__c2"))
-    offsets = join_null_safe(ahead_fine, ahead_coarse, [*keys, "__b1"]).select(
-        *keys, "__b1", "__b2", (F.col("__c1") + F.col("__c2")).alias("__ahead")
+    fine = cells.groupBy(*by, "__b1", "__b2").agg(F.sum("n").alias("__m"))
+    coarse = fine.groupBy(*by, "__b1").agg(F.sum("__m").alias("__m"))
+    # At most grid + 1 coarse cells per group, and as many fine ones in each.
+    above = Window.partitionBy(*by).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
+    beside = Window.partitionBy(*by, "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
+    ahead_coarse = coarse.select(*by, "__b1", F.coalesce(F.sum("__m").over(above), zero).alias("__c1"))
+    ahead_fine = fine.select(*by, "__b1", "__b2", F.coalesce(F.sum("__m").over(beside), zero).alias("__c2"))
+    offsets = join_null_safe(ahead_fine, ahead_coarse, [*by, "__b1"], "inner").select(
+        *by, "__b1", "__b2", (F.col("__c1") + F.col("__c2")).alias("__ahead")
     )
-    in_cell = Window.partitionBy(*keys, "__b1", "__b2").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = join_null_safe(cells, offsets, [*keys, "__b1", "__b2"])
+    placed = join_null_safe(cells, offsets, [*by, "__b1", "__b2"], "inner")
+    in_cell = Window.partitionBy(*by, "__b1", "__b2").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__ahead") + F.coalesce(F.sum("n").over(in_cell), zero)
-    drops = ["__b1", "__b2", "__ahead"] + ([] if by else ["__all"])
-    return placed.withColumn("before", before).drop(*drops)
+    return placed.withColumn("before", before).drop("__b1", "__b2", "__ahead")
+
+
+def quantile_aggs(probs: Sequence[float], names: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over ``running_counts`` rows, and the columns computed from them,
+    for linearly interpolated (type 7) quantiles."""
+    picks, finals = [F.max("total").alias("__total")], []
+    for name, p in zip(names, probs):
+        position = (F.col("total") - 1).cast("double") * F.lit(float(p))
+        for end, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            here = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+            picks.append(F.max(F.when(here, F.col("value"))).alias(f"__{name}_{end}"))
+        position = (F.col("__total") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        finals.append((lo + (position - F.floor(position)) * (hi - lo)).alias(name))
+    return picks, finals
+
+
+def counted_quantiles(
+    counted: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    """Quantiles of a ``value_counts`` table, one row per group."""
+    picks, finals = quantile_aggs(probs, names)
+    return running_counts(counted, by).groupBy(*by).agg(*picks).select(*by, *finals)
 
 
 def exact_quantiles(
@@ -73,24 +95,4 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles (type 7) per group, one column each."""
     names = list(names or [f"q{p:g}" for p in probs])
-    ranked = running_counts(value_counts(df, value, by), by)
-    last = (F.col("total") - 1).cast("double")
-
-    def at(rank):
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
-
-    picks = []
-    for name, p in zip(names, probs):
-        pos = last * F.lit(float(p))
-        picks += [
-            at(F.floor(pos)).alias(f"__{name}_lo"),
-            at(F.ceil(pos)).alias(f"__{name}_hi"),
-        ]
-    total = F.max("total").alias("__total")
-    grouped = ranked.groupBy(*by).agg(total, *picks)
-    out = []
-    for name, p in zip(names, probs):
-        pos = (F.col("__total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        out.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
-    return grouped.select(*by, *out)
+    return counted_quantiles(value_counts(df, value, by), probs, by, names)

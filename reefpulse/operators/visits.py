@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reefpulse.functions.clock import MICROS, micros
 from reefpulse.functions.nulls import sem
+from reefpulse.operators.joining import join_null_safe
 
 WEEK_SECONDS = 604_800
 CHUNK_SECONDS = 3_600
@@ -47,7 +48,7 @@ def time_gap(
     in_chunk = Window.partitionBy("transmitter", "__chunk").orderBy("__us", *ties)
     return (
         rows.withColumn("__lead", F.lead("__us").over(in_chunk))
-        .join(following, ["transmitter", "__chunk"], "left")
+        .transform(lambda df: join_null_safe(df, following, ["transmitter", "__chunk"]))
         .withColumn("timediff", (F.coalesce("__lead", "__next") - F.col("__us")) / F.lit(float(MICROS)))
         .drop("__us", "__chunk", "__lead", "__next")
         .select(*det.columns, "timediff")
@@ -102,7 +103,7 @@ def last_before_gap(
         F.desc("__us"), *[F.desc(t) for t in ties]
     )
     return (
-        rows.join(wanted, ["transmitter", "__chunk"])
+        join_null_safe(rows, wanted, ["transmitter", "__chunk"], "inner")
         .withColumn("__back", F.row_number().over(newest))
         .filter(F.col("__back") <= keep)
         .withColumn("__g", F.explode("__gaps"))

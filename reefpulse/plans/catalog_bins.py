@@ -173,7 +173,7 @@ def boxplot_stats(spark, d):
     return rounded(distribution.boxplot_stats(_east_hours(spark, d), "v", ["hour"]))
 
 
-@query("boxplot_outliers", f"SELECT hour, round(v, 9) AS v FROM ({BOX_SQL}) WHERE NOT inner_row")
+@query("boxplot_outliers", f"SELECT hour, round(v, 9) AS v, count(*) AS n FROM ({BOX_SQL}) WHERE NOT inner_row GROUP BY hour, v")
 def boxplot_outliers(spark, d):
     return rounded(distribution.boxplot_outliers(_east_hours(spark, d), "v", ["hour"]))
 

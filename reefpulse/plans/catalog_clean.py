@@ -35,8 +35,11 @@ def scan_detections(spark, d):
     "SELECT b.* FROM bins b WHERE transmitter IN (SELECT transmitter FROM analysed)",
 )
 def scan_allowlist(spark, d):
-    path = write_per_key(s.bins(spark, d).drop("pa"), shared_folder(spark, "bins"))
-    return restrict.flag_presence(restrict.keep_tags(readers.read_stage(spark, path), s.analysed_tags(spark, d)))
+    bins = s.bins(spark, d).drop("pa")
+    path = write_per_key(bins, shared_folder(spark, "bins"))
+    return restrict.flag_presence(
+        restrict.keep_tags(readers.read_stage(spark, path, bins.schema), s.analysed_tags(spark, d))
+    )
 
 
 @query("scan_typed_dim", "SELECT * FROM tags")
@@ -72,8 +75,9 @@ def scan_currents(spark, d):
 
 @query("sink_per_key", "SELECT * FROM det_short")
 def sink_per_key(spark, d):
-    path = write_per_key(s.detections_short(spark, d), shared_folder(spark, "per-tag"))
-    return readers.read_stage(spark, path)
+    det = s.detections_short(spark, d)
+    path = write_per_key(det, shared_folder(spark, "per-tag"))
+    return readers.read_stage(spark, path, det.schema)
 
 
 @query(

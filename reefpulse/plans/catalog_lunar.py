@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reefpulse.operators import distribution, lunar, restrict, summary, visits
+from reefpulse.operators import distribution, lunar, ranks, restrict, summary, visits
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.registry import query, rounded
 
@@ -178,7 +178,7 @@ def _stats(df, value):
         F.max(value).alias("max"),
         (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"),
     )
-    median = distribution.exact_quantiles(df, value, (0.5,), names=("median",))
+    median = ranks.exact_quantiles(df, value, (0.5,), names=("median",))
     return rounded(moments.withColumn("median", median.scalar()))
 
 
@@ -192,7 +192,7 @@ def _stats(df, value):
 def trip_stats(spark, d):
     trips = visits.trips_strict(_days(spark, d))
     several = F.when(F.col("trips") != 1, F.col("trips"))
-    median = distribution.exact_quantiles(trips, "trips", (0.5,), names=("median",))
+    median = ranks.exact_quantiles(trips, "trips", (0.5,), names=("median",))
     stats = trips.agg(
         F.count_if(F.col("trips") == 1).alias("single"),
         F.avg(several).alias("mean_multi"),

@@ -8,6 +8,7 @@ from reefpulse.operators import binning, contingency, distribution, electivity,
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.registry import query, rounded
 
+ZONES = ["in", "out"]
 ATTRIBUTES = ("release_year", "sex", "tag_model")
 
 
@@ -193,7 +194,7 @@ def unpivot_index(spark, d):
 
 
 def _full(spark, d):
-    return contingency.full_cells(_cells(spark, d), "halfhour", "mssca", "tot_freq", ["in", "out"])
+    return contingency.contingency_table(_cells(spark, d), "halfhour", "mssca", "tot_freq", ZONES)
 
 
 CHI_SQL = """
@@ -204,7 +205,7 @@ FROM expected
 
 @query("chi_square", CHI_SQL)
 def chi_square(spark, d):
-    return rounded(contingency.chi_square(_full(spark, d), "halfhour", "mssca", "tot_freq"), 6)
+    return rounded(contingency.chi_square(_full(spark, d), ZONES), 6)
 
 
 @query(
@@ -218,8 +219,8 @@ def chi_square(spark, d):
 def chi_square_index(spark, d):
     index = electivity.chesson_halfhour(_cells(spark, d), s.station_master(spark, d))
     scaled = index.withColumn("s96", F.col("chesson_s") * 96.0)
-    cells = contingency.full_cells(scaled, "halfhour", "mssca", "s96", ["in", "out"])
-    return rounded(contingency.chi_square(cells, "halfhour", "mssca", "s96"), 6)
+    cells = contingency.contingency_table(scaled, "halfhour", "mssca", "s96", ZONES)
+    return rounded(contingency.chi_square(cells, ZONES), 6)
 
 
 @query(
@@ -233,8 +234,9 @@ def chi_square_corrected(spark, d):
     """A 2 x 2 table: fish group against depth class."""
     depth = s.categorized_depth(spark, d).filter(F.col("depthcat").isNotNull())
     counts = depth.groupBy("fish", "depthcat").agg(F.count(F.lit(1)).alias("n"))
-    cells = contingency.full_cells(counts, "fish", "depthcat", "n", ["deep", "shallow"])
-    return rounded(contingency.chi_square(cells, "fish", "depthcat", "n"), 6)
+    levels = ["deep", "shallow"]
+    cells = contingency.contingency_table(counts, "fish", "depthcat", "n", levels)
+    return rounded(contingency.chi_square(cells, levels), 6)
 
 
 @query(
@@ -243,7 +245,7 @@ def chi_square_corrected(spark, d):
               (count(DISTINCT halfhour) - 1) * (count(DISTINCT mssca) - 1) AS df FROM expected""",
 )
 def g_statistic(spark, d):
-    return rounded(contingency.g_statistic(_full(spark, d), "halfhour", "mssca", "tot_freq"), 6)
+    return rounded(contingency.g_statistic(_full(spark, d), ZONES), 6)
 
 
 @query(
@@ -383,8 +385,8 @@ def test_p_values(spark, d):
     trips = visits.trip_lengths(visits.visit_days(restrict.split_datetime(s.detections_long(spark, d))))
     fit = distribution.linear_fit(trips, "triplen", "monthnum")
     parts = {
-        "chi_square": contingency.with_p(contingency.chi_square(cells, "halfhour", "mssca", "tot_freq")),
-        "g": contingency.with_p(contingency.g_statistic(cells, "halfhour", "mssca", "tot_freq")),
+        "chi_square": contingency.with_p(contingency.chi_square(cells, ZONES)),
+        "g": contingency.with_p(contingency.g_statistic(cells, ZONES)),
         "levene": distribution.levene_p(distribution.levene(depth, "z", "fish")).withColumnRenamed("f", "statistic"),
         "rank_sum": distribution.rank_sum_p(distribution.rank_sum(depth, "z", "fish", "even")).withColumnRenamed("z", "statistic"),
         "linear_fit": distribution.linear_fit_p(fit).withColumnRenamed("f", "statistic"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from reefpulse.functions.clock import to_local
 from reefpulse.sources import schemas
@@ -76,13 +77,14 @@ def with_file_tag(df: DataFrame, column: str = "file_tag") -> DataFrame:
     return df.withColumn(column, F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
 
 
-def read_stage(spark: SparkSession, path: str, tags: Iterable[str] | None = None) -> DataFrame:
-    """A parquet table written per tag. ``tags`` prunes the scan to those folders."""
-    df = spark.read.option("basePath", path).parquet(path)
-    df = df.withColumn("transmitter", F.col("transmitter").cast("string"))
-    if tags is not None:
-        df = df.filter(F.col("transmitter").isin(list(tags)))
-    return df
+def read_stage(spark: SparkSession, path: str, schema: StructType, tags: Iterable[str] | None = None) -> DataFrame:
+    """A parquet table written per tag. ``tags`` prunes the scan to those folders.
+
+    The schema is given, so opening reads no file and a tag such as ``007`` in a
+    folder name stays text.
+    """
+    df = spark.read.schema(schema).parquet(path)
+    return df if tags is None else df.filter(F.col("transmitter").isin(list(tags)))
 
 
 def read_dimension(
