@@ -14,13 +14,15 @@ POSITIONS = ("avg_lat", "avg_long", "avg_x", "avg_y")
 def bin_positions(det: DataFrame) -> DataFrame:
     """One row per occupied half-hour of a tag.
 
-    Means are null if any position of the bin is; a null station counts as one
+    DAFM is carried along if the detections have it; it depends on the date
+    only, so ``fill_gaps`` can also add it later, to far fewer rows. Means are null if any position of the bin is; a null station counts as one
     more station. Rounding is half-up on the decimal digits.
     """
+    dafm = [F.min("dafm").alias("dafm")] if "dafm" in det.columns else []
     return det.groupBy("transmitter", "year", "date", "halfhour").agg(
         distinct_with_null("station").alias("no_stations"),
         F.count(F.lit(1)).alias("no_detections"),
-        F.min("dafm").alias("dafm"),
+        *dafm,
         F.round(strict_avg("lat_nad83"), 5).alias("avg_lat"),
         F.round(strict_avg("long_nad83"), 5).alias("avg_long"),
         F.round(strict_avg("x_utm20n"), 2).alias("avg_x"),
@@ -44,6 +46,7 @@ def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -
     )
     kept = F.col("__at") == F.col("__slot")
     zero = F.lit(0).cast("long")
+    has_dafm = "dafm" in bins.columns
     carried = [c for c in (*POSITIONS, "mssca") if c in bins.columns]
     filled = spread.select(
         "transmitter",
@@ -51,11 +54,13 @@ def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -
         slot_half_hour("__at").alias("halfhour"),
         F.when(kept, F.col("no_stations")).otherwise(zero).alias("no_stations"),
         F.when(kept, F.col("no_detections")).otherwise(zero).alias("no_detections"),
-        F.when(kept, F.col("dafm")).alias("__dafm"),
-        kept.alias("__kept"),
+        *([F.when(kept, F.col("dafm")).alias("__dafm"), kept.alias("__kept")] if has_dafm else []),
         *[F.when(kept, F.col(c)).alias(c) for c in carried],
     )
     out = add_dafm(filled, moons, early_days=early_days)
+    dafm = F.col("dafm")
+    if has_dafm:
+        dafm = F.when(F.col("__kept"), F.col("__dafm")).otherwise(dafm)
     return out.select(
         "transmitter",
         F.year("date").alias("year"),
@@ -63,7 +68,7 @@ def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -
         "halfhour",
         "no_stations",
         "no_detections",
-        F.when(F.col("__kept"), F.col("__dafm")).otherwise(F.col("dafm")).alias("dafm"),
+        dafm.alias("dafm"),
         *carried,
     )
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 EARLY_DAYS = 10
 
 
+def _moon_dates(moons: DataFrame) -> DataFrame:
+    """One row with the sorted distinct moon dates; a century has 1,237."""
+    return moons.agg(F.array_sort(F.collect_set("date")).alias("moons"))
+
+
 def dafm_calendar(moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
     """One row per calendar date the moon table decides: (date, dafm).
 
@@ -15,17 +20,13 @@ def dafm_calendar(moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
     that pair. The calendar has one row per day from ``early_days`` before the
     first moon to the last moon, whatever the number of detections.
     """
-    # The moon table has one row per lunation (1,237 in a century).
-    order = Window.orderBy("moon")
-    pairs = (
-        moons.select(F.col("date").alias("moon"))
-        .where("moon IS NOT NULL")
-        .distinct()
-        .withColumns({"after": F.lead("moon").over(order), "before": F.lag("moon").over(order)})
+    pairs = F.arrays_zip(
+        F.col("moons").alias("moon"), F.expr("slice(moons, 2, size(moons))").alias("after")
     )
-    first = F.when(F.col("before").isNull(), F.date_sub("moon", early_days - 1)).otherwise(F.col("moon"))
+    nights = _moon_dates(moons).select(F.posexplode(pairs).alias("at", "pair")).select("at", "pair.*")
+    first = F.when(F.col("at") == 0, F.date_sub("moon", early_days - 1)).otherwise(F.col("moon"))
     last = F.coalesce(F.date_sub("after", 1), F.col("moon"))
-    days = pairs.withColumn("date", F.explode(F.sequence(first, last)))
+    days = nights.withColumn("date", F.explode(F.sequence(first, last)))
     since = F.datediff("date", "moon")
     until = F.datediff("date", "after")
     return days.select(
@@ -37,14 +38,14 @@ def dafm_calendar(moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
 def add_dafm(df: DataFrame, moons: DataFrame, date: str = "date", early_days: int = EARLY_DAYS) -> DataFrame:
     """Adds ``dafm`` by an equi-join of the date with the calendar.
 
-    Past the last moon it counts on from that moon; more than ``early_days``
+    Past the last moon it counts on from that moon; ``early_days`` or more
     before the first one it is null.
     """
     cal = dafm_calendar(moons, early_days).withColumnRenamed("date", "__day")
-    last_moon = moons.agg(F.max("date")).scalar()
-    joined = df.join(cal, F.col(date) == F.col("__day"), "left").drop("__day")
+    last_moon = _moon_dates(moons).select(F.try_element_at("moons", F.lit(-1))).scalar()
+    joined = df.join(cal, F.col(date) == F.col("__day"), "left").drop("__day").withColumn("__last", last_moon)
     beyond = F.when(F.col(date) > F.col("__last"), F.datediff(F.col(date), F.col("__last")))
-    return joined.withColumn("__last", last_moon).withColumn("dafm", F.coalesce("dafm", beyond)).drop("__last")
+    return joined.withColumn("dafm", F.coalesce("dafm", beyond)).drop("__last")
 
 
 def add_moon_cycle(df: DataFrame) -> DataFrame:

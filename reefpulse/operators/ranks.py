@@ -94,5 +94,5 @@ def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles (type 7) per group, one column each."""
-    names = list(names or [f"q{p:g}" for p in probs])
+    names = list(names or [f"q{p:g}".replace(".", "_") for p in probs])
     return counted_quantiles(value_counts(df, value, by), probs, by, names)

@@ -39,12 +39,12 @@ def point_in_polygon(spark, d):
 
 @query("bin_positions", "SELECT * FROM occupied")
 def bin_positions(spark, d):
-    return s.occupied_bins(spark, d)
+    return s.occupied_bins(s.dated_short(spark, d))
 
 
 @query("zone_of_bin", "SELECT transmitter, date, halfhour, avg_long, avg_lat, mssca FROM zoned")
 def zone_of_bin(spark, d):
-    zoned = geometry.zone_of_bin(s.occupied_bins(spark, d), s.RING)
+    zoned = geometry.zone_of_bin(s.occupied_bins(restrict.split_datetime(s.detections_short(spark, d))), s.RING)
     return zoned.select("transmitter", "date", "halfhour", "avg_long", "avg_lat", "mssca")
 
 

@@ -143,16 +143,18 @@ def dated_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(detections_long(spark, sf_dir))
 
 
-def occupied_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = geometry.project_utm(restrict.add_half_hour(dated_short(spark, sf_dir)))
-    return binning.bin_positions(det)
+def occupied_bins(det: DataFrame) -> DataFrame:
+    return binning.bin_positions(geometry.project_utm(restrict.add_half_hour(det)))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap-free half-hour bins with zone and presence flag."""
-    zoned = geometry.zone_of_bin(occupied_bins(spark, sf_dir), RING)
-    filled = binning.fill_gaps(zoned, moons(detections_short(spark, sf_dir)))
-    return restrict.flag_presence(filled)
+    """Gap-free half-hour bins with zone and presence flag.
+
+    DAFM is added to the bins, not to the detections: it is the same per date.
+    """
+    det = detections_short(spark, sf_dir)
+    zoned = geometry.zone_of_bin(occupied_bins(restrict.split_datetime(det)), RING)
+    return restrict.flag_presence(binning.fill_gaps(zoned, moons(det)))
 
 
 def month_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

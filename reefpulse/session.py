@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,10 +34,13 @@ def build_session(app: str = "reefpulse", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``.
 
-    The setting must name storage every executor can reach. It is read from the
-    session; callers on a single machine set it themselves.
+    The setting names storage that every executor can reach, and is read from
+    the session. Only where it is unset and all executors are threads of this
+    machine does a temporary folder take its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(root, f"reefpulse-{label}-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="reefpulse-")
+    return f"{root.rstrip('/')}/reefpulse-{label}-{uuid.uuid4().hex}"

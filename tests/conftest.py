@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -21,9 +20,6 @@ def make_session():
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        # A single machine: any local folder is shared by all executor threads.
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reefpulse-"))
     return spark
 
 
