@@ -1,10 +1,16 @@
-"""Half-hour bins per tag, gap-free from first to last detection."""
+"""Half-hour bins per tag, gap-free from first to last detection.
+
+Operators that look at located bins only (shares, positions, zones) give the same
+result on filled and on occupied bins; feed them the occupied ones and the fill
+is never computed. ``presence_by_dafm`` counts the empty half-hours of a gap per
+day instead of making them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reefpulse.functions.clock import slot_date, slot_half_hour, slot_of
+from reefpulse.functions.clock import SLOTS_PER_DAY, slot_date, slot_half_hour, slot_of
 from reefpulse.functions.nulls import distinct_with_null, share, strict_avg
 from reefpulse.operators.lunar import EARLY_DAYS, add_dafm
 
@@ -73,6 +79,41 @@ def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -
     )
 
 
+def presence_by_day(bins: DataFrame) -> DataFrame:
+    """Occupied (P) and empty (A) half-hours per date over all tags.
+
+    Equals counting the filled bins, but a gap makes one row per day it touches
+    rather than one per half-hour.
+    """
+    per_tag = Window.partitionBy("transmitter").orderBy("__slot")
+    slots = F.lit(SLOTS_PER_DAY)
+    spread = (
+        bins.select("transmitter", slot_of("date", "halfhour").alias("__slot"))
+        .withColumn("__to", F.coalesce(F.lead("__slot").over(per_tag) - 1, F.col("__slot")))
+        .withColumn(
+            "__day",
+            F.explode(F.sequence(F.floor(F.col("__slot") / slots), F.floor(F.col("__to") / slots))),
+        )
+    )
+    first = F.greatest(F.col("__slot") + 1, F.col("__day") * slots)
+    last = F.least(F.col("__to"), F.col("__day") * slots + slots - 1)
+    return spread.groupBy(F.date_from_unix_date(F.col("__day").cast("int")).alias("date")).agg(
+        F.sum(F.greatest(last - first + 1, F.lit(0).cast("long"))).alias("A"),
+        F.count_if(F.floor(F.col("__slot") / slots) == F.col("__day")).alias("P"),
+    )
+
+
+def presence_by_dafm(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
+    """Occupied and empty half-hours per DAFM: the cross table of the filled bins.
+
+    DAFM is looked up once per calendar date.
+    """
+    days = add_dafm(presence_by_day(bins), moons, early_days=early_days)
+    return (
+        days.filter(F.col("dafm").isNotNull()).groupBy("dafm").agg(F.sum("A").alias("A"), F.sum("P").alias("P"))
+    )
+
+
 def zone_share(bins: DataFrame) -> DataFrame:
     """Percent of complete bins inside the closed area."""
     whole = bins.dropna("any")
@@ -81,7 +122,8 @@ def zone_share(bins: DataFrame) -> DataFrame:
 
 def zone_share_by_year(bins: DataFrame) -> DataFrame:
     """In and out percent per year; a year without one of them has null sums."""
-    counts = bins.dropna("any").groupBy("year").pivot("mssca", ["in", "out"]).count()
+    cells = [F.nullif(F.count_if(F.col("mssca") == z), F.lit(0)).alias(z) for z in ("in", "out")]
+    counts = bins.dropna("any").groupBy("year").agg(*cells)
     total = F.col("in") + F.col("out")
     return counts.select(
         "year",

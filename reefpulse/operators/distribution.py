@@ -10,7 +10,7 @@ from reefpulse.functions.nulls import strict_sem
 from reefpulse.functions.nulls import sem as sem_of
 from reefpulse.functions.pvalues import p_f, p_normal
 from reefpulse.operators.joining import join_group_row, join_null_safe
-from reefpulse.operators.ranks import counted_quantiles, quantile_aggs, running_counts, value_counts
+from reefpulse.operators.ranks import counted_quantiles, running_counts, value_counts
 
 QUARTILES = ("q1", "median", "q3")
 
@@ -18,23 +18,21 @@ QUARTILES = ("q1", "median", "q3")
 def six_number(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Minimum, quartiles, median, mean, maximum and number of nulls.
 
-    Everything comes from the counted values, so the data is read once.
+    Everything comes from the counted values, whose shuffle is read several times
+    while the data is read once.
     """
-    picks, finals = quantile_aggs((0.25, 0.5, 0.75), QUARTILES)
-    ranked = running_counts(value_counts(df, value, by), by)
+    counted = value_counts(df, value, by)
     mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n"))
-    return (
-        ranked.groupBy(*by)
-        .agg(
-            *picks,
-            F.min("value").alias("min"),
-            mean.alias("mean"),
-            F.max("value").alias("max"),
-            F.sum("nulls").alias("nulls"),
-        )
-        .select("*", *finals)
-        .select(*by, "min", "q1", "median", "mean", "q3", "max", "nulls")
+    moments = counted.groupBy(*by).agg(
+        F.min("value").alias("min"), mean.alias("mean"), F.max("value").alias("max"), F.sum("nulls").alias("nulls")
     )
+    quarts = counted_quantiles(counted, (0.25, 0.5, 0.75), by, QUARTILES)
+    if by:
+        both = join_null_safe(moments, quarts, by)
+    else:
+        row = quarts.select(F.struct(*QUARTILES).alias("q")).scalar()
+        both = moments.withColumn("q", row).select("*", "q.*")
+    return both.select(*by, "min", "q1", "median", "mean", "q3", "max", "nulls")
 
 
 def six_number_dates(df: DataFrame, date: str, by: Sequence[str] = ()) -> DataFrame:

@@ -60,15 +60,11 @@ def pivot_zone(counts: DataFrame, value: str = "tot_freq", zones: Sequence[str]
     return counts.groupBy("halfhour").agg(*cells)
 
 
-def chesson_presence(bins: DataFrame) -> DataFrame:
-    """Presence against absence at equal availability.
-
-    Bins without a DAFM are left out, as in a cross table of DAFM and presence.
-    """
+def chesson_presence(by_dafm: DataFrame) -> DataFrame:
+    """Presence against absence at equal availability, from a DAFM x presence table."""
     counts = (
-        bins.filter(F.col("dafm").isNotNull() & F.col("pa").isNotNull())
-        .groupBy("pa")
-        .agg(F.count(F.lit(1)).alias("tot_freq"))
+        by_dafm.agg(F.sum("A").alias("A"), F.sum("P").alias("P"))
+        .unpivot([], ["A", "P"], "pa", "tot_freq")
         .withColumn("chesson_p", F.lit(0.5))
     )
     return chesson(counts, bounded=True)
@@ -108,10 +104,10 @@ def chesson_month(tag_months: DataFrame) -> DataFrame:
     return chesson(table, "P", total="tot_freq", bounded=True).withColumn("month_no", order)
 
 
-def chesson_dafm(bins: DataFrame) -> DataFrame:
-    """Presence and absence index per DAFM beside the expected share."""
-    table = _presence_index(crosstab(bins, "dafm", "pa", ["A", "P"]))
-    present = chesson(table, "P", total="tot_freq", bounded=True)
+def chesson_dafm(by_dafm: DataFrame) -> DataFrame:
+    """Presence and absence index per DAFM beside the expected share, from a DAFM x
+    presence table (``crosstab`` of filled bins, or ``binning.presence_by_dafm``)."""
+    present = chesson(_presence_index(by_dafm), "P", total="tot_freq", bounded=True)
     both = chesson(present, "A", total="tot_freq", suffix="_abs", bounded=True)
     return both.select("dafm", "chesson_p", "chesson_s", "chesson_s_abs")
 

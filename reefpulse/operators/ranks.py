@@ -29,13 +29,9 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Colu
     )
 
 
-def running_counts(counted: DataFrame, by: Sequence[str] = (), grid: int = GRID) -> DataFrame:
-    """Adds ``before``, the number of observations in the group with a smaller value,
-    and ``total``, the group's number of observations.
-
-    ``counted`` is the output of ``value_counts``.
-    """
-    by = list(by)
+def _grid(counted: DataFrame, by: Sequence[str], grid: int) -> tuple[DataFrame, DataFrame]:
+    """The counted rows with their grid cell and their group's ``total``, and one
+    row per occupied cell with the observations in it and ahead of it."""
     ends = [F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")]
     if by:
         bounds = counted.groupBy(*by).agg(F.struct(*ends).alias("__b"))
@@ -44,50 +40,80 @@ def running_counts(counted: DataFrame, by: Sequence[str] = (), grid: int = GRID)
         ranged = counted.withColumn("__b", counted.agg(F.struct(*ends).alias("b")).scalar())
     width = F.nullif(F.col("__b.hi") - F.col("__b.lo"), F.lit(0.0))
     at = F.coalesce((F.col("value") - F.col("__b.lo")) / width * grid, F.lit(0.0))
-    cells = (
+    rows = (
         ranged.withColumns({"__at": at, "total": F.col("__b.total")})
         .withColumn("__b1", F.floor("__at"))
         .withColumn("__b2", F.floor((F.col("__at") - F.col("__b1")) * grid))
         .drop("__at", "__b")
     )
     zero = F.lit(0).cast("long")
-    fine = cells.groupBy(*by, "__b1", "__b2").agg(F.sum("n").alias("__m"))
+    fine = rows.groupBy(*by, "__b1", "__b2").agg(F.sum("n").alias("__m"), F.max("total").alias("total"))
     coarse = fine.groupBy(*by, "__b1").agg(F.sum("__m").alias("__m"))
     # At most grid + 1 coarse cells per group, and as many fine ones in each.
     above = Window.partitionBy(*by).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
     beside = Window.partitionBy(*by, "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
     ahead_coarse = coarse.select(*by, "__b1", F.coalesce(F.sum("__m").over(above), zero).alias("__c1"))
-    ahead_fine = fine.select(*by, "__b1", "__b2", F.coalesce(F.sum("__m").over(beside), zero).alias("__c2"))
-    offsets = join_null_safe(ahead_fine, ahead_coarse, [*by, "__b1"], "inner").select(
-        *by, "__b1", "__b2", (F.col("__c1") + F.col("__c2")).alias("__ahead")
-    )
-    placed = join_null_safe(cells, offsets, [*by, "__b1", "__b2"], "inner")
+    ahead_fine = fine.withColumn("__c2", F.coalesce(F.sum("__m").over(beside), zero))
+    cells = join_null_safe(ahead_fine, ahead_coarse, [*by, "__b1"], "inner")
+    return rows, cells.withColumn("__ahead", F.col("__c1") + F.col("__c2")).drop("__c1", "__c2")
+
+
+def _count_within(placed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Orders the values of each cell and adds ``before``."""
     in_cell = Window.partitionBy(*by, "__b1", "__b2").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__ahead") + F.coalesce(F.sum("n").over(in_cell), zero)
+    before = F.col("__ahead") + F.coalesce(F.sum("n").over(in_cell), F.lit(0).cast("long"))
     return placed.withColumn("before", before).drop("__b1", "__b2", "__ahead")
 
 
-def quantile_aggs(probs: Sequence[float], names: Sequence[str]) -> tuple[list[Column], list[Column]]:
-    """Aggregates over ``running_counts`` rows, and the columns computed from them,
-    for linearly interpolated (type 7) quantiles."""
+def running_counts(counted: DataFrame, by: Sequence[str] = (), grid: int = GRID) -> DataFrame:
+    """Adds ``before``, the number of observations in the group with a smaller value,
+    and ``total``, the group's number of observations.
+
+    ``counted`` is the output of ``value_counts``.
+    """
+    rows, cells = _grid(counted, by, grid)
+    offsets = cells.select(*by, "__b1", "__b2", "__ahead")
+    return _count_within(join_null_safe(rows, offsets, [*by, "__b1", "__b2"], "inner"), by)
+
+
+def _counts_at(counted: DataFrame, probs: Sequence[float], grid: int = GRID) -> DataFrame:
+    """``running_counts`` of one ungrouped table, for the values near ``probs`` only.
+
+    At most two cells per probability hold the ranks asked for. They travel as
+    one short array, so all other values are dropped before any further shuffle.
+    """
+    rows, cells = _grid(counted, (), grid)
+    asked = [r for p in probs for r in _ranks(F.col("total"), p)]
+    hit = F.exists(F.array(*asked), lambda r: (r >= F.col("__ahead")) & (r < F.col("__ahead") + F.col("__m")))
+    wanted = cells.filter(hit).agg(F.collect_list(F.struct("__b1", "__b2", "__ahead"))).scalar()
+    here = F.filter("__w", lambda w: (w["__b1"] == F.col("__b1")) & (w["__b2"] == F.col("__b2")))
+    kept = rows.withColumn("__w", wanted).withColumn("__w", here).filter(F.size("__w") > 0)
+    return _count_within(kept.withColumn("__ahead", F.col("__w")[0]["__ahead"]).drop("__w"), ())
+
+
+def _position(total: Column, p: float) -> Column:
+    return (total - 1).cast("double") * F.lit(float(p))
+
+
+def _ranks(total: Column, p: float) -> tuple[Column, Column]:
+    return F.floor(_position(total, p)), F.ceil(_position(total, p))
+
+
+def counted_quantiles(
+    counted: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    """Linearly interpolated (type 7) quantiles of a ``value_counts`` table, one row
+    per group."""
     picks, finals = [F.max("total").alias("__total")], []
     for name, p in zip(names, probs):
-        position = (F.col("total") - 1).cast("double") * F.lit(float(p))
-        for end, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+        for end, rank in zip(("lo", "hi"), _ranks(F.col("total"), p)):
             here = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
             picks.append(F.max(F.when(here, F.col("value"))).alias(f"__{name}_{end}"))
-        position = (F.col("__total") - 1).cast("double") * F.lit(float(p))
+        position = _position(F.col("__total"), p)
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         finals.append((lo + (position - F.floor(position)) * (hi - lo)).alias(name))
-    return picks, finals
-
-
-def counted_quantiles(
-    counted: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]
-) -> DataFrame:
-    """Quantiles of a ``value_counts`` table, one row per group."""
-    picks, finals = quantile_aggs(probs, names)
-    return running_counts(counted, by).groupBy(*by).agg(*picks).select(*by, *finals)
+    ranked = running_counts(counted, by) if by else _counts_at(counted, probs)
+    return ranked.groupBy(*by).agg(*picks).select(*by, *finals)
 
 
 def exact_quantiles(

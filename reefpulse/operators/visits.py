@@ -17,20 +17,31 @@ from reefpulse.functions.nulls import sem
 from reefpulse.operators.joining import join_null_safe
 
 WEEK_SECONDS = 604_800
-CHUNK_SECONDS = 3_600
+MONTH_SECONDS = 30 * 86_400
+CHUNK_ROWS = 1_000_000
 
 
-def _chunked(det: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
-    return det.withColumn("__us", micros(ts)).withColumn(
-        "__chunk", F.floor(F.col("__us") / (chunk_seconds * MICROS))
-    )
+def _chunked(det: DataFrame, ts: str, widest: int, chunk_rows: int) -> DataFrame:
+    """Adds microseconds and a time chunk of one width for all tags.
+
+    The width is such that the busiest tag, in its busiest month, has about
+    ``chunk_rows`` detections per chunk: sparse data gets few wide chunks, and a
+    hot tag gets many narrow ones. It is one number, found by a narrow scan that
+    is pre-aggregated to one row per tag and month.
+    """
+    rows = det.withColumn("__us", micros(ts))
+    month = F.floor(F.col("__us") / (MONTH_SECONDS * MICROS))
+    busiest = rows.groupBy("transmitter", month.alias("month")).count().agg(F.max("count")).scalar()
+    fitting = F.lit(float(MONTH_SECONDS) * chunk_rows) / busiest
+    seconds = F.greatest(F.lit(1.0), F.least(F.lit(float(widest)), fitting))
+    return rows.withColumn("__chunk", F.floor(F.col("__us") / F.floor(seconds * MICROS)))
 
 
 def time_gap(
     det: DataFrame,
     ts: str = "detection_time_ast",
     ties: Sequence[str] = ("station",),
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds ``timediff``: seconds to the tag's next detection, null on its last.
 
@@ -38,7 +49,7 @@ def time_gap(
     takes the first time of the tag's next chunk. Window and join share the
     (tag, chunk) partitioning.
     """
-    rows = _chunked(det, ts, chunk_seconds)
+    rows = _chunked(det, ts, MONTH_SECONDS, chunk_rows)
     per_tag = Window.partitionBy("transmitter").orderBy("__chunk")
     following = (
         rows.groupBy("transmitter", "__chunk")
@@ -46,13 +57,9 @@ def time_gap(
         .select("transmitter", "__chunk", F.lead("__first").over(per_tag).alias("__next"))
     )
     in_chunk = Window.partitionBy("transmitter", "__chunk").orderBy("__us", *ties)
-    return (
-        rows.withColumn("__lead", F.lead("__us").over(in_chunk))
-        .transform(lambda df: join_null_safe(df, following, ["transmitter", "__chunk"]))
-        .withColumn("timediff", (F.coalesce("__lead", "__next") - F.col("__us")) / F.lit(float(MICROS)))
-        .drop("__us", "__chunk", "__lead", "__next")
-        .select(*det.columns, "timediff")
-    )
+    led = rows.withColumn("__lead", F.lead("__us").over(in_chunk))
+    gap = (F.coalesce("__lead", "__next") - F.col("__us")) / F.lit(float(MICROS))
+    return join_null_safe(led, following, ["transmitter", "__chunk"]).select(*det.columns, gap.alias("timediff"))
 
 
 def last_before_gap(
@@ -61,7 +68,7 @@ def last_before_gap(
     keep: int = 5,
     ts: str = "detection_time_ast",
     ties: Sequence[str] = ("station",),
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The last ``keep`` detections ahead of every gap longer than ``gap_seconds``,
     with the gap's number within the tag as ``group``.
@@ -71,8 +78,7 @@ def last_before_gap(
     gap can contribute; the detections are cut down to those before they are
     ranked, and the rank filter is applied ahead of the shuffle.
     """
-    chunk_seconds = min(chunk_seconds, gap_seconds)
-    rows = _chunked(det, ts, chunk_seconds)
+    rows = _chunked(det, ts, min(gap_seconds, MONTH_SECONDS), chunk_rows)
     per_tag = Window.partitionBy("transmitter").orderBy("__chunk")
     so_far = per_tag.rowsBetween(Window.unboundedPreceding, 0)
     ahead = per_tag.rowsBetween(0, keep - 1)

@@ -44,8 +44,7 @@ def bin_positions(spark, d):
 
 @query("zone_of_bin", "SELECT transmitter, date, halfhour, avg_long, avg_lat, mssca FROM zoned")
 def zone_of_bin(spark, d):
-    zoned = geometry.zone_of_bin(s.occupied_bins(restrict.split_datetime(s.detections_short(spark, d))), s.RING)
-    return zoned.select("transmitter", "date", "halfhour", "avg_long", "avg_lat", "mssca")
+    return s.located_bins(spark, d).select("transmitter", "date", "halfhour", "avg_long", "avg_lat", "mssca")
 
 
 @query("fill_gaps", "SELECT * FROM bins")
@@ -58,7 +57,7 @@ def fill_gaps(spark, d):
     "SELECT round(CAST(count(*) FILTER (WHERE mssca = 'in') AS DOUBLE) / count(*) * 100, 9) AS pct_in FROM bins WHERE mssca IS NOT NULL",
 )
 def zone_share(spark, d):
-    return rounded(binning.zone_share(s.bins(spark, d)))
+    return rounded(binning.zone_share(s.located_bins(spark, d)))
 
 
 @query(
@@ -69,12 +68,12 @@ def zone_share(spark, d):
              FROM bins WHERE mssca IS NOT NULL GROUP BY year)""",
 )
 def zone_share_by_year(spark, d):
-    return rounded(binning.zone_share_by_year(s.bins(spark, d)))
+    return rounded(binning.zone_share_by_year(s.located_bins(spark, d)))
 
 
 @query("detections_by_halfhour_zone", "SELECT * FROM zone_cells")
 def detections_by_halfhour_zone(spark, d):
-    return binning.detections_by_halfhour_zone(s.bins(spark, d))
+    return binning.detections_by_halfhour_zone(s.located_bins(spark, d))
 
 
 POSITION = """
@@ -87,18 +86,18 @@ IN_JAN = "AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'"
 
 @query("position_by_halfhour", POSITION.format(keys="transmitter, year, halfhour", where=""))
 def position_by_halfhour(spark, d):
-    return rounded(binning.position_by(s.bins(spark, d), "transmitter", "year", "halfhour"))
+    return rounded(binning.position_by(s.located_bins(spark, d), "transmitter", "year", "halfhour"))
 
 
 @query("position_by_day_halfhour", POSITION.format(keys="date, halfhour", where=IN_JAN))
 def position_by_day_halfhour(spark, d):
-    kept = restrict.between_dates(s.bins(spark, d), *JAN)
+    kept = restrict.between_dates(s.located_bins(spark, d), *JAN)
     return rounded(binning.position_by(kept, "date", "halfhour")).orderBy("avglong", "date", "halfhour")
 
 
 @query("position_window", POSITION.format(keys="transmitter, halfhour", where=IN_JAN))
 def position_window(spark, d):
-    kept = restrict.between_dates(s.bins(spark, d), *JAN)
+    kept = restrict.between_dates(s.located_bins(spark, d), *JAN)
     return rounded(binning.position_by(kept, "transmitter", "halfhour"))
 
 
@@ -114,7 +113,7 @@ def presence_by_month(spark, d):
        WHERE b.avg_lat IS NOT NULL AND b.date >= DATE '2024-01-05' AND b.date < DATE '2024-01-12'""",
 )
 def tide_overlay(spark, d):
-    bins = s.bins(spark, d)
+    bins = s.located_bins(spark, d)
     tides = restrict.between_dates(s.slack_tides(bins), *JAN, closed=False, located=None)
     kept = restrict.between_dates(bins, *JAN, closed=False)
     beside = binning.tide_overlay(kept, tides)
@@ -215,7 +214,7 @@ def _loess_sql(keys: str, source: str) -> str:
     ),
 )
 def local_regression(spark, d):
-    points = binning.position_by(s.bins(spark, d), "transmitter", "year", "halfhour")
+    points = binning.position_by(s.located_bins(spark, d), "transmitter", "year", "halfhour")
     return rounded(distribution.local_regression(points, "avglong", "halfhour", ["year"]), 7)
 
 
@@ -228,5 +227,5 @@ def local_regression(spark, d):
     ),
 )
 def local_regression_by_date(spark, d):
-    kept = restrict.between_dates(s.bins(spark, d), *JAN, closed=False)
+    kept = restrict.between_dates(s.located_bins(spark, d), *JAN, closed=False)
     return rounded(distribution.local_regression(kept, "avg_long", "halfhour", ["date"]), 7)

@@ -137,7 +137,7 @@ def filter_dim_predicate(spark, d):
        WHERE avg_lat IS NOT NULL AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""",
 )
 def filter_date_closed(spark, d):
-    kept = restrict.between_dates(s.bins(spark, d), *JAN)
+    kept = restrict.between_dates(s.located_bins(spark, d), *JAN)
     return kept.select("transmitter", "date", "halfhour", "avg_lat", "avg_long")
 
 

@@ -56,7 +56,7 @@ def distinct_rows(spark, d):
        FROM bins WHERE mssca IS NOT NULL GROUP BY transmitter""",
 )
 def pivot_wider(spark, d):
-    located = s.bins(spark, d).filter(F.col("mssca").isNotNull())
+    located = s.located_bins(spark, d).filter(F.col("mssca").isNotNull())
     return located.groupBy("transmitter").pivot("mssca", ["in", "out"]).count().fillna(0, ["in", "out"])
 
 

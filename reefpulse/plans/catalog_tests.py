@@ -82,7 +82,7 @@ def crosstab_month(spark, d):
 
 
 def _cells(spark, d):
-    return binning.detections_by_halfhour_zone(s.bins(spark, d))
+    return binning.detections_by_halfhour_zone(s.located_bins(spark, d))
 
 
 @query(
@@ -102,7 +102,7 @@ def pivot_zone(spark, d):
              WHERE dafm IS NOT NULL GROUP BY pa)""",
 )
 def chesson_presence(spark, d):
-    return rounded(electivity.chesson_presence(s.bins(spark, d)))
+    return rounded(electivity.chesson_presence(s.presence_table(spark, d)))
 
 
 @query("availability_zone", "SELECT mssca, round(chesson_p, 9) AS chesson_p FROM availability")
@@ -118,7 +118,7 @@ ZONE_COUNTS = "SELECT mssca, count(*) AS tot_freq FROM bins WHERE mssca IS NOT N
     f"SELECT c.mssca, c.tot_freq, round(a.chesson_p, 9) AS chesson_p FROM ({ZONE_COUNTS}) c LEFT JOIN availability a ON a.mssca = c.mssca",
 )
 def join_availability(spark, d):
-    bins = s.bins(spark, d).filter(F.col("mssca").isNotNull())
+    bins = s.located_bins(spark, d).filter(F.col("mssca").isNotNull())
     counts = bins.groupBy("mssca").agg(F.count(F.lit(1)).alias("tot_freq"))
     return rounded(summary.join_availability(counts, electivity.availability_zone(s.station_master(spark, d))))
 
@@ -131,7 +131,7 @@ def join_availability(spark, d):
               FROM ({ZONE_COUNTS}) c LEFT JOIN availability a ON a.mssca = c.mssca)""",
 )
 def chesson_zone(spark, d):
-    return rounded(electivity.chesson_zone(s.bins(spark, d), s.station_master(spark, d)))
+    return rounded(electivity.chesson_zone(s.located_bins(spark, d), s.station_master(spark, d)))
 
 
 @query(
@@ -165,7 +165,7 @@ def chesson_month(spark, d):
        FROM dafm_index""",
 )
 def chesson_dafm(spark, d):
-    return rounded(electivity.chesson_dafm(s.bins(spark, d))).orderBy(F.desc("chesson_s"), "dafm")
+    return rounded(electivity.chesson_dafm(s.presence_table(spark, d))).orderBy(F.desc("chesson_s"), "dafm")
 
 
 @query(
@@ -187,7 +187,7 @@ def chesson_station(spark, d):
        UNION ALL SELECT dafm, 'chesson_p', round(chesson_p, 9) FROM dafm_index""",
 )
 def unpivot_index(spark, d):
-    return rounded(electivity.unpivot_index(electivity.chesson_dafm(s.bins(spark, d))))
+    return rounded(electivity.unpivot_index(electivity.chesson_dafm(s.presence_table(spark, d))))
 
 
 # ---- contingency ------------------------------------------------------------

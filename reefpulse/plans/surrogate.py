@@ -147,14 +147,25 @@ def occupied_bins(det: DataFrame) -> DataFrame:
     return binning.bin_positions(geometry.project_utm(restrict.add_half_hour(det)))
 
 
+def located_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied bins with their zone: what all questions about positions need."""
+    det = restrict.split_datetime(detections_short(spark, sf_dir))
+    return geometry.zone_of_bin(occupied_bins(det), RING)
+
+
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap-free half-hour bins with zone and presence flag.
 
     DAFM is added to the bins, not to the detections: it is the same per date.
     """
+    filled = binning.fill_gaps(located_bins(spark, sf_dir), moons(detections_short(spark, sf_dir)))
+    return restrict.flag_presence(filled)
+
+
+def presence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-hours present and absent per DAFM."""
     det = detections_short(spark, sf_dir)
-    zoned = geometry.zone_of_bin(occupied_bins(restrict.split_datetime(det)), RING)
-    return restrict.flag_presence(binning.fill_gaps(zoned, moons(det)))
+    return binning.presence_by_dafm(occupied_bins(restrict.split_datetime(det)), moons(det))
 
 
 def month_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,15 @@ def test_bins_are_contiguous_over_many_days(spark):
     assert got.agg(F.sum("no_detections")).first()[0] == 2
 
 
+def test_counting_presence_equals_filling(spark):
+    rows = [("a", "1", f"2024-01-{d:02d} {h:02d}:{m}") for d, h, m in ((1, 0, "00"), (1, 23, "59"), (2, 0, "01"), (9, 12, "30"), (9, 13, "00"))]
+    rows += [("b", "1", "2024-01-05 12:00"), ("b", "2", "2024-01-05 12:10")]
+    table = moons(spark, *MOONS)
+    filled = restrict.flag_presence(binning.fill_gaps(_occupied(spark, rows), table))
+    want = tuples(electivity.crosstab(filled, "dafm", "pa", ["A", "P"]), "dafm", "A", "P")
+    assert tuples(binning.presence_by_dafm(_occupied(spark, rows), table), "dafm", "A", "P") == want
+
+
 def test_null_position_and_null_station_in_a_bin(spark):
     got = _occupied(spark, [("a", "1", "2024-01-01 00:00", 17.6, -64.9), ("a", None, "2024-01-01 00:01", None, -64.8)]).first()
     assert (got.no_stations, got.no_detections, got.avg_lat, got.avg_long, got.avg_x) == (2, 2, None, -64.85, None)
@@ -134,11 +143,12 @@ def test_chesson_sums_to_one_and_ignores_null_zones(spark):
 
 def test_chesson_by_dafm_with_an_unseen_cell(spark):
     bins = spark.createDataFrame([(0, "P"), (0, "A"), (1, "A"), (1, "A"), (None, "P")], "dafm int, pa string")
-    got = {r.dafm: r for r in electivity.chesson_dafm(bins).collect()}
+    table = electivity.crosstab(bins, "dafm", "pa", ["A", "P"])
+    got = {r.dafm: r for r in electivity.chesson_dafm(table).collect()}
     assert set(got) == {0, 1}
     assert (got[0].chesson_s, got[1].chesson_s) == (1.0, 0.0)
     assert got[0].chesson_s_abs == pytest.approx(1 / 3) and got[0].chesson_p == 0.5
-    long = electivity.unpivot_index(electivity.chesson_dafm(bins))
+    long = electivity.unpivot_index(electivity.chesson_dafm(table))
     assert long.count() == 6
 
 
