@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+Vertex = tuple[float, float]
+
 # GRS80 ellipsoid and the UTM grid constants.
 GRS80_A = 6378137.0
 GRS80_INV_F = 298.257222101
@@ -47,47 +49,57 @@ def utm(lon: Column, lat: Column, zone: int = 20) -> tuple[Column, Column]:
     return F.lit(UTM_FALSE_EASTING) + scale * x, scale * y
 
 
-def _edge_terms(lon: Column, lat: Column, x1, y1, x2, y2) -> tuple[Column, Column]:
-    """Whether the edge is crossed by an eastward ray, and whether it holds the point."""
+def _column_edge(lon: Column, lat: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """Whether a ray to the east crosses the edge from a to b, and whether the
+    edge holds the point; a and b are vertex structs."""
+    x1, y1, x2, y2 = a["long"], a["lat"], b["long"], b["lat"]
     turn = (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)
-    straddles = (y1 > lat) != (y2 > lat)
-    crosses = straddles & ((turn > 0) == (y2 > y1)) & (turn != 0)
-    on_edge = (
+    crosses = ((y1 > lat) != (y2 > lat)) & (turn != 0) & ((turn > 0) == (y2 > y1))
+    holds = (
         (turn == 0)
         & lon.between(F.least(x1, x2), F.greatest(x1, x2))
         & lat.between(F.least(y1, y2), F.greatest(y1, y2))
     )
-    return crosses, on_edge
+    return crosses, holds
+
+
+def _constant_edge(lon: Column, lat: Column, a: Vertex, b: Vertex) -> tuple[Column | None, Column]:
+    """The same for two constant vertices, with what is known about the edge worked
+    in, so that the generated code stays short."""
+    (x1, y1), (x2, y2) = a, b
+    in_lat = lat.between(min(y1, y2), max(y1, y2))
+    if y1 == y2:
+        return None, (lat == y1) & lon.between(min(x1, x2), max(x1, x2))
+    reached = (lat >= min(y1, y2)) & (lat < max(y1, y2))
+    if x1 == x2:
+        return reached & (lon < x1), (lon == x1) & in_lat
+    turn = F.lit(x2 - x1) * (lat - y1) - F.lit(y2 - y1) * (lon - x1)
+    return reached & (turn > 0 if y2 > y1 else turn < 0), (turn == 0) & in_lat
 
 
-def in_ring(lon: Column, lat: Column, ring: Sequence[tuple[float, float]] | Column) -> Column:
+def in_ring(lon: Column, lat: Column, ring: Sequence[Vertex] | Column) -> Column:
     """True inside the ring or on its boundary; null for a null position.
 
-    ``ring`` is a list of (long, lat) vertices, unrolled to plain comparisons
-    that stay in generated code, or an array<struct<long,lat>> column. It may
-    repeat the first vertex at the end.
+    ``ring`` is a list of (long, lat) vertices, unrolled to plain comparisons in
+    generated code, or an array<struct<long,lat>> column for a ring that is data.
+    It may repeat the first vertex at the end.
     """
     known = lon.isNotNull() & lat.isNotNull()
     if isinstance(ring, Column):
         after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
         edges = F.zip_with(ring, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-        def terms(e):
-            return _edge_terms(lon, lat, e["a"]["long"], e["a"]["lat"], e["b"]["long"], e["b"]["lat"])
-
-        odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != terms(e)[0])
-        touching = F.exists(edges, lambda e: terms(e)[1])
-        return F.when(known, touching | odd)
-    pts = list(ring)
+        odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _column_edge(lon, lat, e["a"], e["b"])[0])
+        held = F.exists(edges, lambda e: _column_edge(lon, lat, e["a"], e["b"])[1])
+        return F.when(known, held | odd)
+    pts = [(float(x), float(y)) for x, y in ring]
     if pts[0] == pts[-1]:
         pts = pts[:-1]
-    lits = [(F.lit(float(x)), F.lit(float(y))) for x, y in pts]
-    pairs = [_edge_terms(lon, lat, *a, *b) for a, b in zip(lits, lits[1:] + lits[:1])]
-    odd = reduce(lambda p, q: p != q, (c for c, _ in pairs))
-    touching = reduce(lambda p, q: p | q, (t for _, t in pairs))
-    xs, ys = [x for x, _ in pts], [y for _, y in pts]
-    in_box = lon.between(float(min(xs)), float(max(xs))) & lat.between(float(min(ys)), float(max(ys)))
-    return F.when(known, in_box & (touching | odd))
+    edges = [_constant_edge(lon, lat, a, b) for a, b in zip(pts, pts[1:] + pts[:1])]
+    odd = reduce(lambda p, q: p != q, (c for c, _ in edges if c is not None))
+    held = reduce(lambda p, q: p | q, (h for _, h in edges))
+    xs, ys = zip(*pts)
+    in_box = lon.between(min(xs), max(xs)) & lat.between(min(ys), max(ys))
+    return F.when(known, in_box & (odd | held))
 
 
 def east_component(direction_deg: Column) -> Column:

@@ -115,7 +115,8 @@ def presence_by_dafm(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_
 
 
 def zone_share(bins: DataFrame) -> DataFrame:
-    """Percent of complete bins inside the closed area."""
+    """Percent of complete bins inside the closed area. Complete means without a null
+    in any column given: pass only the columns that should count."""
     whole = bins.dropna("any")
     return whole.agg((share(F.count_if(F.col("mssca") == "in"), F.count(F.lit(1))) * 100).alias("pct_in"))
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reefpulse.functions.geo import east_component, in_ring, utm
+from reefpulse.functions.geo import Vertex, east_component, in_ring, utm
 
 
 def project_utm(det: DataFrame, lon: str = "long_nad83", lat: str = "lat_nad83", zone: int = 20) -> DataFrame:
@@ -16,15 +16,16 @@ def project_utm(det: DataFrame, lon: str = "long_nad83", lat: str = "lat_nad83",
 
 
 def point_in_polygon(
-    df: DataFrame, lon: str, lat: str, ring: Sequence[tuple[float, float]] | Column, out: str = "inside"
+    df: DataFrame, lon: str, lat: str, ring: Sequence[Vertex] | Column, out: str = "inside"
 ) -> DataFrame:
     return df.withColumn(out, in_ring(F.col(lon), F.col(lat), ring))
 
 
-def zone_of_bin(bins: DataFrame, ring: Sequence[tuple[float, float]] | Column) -> DataFrame:
+def zone_of_bin(bins: DataFrame, ring: Sequence[Vertex] | Column) -> DataFrame:
     """Adds ``mssca``: 'in' or 'out' by the bin's mean position, null without one."""
-    inside = in_ring(F.col("avg_long"), F.col("avg_lat"), ring)
-    return bins.withColumn("mssca", F.when(inside, "in").when(~inside, "out"))
+    lon, lat = F.col("avg_long"), F.col("avg_lat")
+    zone = F.when(in_ring(lon, lat, ring), "in").otherwise("out")
+    return bins.withColumn("mssca", F.when(lon.isNotNull() & lat.isNotNull(), zone))
 
 
 def current_component(df: DataFrame, direction: str = "direction_1_9") -> DataFrame:

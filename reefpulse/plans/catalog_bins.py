@@ -57,7 +57,7 @@ def fill_gaps(spark, d):
     "SELECT round(CAST(count(*) FILTER (WHERE mssca = 'in') AS DOUBLE) / count(*) * 100, 9) AS pct_in FROM bins WHERE mssca IS NOT NULL",
 )
 def zone_share(spark, d):
-    return rounded(binning.zone_share(s.located_bins(spark, d)))
+    return rounded(binning.zone_share(s.located_bins(spark, d).select("mssca")))
 
 
 @query(
@@ -68,7 +68,7 @@ def zone_share(spark, d):
              FROM bins WHERE mssca IS NOT NULL GROUP BY year)""",
 )
 def zone_share_by_year(spark, d):
-    return rounded(binning.zone_share_by_year(s.located_bins(spark, d)))
+    return rounded(binning.zone_share_by_year(s.located_bins(spark, d).select("year", "mssca")))
 
 
 @query("detections_by_halfhour_zone", "SELECT * FROM zone_cells")

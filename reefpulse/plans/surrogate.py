@@ -74,8 +74,8 @@ def detections_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers in credit as listed stations, and one station no tag ever visits."""
     s = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") >= 0)
-    silent = spark.range(1).select(
-        F.lit("S566").alias("station"), F.lit("out").alias("mssca"), F.lit(1).alias("years_deployed")
+    silent = spark.range(566, 567).select(
+        F.concat(F.lit("S"), F.col("id").cast("string")).alias("station"), F.lit("out").alias("mssca"), F.lit(1).alias("years_deployed")
     )
     listed = s.select(
         F.col("s_suppkey").cast("string").alias("station"),
