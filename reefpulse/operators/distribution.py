@@ -235,16 +235,27 @@ def linear_fit_p(fit: DataFrame) -> DataFrame:
 
 
 def local_regression(
-    df: DataFrame, y: str, x: str, by: Sequence[str] = (), *, span: float = 0.75
+    df: DataFrame,
+    y: str,
+    x: str,
+    by: Sequence[str] = (),
+    *,
+    span: float = 0.75,
+    step: float = 0.5,
+    slots: int = 48,
 ) -> DataFrame:
     """Local quadratic with tricube weights, evaluated at each x that occurs.
 
-    Meant for an x on a fixed grid such as the 48 half-hours: rows are reduced to
-    one (n, sum y) per group and grid value before anything else, so the points
-    carried per group are bounded by the grid. The neighbourhood is the
-    floor(span * n) nearest observations, counted with repeats.
+    x lies on a grid of ``slots`` values 0, step, 2 step, ... (the half-hours of a
+    day); anything else is an error. Rows are first reduced to one (n, sum y) per
+    group and grid value, so a group carries at most ``slots`` points. The
+    neighbourhood is the floor(span * n) nearest observations, with repeats.
     """
-    Y, X = F.col(y).cast("double"), F.col(x).cast("double")
+    Y, raw = F.col(y).cast("double"), F.col(x).cast("double")
+    at_slot = raw / F.lit(float(step))
+    on_grid = (at_slot == F.floor(at_slot)) & at_slot.between(0, slots - 1)
+    off_grid = F.raise_error(F.concat(F.lit(f"{x} is not on the grid: "), raw.cast("string"))).cast("double")
+    X = F.when(on_grid | raw.isNull(), raw).otherwise(off_grid)
     pts = (
         df.filter(Y.isNotNull() & X.isNotNull())
         .groupBy(*by, X.alias("x"))

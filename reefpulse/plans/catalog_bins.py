@@ -229,3 +229,17 @@ def local_regression(spark, d):
 def local_regression_by_date(spark, d):
     kept = restrict.between_dates(s.located_bins(spark, d), *JAN, closed=False)
     return rounded(distribution.local_regression(kept, "avg_long", "halfhour", ["date"]), 7)
+
+
+@query(
+    "local_regression_window",
+    _loess_sql(
+        "",
+        """SELECT transmitter, halfhour, avg(avg_long) AS y FROM bins
+           WHERE avg_lat IS NOT NULL AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' GROUP BY transmitter, halfhour""",
+    ),
+)
+def local_regression_window(spark, d):
+    kept = restrict.between_dates(s.located_bins(spark, d), *JAN)
+    points = binning.position_by(kept, "transmitter", "halfhour")
+    return rounded(distribution.local_regression(points, "avglong", "halfhour"), 7)

@@ -160,6 +160,15 @@ def filter_ts_by_date(spark, d):
     return restrict.between_midnights(s.currents(spark, d), *JAN)
 
 
+@query(
+    "filter_ts_before_date",
+    "SELECT transmitter, detection_time_ast, z FROM depth WHERE detection_time_ast < TIMESTAMP '2024-01-12 00:00:00'",
+)
+def filter_ts_before_date(spark, d):
+    depth = restrict.before_date(s.categorized_depth(spark, d), JAN[1], "detection_time_ast")
+    return depth.select("transmitter", "detection_time_ast", "z")
+
+
 @query("flag_presence", "SELECT transmitter, date, halfhour, no_stations, pa FROM bins")
 def flag_presence(spark, d):
     return s.bins(spark, d).select("transmitter", "date", "halfhour", "no_stations", "pa")
@@ -274,9 +283,14 @@ def time_gap(spark, d):
        JOIN stations s ON s.station = p.station""",
 )
 def processed_detections(spark, d):
-    """The whole cleaning chain: restrict, split, gap, DAFM, zone, projection."""
+    """The whole cleaning chain: restrict, split, gap, DAFM, zone, projection.
+
+    The gap comes first of the additions, while rows are still narrow.
+    """
     det, master = s.detections_short(spark, d), s.station_master(spark, d)
-    kept = lunar.add_dafm(restrict.split_datetime(restrict.at_stations(det, master)), s.moons(det))
-    out = visits.time_gap(geometry.project_utm(restrict.attach_zone(kept, master)), ties=("station", "event_id"))
+    kept = restrict.split_datetime(restrict.at_stations(det, master))
+    gaps = visits.time_gap(kept, ties=("station", "event_id"))
+    zoned = restrict.attach_zone(lunar.add_dafm(gaps, s.moons(det)), master)
+    out = geometry.project_utm(zoned)
     columns = ["event_id", "transmitter", "station", "year", "date", "hour", "min", "dafm", "mssca", "timediff"]
     return rounded(out.select(*columns, "x_utm20n", "y_utm20n"), 4, timediff=6)

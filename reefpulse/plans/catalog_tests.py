@@ -350,6 +350,46 @@ def histogram_trips(spark, d):
     return rounded(distribution.histogram(visits.trips_strict(days), "trips", width=1.0))
 
 
+@query(
+    "histogram_by_fish",
+    _round_edges(
+        HIST_SQL.format(
+            width="((max(z) - min(z)) / 29)", x="z", source="depth", by="g.fish,", groups="fish,",
+            cross="CROSS JOIN (SELECT DISTINCT fish FROM depth)", own="fish,", same="AND c.fish = g.fish",
+        )
+    ),
+)
+def histogram_by_fish(spark, d):
+    return rounded(distribution.histogram(s.categorized_depth(spark, d), "z", ["fish"]))
+
+
+@query(
+    "histogram_absences",
+    _round_edges(
+        HIST_SQL.format(
+            width="((max(absdays) - min(absdays)) / 29e0)", x="absdays", source="gaps", by="", groups="", cross="", own="", same=""
+        )
+    ),
+)
+def histogram_absences(spark, d):
+    days = visits.visit_days(restrict.split_datetime(s.detections_long(spark, d)))
+    return rounded(distribution.histogram(visits.absences(days), "absdays"))
+
+
+@query(
+    "six_number_trips_per_year",
+    SIX_SQL.format(
+        by="", x="trips",
+        source="""(SELECT count(*) AS trips FROM gaps WHERE year(last_date) IN (1996, 1997, 1998)
+                   GROUP BY transmitter, year(last_date))""",
+    ),
+)
+def six_number_trips_per_year(spark, d):
+    days = visits.visit_days(restrict.split_datetime(s.detections_long(spark, d)))
+    by_year = visits.trips_by_year(days, days, (1996, 1997, 1998)).filter(F.col("trips") != 0)
+    return rounded(distribution.six_number(by_year, "trips"))
+
+
 @query(
     "levene",
     """SELECT k - 1 AS df1, n - k AS df2, round(between_ss / (k - 1) / (within_ss / (n - k)), 6) AS f

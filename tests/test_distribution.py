@@ -141,6 +141,13 @@ def test_local_regression_matches_weighted_least_squares(spark):
         assert got[("a", x0)] == pytest.approx(beta[0])
 
 
+def test_local_regression_refuses_values_off_the_grid(spark):
+    for bad in (0.25, 24.0, -0.5):
+        df = spark.createDataFrame([(bad, 1.0)], "x double, y double")
+        with pytest.raises(Exception, match="not on the grid"):
+            distribution.local_regression(df, "y", "x").collect()
+
+
 def _counts(spark, cells):
     return spark.createDataFrame(cells, "r string, c string, n long")
 
