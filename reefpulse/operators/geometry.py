@@ -15,17 +15,27 @@ def project_utm(det: DataFrame, lon: str = "long_nad83", lat: str = "lat_nad83",
     return det.withColumns({"x_utm20n": x, "y_utm20n": y})
 
 
+def _holding_ring(df: DataFrame, ring: Sequence[Vertex] | Column) -> tuple[DataFrame, Sequence[Vertex] | Column]:
+    """A ring that is data becomes a column first, because it may be a scalar
+    subquery, which array functions do not take."""
+    if isinstance(ring, Column):
+        return df.withColumn("__ring", ring), F.col("__ring")
+    return df, ring
+
+
 def point_in_polygon(
     df: DataFrame, lon: str, lat: str, ring: Sequence[Vertex] | Column, out: str = "inside"
 ) -> DataFrame:
-    return df.withColumn(out, in_ring(F.col(lon), F.col(lat), ring))
+    rows, ring = _holding_ring(df, ring)
+    return rows.withColumn(out, in_ring(F.col(lon), F.col(lat), ring)).drop("__ring")
 
 
 def zone_of_bin(bins: DataFrame, ring: Sequence[Vertex] | Column) -> DataFrame:
     """Adds ``mssca``: 'in' or 'out' by the bin's mean position, null without one."""
+    rows, ring = _holding_ring(bins, ring)
     lon, lat = F.col("avg_long"), F.col("avg_lat")
     zone = F.when(in_ring(lon, lat, ring), "in").otherwise("out")
-    return bins.withColumn("mssca", F.when(lon.isNotNull() & lat.isNotNull(), zone))
+    return rows.withColumn("mssca", F.when(lon.isNotNull() & lat.isNotNull(), zone)).drop("__ring")
 
 
 def current_component(df: DataFrame, direction: str = "direction_1_9") -> DataFrame:

@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from reefpulse.operators import geometry, lunar, restrict, visits
+from reefpulse.operators import restrict, visits
+from reefpulse.plans import stages
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.registry import query, rounded
 from reefpulse.session import shared_folder
@@ -283,14 +284,30 @@ def time_gap(spark, d):
        JOIN stations s ON s.station = p.station""",
 )
 def processed_detections(spark, d):
-    """The whole cleaning chain: restrict, split, gap, DAFM, zone, projection.
-
-    The gap comes first of the additions, while rows are still narrow.
-    """
-    det, master = s.detections_short(spark, d), s.station_master(spark, d)
-    kept = restrict.split_datetime(restrict.at_stations(det, master))
-    gaps = visits.time_gap(kept, ties=("station", "event_id"))
-    zoned = restrict.attach_zone(lunar.add_dafm(gaps, s.moons(det)), master)
-    out = geometry.project_utm(zoned)
+    """The whole first stage."""
+    det = s.detections_short(spark, d)
+    out = stages.clean(det, s.station_master(spark, d), s.moons(det), ties=("station", "event_id"))
     columns = ["event_id", "transmitter", "station", "year", "date", "hour", "min", "dafm", "mssca", "timediff"]
     return rounded(out.select(*columns, "x_utm20n", "y_utm20n"), 4, timediff=6)
+
+
+def _cut(spark, d):
+    det = s.detections_short(spark, d)
+    cleaned = stages.clean(det, s.station_master(spark, d), s.moons(det), ties=("station", "event_id"))
+    return stages.cut(cleaned, s.transmitter_master(spark, d), s.analysed_tags(spark, d))
+
+
+@query(
+    "cut_detections",
+    "SELECT event_id, transmitter, station, date, halfhour, dafm FROM cut_short",
+)
+def cut_detections(spark, d):
+    """The first two stages."""
+    columns = ["event_id", "transmitter", "station", "date", "halfhour", "dafm"]
+    return restrict.add_half_hour(_cut(spark, d)).select(columns)
+
+
+@query("cut_bins", "SELECT * EXCLUDE (pa) FROM cut_bins")
+def cut_bins(spark, d):
+    """All three stages: gap-free bins of the analysed tags on the array."""
+    return stages.bin_half_hours(_cut(spark, d), s.RING, s.moons(s.detections_short(spark, d)))

@@ -105,6 +105,45 @@ def _trip_days(compare: str) -> str:
     """
 
 
+def _occupied(det: str) -> str:
+    return f"""
+    SELECT transmitter, year, date, halfhour, count(DISTINCT station) AS no_stations, count(*) AS no_detections,
+           min(dafm) AS dafm, round(avg(lat_nad83), 5) AS avg_lat, round(avg(long_nad83), 5) AS avg_long,
+           round(avg(x_utm20n), 2) AS avg_x, round(avg(y_utm20n), 2) AS avg_y
+    FROM {det} GROUP BY ALL
+    """
+
+
+def _zoned(occupied: str, inside: str) -> str:
+    return f"""
+    SELECT o.*, CASE WHEN i.inside THEN 'in' WHEN NOT i.inside THEN 'out' END AS mssca
+    FROM {occupied} o LEFT JOIN {inside} i ON i.avg_long = o.avg_long AND i.avg_lat = o.avg_lat
+    """
+
+
+def _spine(occupied: str) -> str:
+    slot = "date + to_minutes(CAST(halfhour * 60 AS BIGINT))"
+    return f"""
+    SELECT transmitter, CAST(slot AS DATE) AS date,
+           hour(slot) + CASE WHEN minute(slot) < 30 THEN 0e0 ELSE 5e-1 END AS halfhour
+    FROM (SELECT transmitter, unnest(generate_series(min({slot}), max({slot}), INTERVAL 30 MINUTE)) AS slot
+          FROM {occupied} GROUP BY transmitter)
+    """
+
+
+def _bins(spine: str, zoned: str) -> str:
+    return f"""
+    SELECT s.transmitter, CAST(year(s.date) AS INTEGER) AS year, s.date, s.halfhour,
+           coalesce(z.no_stations, 0) AS no_stations, coalesce(z.no_detections, 0) AS no_detections,
+           CASE WHEN z.transmitter IS NULL THEN d.dafm ELSE z.dafm END AS dafm,
+           z.avg_lat, z.avg_long, z.avg_x, z.avg_y, z.mssca,
+           CASE WHEN coalesce(z.no_stations, 0) > 0 THEN 'P' ELSE 'A' END AS pa
+    FROM {spine} s
+    LEFT JOIN {zoned} z ON z.transmitter = s.transmitter AND z.date = s.date AND z.halfhour = s.halfhour
+    LEFT JOIN day_dafm d ON d.date = s.date
+    """
+
+
 VIEWS: dict[str, str] = {
     "det_short": _DETECTIONS.format(
         rows="SELECT user_id AS tag, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, ts AS t, event_id FROM events"
@@ -136,17 +175,17 @@ VIEWS: dict[str, str] = {
     "dated_long": _dated("det_long", "cal_long"),
     "edges": _edges(),
     "utm_short": _utm("dated_short"),
-    "occupied": """
-    SELECT transmitter, year, date, halfhour, count(DISTINCT station) AS no_stations, count(*) AS no_detections,
-           min(dafm) AS dafm, round(avg(lat_nad83), 5) AS avg_lat, round(avg(long_nad83), 5) AS avg_long,
-           round(avg(x_utm20n), 2) AS avg_x, round(avg(y_utm20n), 2) AS avg_y
-    FROM utm_short GROUP BY ALL
+    "cut_short": """
+    SELECT u.* FROM utm_short u JOIN tags t ON t.transmitter = u.transmitter
+    WHERE u.station IN (SELECT station FROM stations) AND u.transmitter IN (SELECT transmitter FROM analysed)
+      AND u.date > t.release_date
     """,
+    "occupied": _occupied("utm_short"),
+    "cut_occupied": _occupied("cut_short"),
     "inside_bins": inside_sql("occupied", "avg_long", "avg_lat"),
-    "zoned": """
-    SELECT o.*, CASE WHEN i.inside THEN 'in' WHEN NOT i.inside THEN 'out' END AS mssca
-    FROM occupied o LEFT JOIN inside_bins i ON i.avg_long = o.avg_long AND i.avg_lat = o.avg_lat
-    """,
+    "cut_inside": inside_sql("cut_occupied", "avg_long", "avg_lat"),
+    "zoned": _zoned("occupied", "inside_bins"),
+    "cut_zoned": _zoned("cut_occupied", "cut_inside"),
     "day_dafm": """
     SELECT d.date, CAST(CASE WHEN neg > -10 THEN neg ELSE pos END AS INTEGER) AS dafm
     FROM (SELECT d.date, min(CASE WHEN d.date >= m.date THEN d.date - m.date END) AS pos,
@@ -154,24 +193,10 @@ VIEWS: dict[str, str] = {
           FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM occupied) d
           CROSS JOIN moons_short m GROUP BY d.date) d
     """,
-    "spine": """
-    SELECT transmitter, CAST(slot AS DATE) AS date,
-           hour(slot) + CASE WHEN minute(slot) < 30 THEN 0e0 ELSE 5e-1 END AS halfhour
-    FROM (SELECT transmitter, unnest(generate_series(
-                   min(date + to_minutes(CAST(halfhour * 60 AS BIGINT))),
-                   max(date + to_minutes(CAST(halfhour * 60 AS BIGINT))), INTERVAL 30 MINUTE)) AS slot
-          FROM occupied GROUP BY transmitter)
-    """,
-    "bins": """
-    SELECT s.transmitter, CAST(year(s.date) AS INTEGER) AS year, s.date, s.halfhour,
-           coalesce(z.no_stations, 0) AS no_stations, coalesce(z.no_detections, 0) AS no_detections,
-           CASE WHEN z.transmitter IS NULL THEN d.dafm ELSE z.dafm END AS dafm,
-           z.avg_lat, z.avg_long, z.avg_x, z.avg_y, z.mssca,
-           CASE WHEN coalesce(z.no_stations, 0) > 0 THEN 'P' ELSE 'A' END AS pa
-    FROM spine s
-    LEFT JOIN zoned z ON z.transmitter = s.transmitter AND z.date = s.date AND z.halfhour = s.halfhour
-    LEFT JOIN day_dafm d ON d.date = s.date
-    """,
+    "spine": _spine("occupied"),
+    "cut_spine": _spine("cut_occupied"),
+    "bins": _bins("spine", "zoned"),
+    "cut_bins": _bins("cut_spine", "cut_zoned"),
     "days_long": "SELECT DISTINCT transmitter, CAST(detection_time_ast AS DATE) AS date FROM det_long",
     "gaps": """
     SELECT transmitter, date AS last_date, CAST(nxt - date AS INTEGER) AS absdays
