@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from reefpulse.functions.geo import east_component
 from reefpulse.operators import binning, distribution, geometry, restrict, summary
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.oracle_views import inside_sql

@@ -306,8 +306,9 @@ def linear_fit(spark, d):
 
 @query(
     "linear_fit_by_tag",
-    """SELECT transmitter, count(*) AS n, round(regr_slope(triplen, monthnum), 6) AS slope,
-              round(regr_intercept(triplen, monthnum), 6) AS intercept
+    """SELECT transmitter, count(*) AS n,
+              CASE WHEN min(monthnum) < max(monthnum) THEN round(regr_slope(triplen, monthnum), 6) END AS slope,
+              CASE WHEN min(monthnum) < max(monthnum) THEN round(regr_intercept(triplen, monthnum), 6) END AS intercept
        FROM trips WHERE monthnum IS NOT NULL GROUP BY transmitter""",
 )
 def linear_fit_by_tag(spark, d):

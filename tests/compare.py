@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 
@@ -26,9 +25,7 @@ def duck(sf_dir: str):
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return (0, "")
-    return (1, repr(v + 0.0) if isinstance(v, float) else repr(v))
+    return (v is not None, repr(v))
 
 
 def _rows(names, rows):
