@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reefpulse.llm.license_scan import scan_licenses
+from reefpulse.llm.mixing import coin, with_copies, word_count
+from reefpulse.llm.quality import CUTOFF, fit, judged, measured, statistics
+from reefpulse.llm.store import stored
 from reefpulse.llm.substring_dedup import drop_repeats
+from reefpulse.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MIX_SEED = 20
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -27,3 +33,45 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(docs, length=20, layout=False).select(
         "doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.text", 256).alias("kept_sha256")
     )
+
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+REJECT_WORDS = ("casino", "pills", "bets", "spam", "ads", "porn", "viagra", "poker")
+
+
+@query
+def op2_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge_urls(pages, "url", URL_RULES, REJECT_WORDS)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = stored(
+        docs.select(
+            "doc_id", "source", word_count(F.col("text")).alias("size"), coin(F.col("doc_id"), F.col("text"), MIX_SEED).alias("coin")
+        ),
+        "sizes",
+    )
+    mixed = with_copies(sized, weights=(5, 2, 1), total=1.5, cap=2.0)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
+@query
+def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = stored(measured(docs).select("doc_id", "quality", "__lang", "__source"), "quality")
+    verdicts = judged(known, fit(statistics(known)), CUTOFF)
+    return verdicts.select(
+        "doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept", F.round("distance", 3).alias("distance"),
+    )
