@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reefpulse.llm.decontaminate import contaminated
+from reefpulse.llm.html_extract import extract_text
+from reefpulse.llm.language_id import identify
 from reefpulse.llm.license_scan import scan_licenses
+from reefpulse.llm.minhash import near_duplicates
 from reefpulse.llm.mixing import coin, with_copies, word_count
 from reefpulse.llm.quality import CUTOFF, fit, judged, measured, statistics
-from reefpulse.llm.store import stored
+from reefpulse.llm.store import new_folder, stored
 from reefpulse.llm.substring_dedup import drop_repeats
 from reefpulse.llm.url_filter import judge_urls
+from reefpulse.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +53,7 @@ def op2_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 @query
@@ -75,3 +80,37 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed", "kept", F.round("distance", 3).alias("distance"),
     )
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def op5_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
+@query
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path, with_payload=False).where("problem is null")
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
