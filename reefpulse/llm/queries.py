@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reefpulse.llm import oracles
 from reefpulse.llm.decontaminate import contaminated
 from reefpulse.llm.html_extract import extract_text
 from reefpulse.llm.language_id import identify
@@ -19,7 +20,12 @@ from reefpulse.llm.url_filter import judge_urls
 from reefpulse.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op4_near_duplicates": oracles.OP4,
+    "op8_warc_salvage": oracles.OP8,
+    "op9_source_mix": oracles.OP9,
+}
 MIX_SEED = 20
 
 
@@ -67,7 +73,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     mixed = with_copies(sized, weights=(5, 2, 1), total=1.5, cap=2.0)
     return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
 
 

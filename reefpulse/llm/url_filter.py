@@ -131,11 +131,17 @@ def best_threshold(scored: DataFrame, step: float = 0.01) -> DataFrame:
     upward = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(F.lit(0))
     below_no, below_yes = (F.coalesce(F.sum(c).over(upward), F.lit(0)) for c in ("no", "yes"))
-    gain = below_no / F.sum("no").over(every) - below_yes / F.sum("yes").over(every)
-    best = bins.select((F.col("bin") * step).alias("at"), gain.alias("gain"))
+    all_no, all_yes = F.sum("no").over(every), F.sum("yes").over(every)
+    gain = F.when((all_no > 0) & (all_yes > 0), below_no / all_no - below_yes / all_yes)
+    best = bins.select((F.col("bin") * step).alias("at"), gain.alias("gain")).where("gain is not null")
     return best.agg(F.coalesce(F.max_by("at", F.struct("gain", -F.abs("at"))), F.lit(0.0)).alias("threshold"))
 
 
+def kept_aside(host: Column, path: Column) -> Column:
+    """A quarter of all URLs, by hash."""
+    return F.pmod(F.xxhash64(host, path), F.lit(4)) == 0
+
+
 def judge_urls(
     pages: DataFrame, url: str, rules: Sequence[tuple[str, str]], reject_words: Sequence[str] = (),
     smoothing: float = 4.0, least_seen: int = 4,
@@ -155,16 +161,16 @@ def judge_urls(
     label = F.when(F.col("__rule").isNotNull(), F.col("__rule.verdict") == "allow").when(seeded, F.lit(False))
     labelled = known.select(
         label.alias("accept"), F.col("__classes").alias("classes"),
-        (F.pmod(F.xxhash64("host", "path"), F.lit(4)) == 0).alias("aside"),
+        kept_aside(F.col("host"), F.col("path")).alias("aside"),
     ).where("accept is not null")
     ratios = stored(
         log_ratios(labelled.where("not aside").select("accept", _grams(F.col("classes")).alias("grams")), smoothing, least_seen),
         "ratios",
     )
-    kept_aside = labelled.where("aside").withColumn("ratios", ratios.scalar()).select(
+    calibration = labelled.where("aside").withColumn("ratios", ratios.scalar()).select(
         "accept", mean_ratio(F.col("classes"), F.col("ratios")).alias("score")
     )
-    threshold = stored(best_threshold(kept_aside), "threshold")
+    threshold = stored(best_threshold(calibration), "threshold")
     scored = known.withColumn("__ratios", ratios.scalar())
     scored = scored.withColumn("score", mean_ratio(F.col("__classes"), F.col("__ratios"))).drop("__ratios")
     own = F.when(F.col("score") >= threshold.scalar(), F.lit("allow")).otherwise(F.lit("block"))
