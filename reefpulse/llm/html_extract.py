@@ -40,7 +40,7 @@ from reefpulse.llm.url_filter import host_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:/?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[!?][^>]*(?:>|\Z))", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,10 +70,10 @@ def _hash(text: str) -> int:
 @lru_cache(1 << 14)
 def _style(parent: int, tag: str, raw: str) -> tuple[int, bool, bool]:
     """The path's hash, whether the node's words name a purpose other than the article, and whether comments."""
-    names = " ".join(m.strip("\"'") for m in _ATTRIBUTE.findall(raw)) if "=" in raw else ""
-    words = {w.lower() for w in _WORD.findall(names)}
-    # Ids with digits are mostly one per page and no style.
-    shown = " ".join(sorted(w for w in names.split() if not any(c.isdigit() for c in w)))
+    found = [(n.lower(), v.strip("\"'")) for n, v in _ATTRIBUTE.findall(raw)] if "=" in raw else []
+    words = {w.lower() for _, v in found for w in _WORD.findall(v)}
+    # Ids with digits and classes with long numbers are mostly one per page, and no style.
+    shown = " ".join(sorted(w for n, v in found for w in v.split() if not re.search(r"\d" if n == "id" else r"\d{3}", w)))
     return _hash(f"{parent}/{tag}.{shown}"), bool(words & NOISE_WORDS), bool(words & COMMENT_WORDS)
 
 

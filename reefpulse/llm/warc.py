@@ -139,26 +139,6 @@ def _record(data: bytes, at: int) -> tuple[int, dict]:
     }
 
 
-def _plain(data: bytes, base: int | None = None) -> Iterator[dict]:
-    """Records and gaps of uncompressed bytes; offsets count from ``base`` if the bytes came from a member there."""
-    at = gap = 0
-    why = ""
-    while at < len(data):
-        try:
-            end, record = _record(data, at)
-        except ValueError as e:
-            why = why or str(e)
-            found = _START.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if gap < at:
-            yield {"offset": gap, "length": at - gap, "problem": why}
-        yield {"offset": at, "length": end - at} | record
-        at, gap, why = end, end, ""
-    if gap < len(data):
-        yield {"offset": gap, "length": len(data) - gap, "problem": why}
-
-
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What a gzip member yields, where it ends, and what is wrong with it."""
     out, d, step = [], zlib.decompressobj(31), 1 << 16
@@ -172,35 +152,55 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
         return b"".join(out), -1, f"gzip: {e}"
 
 
+def _next(data: bytes, at: int) -> int:
+    """Where the next version line is, or the next gzip member that starts with one."""
+    line = _START.search(data, at)
+    stop = line.start() if line else len(data)
+    mark = data.find(_GZIP, at, stop)
+    while mark >= 0:
+        try:
+            if _START.match(zlib.decompressobj(31).decompress(data[mark : mark + 4096], 64)):
+                return mark
+        except zlib.error:
+            pass
+        mark = data.find(_GZIP, mark + 1, stop)
+    return stop
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of one archive, plain or gzipped, and its quarantined gaps.
 
-    Offsets of records in gzip members count in the member's own bytes; those of
-    damaged members in the file's.
+    Offsets count in the file; those of what is inside a gzip member count in the
+    member's own bytes, and a gap there says so.
     """
-    at = 0
+    at = gap = 0
+    why = ""
     while at < len(data):
-        if not data.startswith(_GZIP, at):
-            found = data.find(_GZIP, at)
-            stop = found if found >= 0 else len(data)
-            # A gzip mark inside plain text is no member: only split there if the text ends with a record.
-            rows = list(_plain(data[at:stop]))
-            if stop < len(data) and rows and rows[-1].get("problem"):
-                found = -1
-                rows, stop = list(_plain(data[at:])), len(data)
-            for row in rows:
-                yield row | {"offset": row["offset"] + at}
-            at = stop
+        try:
+            if data.startswith(_GZIP, at):
+                text, end, wrong = _member(data, at)
+                if wrong and not _START.match(text):
+                    raise ValueError(wrong)
+                end = _next(data, at + 1) if wrong else end
+                found = list(salvage(text))
+                if wrong:
+                    found = [r for r in found if "problem" not in r] + [{"offset": at, "length": end - at, "problem": wrong}]
+                else:
+                    found = [r | {"problem": f"in the member at {at}: {r['problem']}"} if "problem" in r else r for r in found]
+            else:
+                end, record = _record(data, at)
+                found = [{"offset": at, "length": end - at} | record]
+        except ValueError as e:
+            why = why or str(e)
+            at = _next(data, at + 1)
             continue
-        text, end, wrong = _member(data, at)
-        yield from _plain(text)
-        if wrong:
-            after = data.find(_GZIP, at + 1) if end < 0 else -1
-            stop = after if after >= 0 else len(data)
-            yield {"offset": at, "length": stop - at, "problem": wrong}
-            at = stop
-        else:
-            at = end
+        if gap < at:
+            yield {"offset": gap, "length": at - gap, "problem": why}
+        yield from found
+        at = gap = end
+        why = ""
+    if gap < len(data):
+        yield {"offset": gap, "length": len(data) - gap, "problem": why}
 
 
 def _read(with_payload: bool):
