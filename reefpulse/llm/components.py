@@ -15,7 +15,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour greater than a node is tied to the node's least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free checksum of a set of edges."""
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,12 +42,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(edges, "edges")
-    mark = _mark(edges)
-    while True:
+    while not _stars(edges):
         edges = stored(_small_star(_large_star(edges)), "edges")
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))

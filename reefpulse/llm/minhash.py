@@ -7,11 +7,12 @@ of the similarity: the share of equal pairs of bits, corrected for the quarter t
 agree by chance. Candidates whose estimate is more than five standard errors under
 the threshold are dropped, all others are confirmed on the full sets.
 
-A bucket is not expanded into pairs. Its members are compared with one of them;
-classes that are linked by then need no further comparison, so further rounds take
-another member of those buckets only that still hold several components. What is
-still apart after ``rounds`` is compared in full across components, so no link
-between candidates is lost. At a similarity of 0.8 a pair escapes all 40 bands with
+A bucket is not expanded into pairs. Its members are compared with one of them, and
+only buckets that hold several components then need more. Small ones are compared in
+full across components. In large ones further rounds compare another member with the
+rest; what is then outside the main component of a group is compared with the whole
+group on full sets, in blocks of bounded size that yield one link for a member and a
+component. So no link between candidates is lost, however large a group. At a similarity of 0.8 a pair escapes all 40 bands with
 probability 1e-7.
 
 Defined results: null or empty text has an empty set and is linked with nothing;
@@ -41,6 +42,10 @@ WORDS = -(-MINIMA // 32)
 # Packed elements of a full set: the low 48 bits of each 64-bit hash.
 BYTES = 6
 BLOOM_WORDS = 1 << 17
+# Members of buckets up to this size are compared at once where components differ.
+SMALL_BUCKET = 32
+# Full sets in a block of a large group; two blocks meet in a task.
+BLOCK_BYTES = 1 << 22
 
 
 def _sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +159,33 @@ def _estimate(a: Column, b: Column) -> Column:
     return (1 - differ / F.lit(MINIMA) - 0.25) / 0.75
 
 
+def _compare_blocks(percent: int):
+    """Links between members of two blocks with different roots, one for each member and other root at most."""
+    def run(block: pa.Table) -> pa.Table:
+        sid, root, side = (block.column(c).to_numpy() for c in ("sid", "root", "side"))
+        sets = [_unpacked(x.as_py()) for x in block.column("items")]
+        right = np.flatnonzero(side)
+        size = np.array([len(x) for x in sets])
+        # For each element of the right side, which sets there hold it.
+        items = np.concatenate([sets[k] for k in right] or [np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order]
+        u, v = [], []
+        for k in np.flatnonzero(side == 0):
+            lo, hi = np.searchsorted(items, sets[k]), np.searchsorted(items, sets[k], side="right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            both = np.bincount(owner[at], minlength=len(right))
+            linked = np.flatnonzero((100 * both >= percent * (size[k] + size[right] - both)) & (root[right] != root[k]))
+            _, first = np.unique(root[right][linked], return_index=True)
+            u += [sid[k]] * len(first)
+            v += sid[right][linked[first]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 class _Search:
     """Links among classes (sid) of one table."""
 
@@ -190,38 +222,82 @@ class _Search:
             .join(bits.withColumnsRenamed({"sid": "v", "bits": "b"}), "v")
             .where(_estimate(F.col("a"), F.col("b")) >= self.least).select("u", "v")
         )
-        likely = stored(likely, "likely")
+        return self._exact(stored(likely, "likely"))
+
+    def _exact(self, likely: DataFrame) -> DataFrame:
         full = likely.join(self.sets.withColumnsRenamed({"sid": "u", "items": "a"}), "u")
         full = full.join(self.sets.withColumnsRenamed({"sid": "v", "items": "b"}), "v")
         return full.select("u", "v", "a", "b").mapInArrow(_confirm(self.percent), "u long, v long")
 
     def roots(self, rounds: int) -> DataFrame:
         """node and root of all classes that have a link."""
-        tried = self.buckets.where("sid <> lead").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
-        links = stored(self.confirmed(tried), "links")
+        star = self.buckets.where("sid <> lead").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
+        roots = stored(components(stored(self.confirmed(star), "links")), "roots")
         for turn in range(1, rounds + 2):
-            roots = components(links)
-            named = self.buckets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
-                "key", "sid", F.coalesce("root", "sid").alias("root")
-            )
+            named = self.buckets.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+            named = stored(named.select("key", "sid", F.coalesce("root", "sid").alias("root")), "named")
             several = named.groupBy("key").agg(
-                F.min("root").alias("lo"), F.max("root").alias("hi"),
+                F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
                 F.min_by(F.struct("sid", "root"), F.xxhash64("sid", F.lit(turn))).alias("lead"),
-            ).where("lo < hi")
-            apart = named.join(several.select("key", "lead"), "key")
-            if turn <= rounds:
-                pairs = apart.where("root <> lead.root").select(F.least("sid", "lead.sid").alias("u"), F.greatest("sid", "lead.sid").alias("v"))
-            else:
-                other = apart.select("key", F.col("sid").alias("s"), F.col("root").alias("r"))
-                pairs = apart.join(other, "key").where("root < r").select(F.least("sid", "s").alias("u"), F.greatest("sid", "s").alias("v"))
-            known = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            fresh = stored(pairs.distinct().join(known, ["u", "v"], "left_anti"), "pairs")
-            if fresh.isEmpty():
-                return roots
-            tried = known.unionByName(fresh)
-            more = stored(self.confirmed(fresh), "links")
-            links = links.unionByName(more)
-        return components(links)
+            ).where("lo < hi").select("key", "n", "lead")
+            apart = stored(named.join(several, "key"), "apart")
+            large = apart.where(F.col("n") > SMALL_BUCKET)
+            hot = not large.isEmpty()
+            if turn <= rounds and hot:
+                pairs = large.where("root <> lead.root").select(F.least("sid", "lead.sid").alias("u"), F.greatest("sid", "lead.sid").alias("v"))
+                more = stored(self.confirmed(pairs.distinct()), "links")
+                if not more.isEmpty():
+                    roots = self._merged(roots, more)
+                    continue
+            more = self._exact(stored(self._across(apart.where(F.col("n") <= SMALL_BUCKET)), "likely"))
+            more = stored(more.unionByName(self._in_blocks(large)) if hot else more, "links")
+            return roots if more.isEmpty() else self._merged(roots, more)
+
+    def _across(self, members: DataFrame) -> DataFrame:
+        """Likely pairs (u < v) of one small bucket and different components."""
+        mine = members.select("key", "sid", "root").join(self.classes.select("sid", "bits"), "sid")
+        other = mine.select("key", F.col("sid").alias("s"), F.col("root").alias("r"), F.col("bits").alias("b"))
+        near = (F.col("root") < F.col("r")) & (_estimate(F.col("bits"), F.col("b")) >= self.least)
+        pairs = mine.join(other.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & near)
+        return pairs.select(F.least("sid", "s").alias("u"), F.greatest("sid", "s").alias("v")).distinct()
+
+    def _in_blocks(self, large: DataFrame) -> DataFrame:
+        """Links across components of large buckets, by full sets in blocks of bounded size.
+
+        Components that share a large bucket, directly or by others, form a group. In
+        each group all that is not of its largest component is compared with everything.
+        """
+        tied = components(stored(large.select(F.col("root").alias("u"), F.col("lead.root").alias("v")).distinct(), "tied"))
+        tied = tied.select(F.col("node").alias("root"), F.col("root").alias("g"))
+        members = large.select("sid", "root").distinct().join(tied, "root").join(self.sets, "sid")
+        members = stored(members.withColumn("bytes", F.octet_length("items").cast("long")), "group")
+        per = members.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        per = per.groupBy("g").agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("n", "root")).alias("of_main")
+        )
+        blocks = F.ceil(F.col("of_main") / BLOCK_BYTES).cast("int"), F.ceil((F.col("all") - F.col("of_main")) / BLOCK_BYTES).cast("int")
+        dealt = members.join(per.select("g", "main", blocks[0].alias("a"), blocks[1].alias("b")), "g")
+        # Right side: everything, in one block each; left side: what is not of the main component.
+        rest = F.col("root") != F.col("main")
+        own = F.when(rest, F.col("a") + F.pmod(F.xxhash64("sid"), F.col("b")).cast("int")).otherwise(F.pmod(F.xxhash64("sid"), F.col("a")).cast("int"))
+        dealt = dealt.withColumn("own", own)
+        right = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("g", "i", F.col("own").alias("j"), F.lit(1).alias("side"), "sid", "root", "items")
+        left = dealt.where(rest).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("a") + F.col("b") - 1))).select(
+            "g", (F.col("own") - F.col("a")).alias("i"), "j", F.lit(0).alias("side"), "sid", "root", "items"
+        )
+        both = right.unionByName(left).groupBy("g", "i", "j")
+        return both.applyInArrow(_compare_blocks(self.percent), "u long, v long")
+
+    def _merged(self, roots: DataFrame, more: DataFrame) -> DataFrame:
+        """Roots after further links, found among the roots alone."""
+        ends = more
+        for end in ("u", "v"):
+            named = roots.select(F.col("node").alias(end), F.col("root").alias("__root"))
+            ends = ends.join(named, end, "left").withColumn(end, F.coalesce("__root", end)).drop("__root")
+        above = components(stored(ends, "ends")).select(F.col("node").alias("root"), F.col("root").alias("above"))
+        new = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(roots, "node", "left_anti")
+        every = roots.unionByName(new.select("node", F.col("node").alias("root")))
+        return stored(every.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
 
 
 def near_duplicates(
