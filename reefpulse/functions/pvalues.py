@@ -21,7 +21,10 @@ _EPS = 1e-15
 
 
 def _lentz(b0: float, terms) -> float:
-    """Continued fraction b0 + a1/(b1 + a2/(b2 + ...)) by the modified Lentz rule."""
+    """Continued fraction b0 + a1/(b1 + a2/(b2 + ...)) by the modified Lentz rule.
+
+    NaN if the terms end before it settles.
+    """
     tiny = 1e-300
     f = b0 or tiny
     c, d = f, 0.0
@@ -33,8 +36,8 @@ def _lentz(b0: float, terms) -> float:
         step = c * d
         f *= step
         if abs(step - 1.0) < _EPS:
-            break
-    return f
+            return f
+    return math.nan
 
 
 def gamma_upper(a: float, x: float) -> float:
@@ -90,7 +93,8 @@ def normal_two_sided(z: float) -> float:
 def _rowwise(fn):
     def apply(*cols: pd.Series) -> pd.Series:
         def one(row):
-            return None if any(pd.isna(v) for v in row) else fn(*(float(v) for v in row))
+            p = math.nan if any(pd.isna(v) for v in row) else fn(*(float(v) for v in row))
+            return None if math.isnan(p) else p
 
         return pd.Series([one(r) for r in zip(*cols)], dtype="float64")
 

@@ -13,6 +13,8 @@ from reefpulse.operators.joining import join_group_row, join_null_safe
 from reefpulse.operators.ranks import counted_quantiles, running_counts, value_counts
 
 QUARTILES = ("q1", "median", "q3")
+# Bins of a histogram that one row lists.
+BLOCK = 4096
 
 
 def six_number(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -53,13 +55,14 @@ def sem(df: DataFrame, value: str, by: Sequence[str] = (), skip_null: bool = Fal
 
 
 def histogram(
-    df: DataFrame, value: str, by: Sequence[str] = (), *, width: float | None = None, bins: int = 30
+    df: DataFrame, value: str, by: Sequence[str] = (), *, width: float | None = None, bins: int = 30, empty: bool = True
 ) -> DataFrame:
     """Counts in bins centred on multiples of the width and closed on the right.
 
     With ``bins`` the width is range / (bins - 1). The lowest value always
     belongs to the first bin. Every group gets every bin between the overall
-    first and last one, zero where empty.
+    first and last one, zero where empty; with ``empty`` off only bins that hold
+    something, so that a narrow width over a wide range costs nothing.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
     lo, hi = F.min("x"), F.max("x")
@@ -77,9 +80,15 @@ def histogram(
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    groups = counted.select(*by).distinct() if by else counted.agg(F.count(F.lit(1)).alias("__cells"))
-    grid = groups.withColumn("s", span).select(*by, "s", F.explode(F.sequence(first, last)).alias("bin"))
-    full = join_null_safe(grid, counted, [*by, "bin"])
+    if empty:
+        groups = counted.select(*by).distinct() if by else counted.agg(F.count(F.lit(1)).alias("__cells"))
+        # Blocks of bins first, so that no row holds all of them.
+        blocks = F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))).alias("__block")
+        start, stop = F.greatest(first, F.col("__block") * BLOCK), F.least(last, F.col("__block") * BLOCK + BLOCK - 1)
+        grid = groups.withColumn("s", span).select(*by, "s", blocks).select(*by, "s", F.explode(F.sequence(start, stop)).alias("bin"))
+        full = join_null_safe(grid, counted, [*by, "bin"])
+    else:
+        full = counted.withColumn("s", span)
     return full.select(
         *by,
         (F.col("bin") * F.col("s.w")).alias("center"),

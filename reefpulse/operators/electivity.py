@@ -113,11 +113,17 @@ def chesson_dafm(by_dafm: DataFrame) -> DataFrame:
 
 
 def chesson_station(det: DataFrame, stations: DataFrame) -> DataFrame:
-    """Per station, unvisited ones included with zero, by share of years deployed."""
+    """Per station, unvisited ones included with zero.
+
+    Availability is the table's own ``chesson_p`` where it has that column and a
+    value, and the share of years deployed otherwise.
+    """
     total = stations.agg(F.sum("years_deployed")).scalar()
+    by_years = share(F.col("years_deployed"), total)
+    given = F.coalesce("chesson_p", by_years) if "chesson_p" in stations.columns else by_years
     counts = det.groupBy("station").agg(F.count(F.lit(1)).alias("__n"))
     listed = stations.select(
-        "station", "mssca", share(F.col("years_deployed"), total).alias("chesson_p")
+        "station", "mssca", given.alias("chesson_p")
     )
     joined = join_null_safe(listed, counts, ["station"]).select(
         "station", "mssca", "chesson_p", F.coalesce("__n", F.lit(0).cast("long")).alias("tot_freq")

@@ -1,10 +1,12 @@
 """Exact order statistics without gathering a group in one task.
 
 Values are first counted (one row per distinct value and group, pre-aggregated
-before the shuffle). The counted values are cut into a two-level grid between
-the group's minimum and maximum; running totals over the grid give the number of
-observations ahead of each cell, and only the values of one cell are ordered
-together. A value that makes up much of the data is a single counted row.
+before the shuffle). The counted values are cut into a two-level grid: first at
+quantiles that a mergeable sketch of the group's distinct values gives, then evenly
+between two cuts. The sketch only places the cuts; exact running totals over the grid
+give the number of observations ahead of each cell, and only the values of one cell
+are ordered together. An outlier, infinity or NaN widens one interval out of many. A
+value that makes up much of the data is a single counted row.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reefpulse.operators.joining import join_group_row, join_null_safe
 
 GRID = 1024
+# Intervals of the first level, and the sketch's accuracy.
+CUTS = 128
+ACCURACY = 2000
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Column) -> DataFrame:
@@ -32,24 +37,27 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Colu
 def _grid(counted: DataFrame, by: Sequence[str], grid: int) -> tuple[DataFrame, DataFrame]:
     """The counted rows with their grid cell and their group's ``total``, and one
     row per occupied cell with the observations in it and ahead of it."""
-    ends = [F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")]
+    marks = F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)])
+    ends = [F.percentile_approx("value", marks, ACCURACY).alias("cuts"), F.sum("n").alias("total")]
     if by:
         bounds = counted.groupBy(*by).agg(F.struct(*ends).alias("__b"))
         ranged = join_group_row(counted, bounds, by, "value")
     else:
         ranged = counted.withColumn("__b", counted.agg(F.struct(*ends).alias("b")).scalar())
-    width = F.nullif(F.col("__b.hi") - F.col("__b.lo"), F.lit(0.0))
-    at = F.coalesce((F.col("value") - F.col("__b.lo")) / width * grid, F.lit(0.0))
+    # The interval of a value is the number of cuts up to it; missing values have none.
+    below = F.size(F.filter("__b.cuts", lambda c: c <= F.col("value"))).cast("long")
+    left, right = F.get("__b.cuts", F.col("__b1").cast("int") - 1), F.get("__b.cuts", F.col("__b1").cast("int"))
+    at = F.try_divide(F.col("value") - left, right - left) * grid
+    inside = F.when((at >= 0) & (at <= grid), F.floor(at)).otherwise(F.lit(0))
     rows = (
-        ranged.withColumns({"__at": at, "total": F.col("__b.total")})
-        .withColumn("__b1", F.floor("__at"))
-        .withColumn("__b2", F.floor((F.col("__at") - F.col("__b1")) * grid))
-        .drop("__at", "__b")
+        ranged.withColumns({"__b1": F.coalesce(below, F.lit(0)), "total": F.col("__b.total")})
+        .withColumn("__b2", F.coalesce(inside, F.lit(0)).cast("long"))
+        .drop("__b")
     )
     zero = F.lit(0).cast("long")
     fine = rows.groupBy(*by, "__b1", "__b2").agg(F.sum("n").alias("__m"), F.max("total").alias("total"))
     coarse = fine.groupBy(*by, "__b1").agg(F.sum("__m").alias("__m"))
-    # At most grid + 1 coarse cells per group, and as many fine ones in each.
+    # At most CUTS + 2 coarse cells per group, and grid + 1 fine ones in each.
     above = Window.partitionBy(*by).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
     beside = Window.partitionBy(*by, "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
     ahead_coarse = coarse.select(*by, "__b1", F.coalesce(F.sum("__m").over(above), zero).alias("__c1"))
@@ -76,18 +84,25 @@ def running_counts(counted: DataFrame, by: Sequence[str] = (), grid: int = GRID)
     return _count_within(join_null_safe(rows, offsets, [*by, "__b1", "__b2"], "inner"), by)
 
 
-def _counts_at(counted: DataFrame, probs: Sequence[float], grid: int = GRID) -> DataFrame:
-    """``running_counts`` of one ungrouped table, for the values near ``probs`` only.
+def _asked(cells: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """The cells that hold the ranks asked for: at most two per probability and group."""
+    asked = [r for p in probs for r in _ranks(F.col("total"), p)]
+    return cells.filter(F.exists(F.array(*asked), lambda r: (r >= F.col("__ahead")) & (r < F.col("__ahead") + F.col("__m"))))
+
+
+def _counts_at(counted: DataFrame, probs: Sequence[float], by: Sequence[str] = (), grid: int = GRID) -> DataFrame:
+    """``running_counts`` for the values near ``probs`` only.
 
-    At most two cells per probability hold the ranks asked for. They travel as
-    one short array, so all other values are dropped before any further shuffle.
+    All other values are dropped before any further shuffle: without groups the
+    wanted cells travel as one short array, otherwise as rows of a small join side.
     """
-    rows, cells = _grid(counted, (), grid)
-    asked = [r for p in probs for r in _ranks(F.col("total"), p)]
-    hit = F.exists(F.array(*asked), lambda r: (r >= F.col("__ahead")) & (r < F.col("__ahead") + F.col("__m")))
-    wanted = cells.filter(hit).agg(F.collect_list(F.struct("__b1", "__b2", "__ahead"))).scalar()
+    rows, cells = _grid(counted, by, grid)
+    wanted = _asked(cells, probs).select(*by, "__b1", "__b2", "__ahead")
+    if by:
+        return _count_within(join_null_safe(rows, wanted, [*by, "__b1", "__b2"], "inner"), by)
+    listed = wanted.agg(F.collect_list(F.struct("__b1", "__b2", "__ahead"))).scalar()
     here = F.filter("__w", lambda w: (w["__b1"] == F.col("__b1")) & (w["__b2"] == F.col("__b2")))
-    kept = rows.withColumn("__w", wanted).withColumn("__w", here).filter(F.size("__w") > 0)
+    kept = rows.withColumn("__w", listed).withColumn("__w", here).filter(F.size("__w") > 0)
     return _count_within(kept.withColumn("__ahead", F.col("__w")[0]["__ahead"]).drop("__w"), ())
 
 
@@ -112,7 +127,7 @@ def counted_quantiles(
         position = _position(F.col("__total"), p)
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         finals.append((lo + (position - F.floor(position)) * (hi - lo)).alias(name))
-    ranked = running_counts(counted, by) if by else _counts_at(counted, probs)
+    ranked = _counts_at(counted, probs, by)
     return ranked.groupBy(*by).agg(*picks).select(*by, *finals)
 
 

@@ -25,6 +25,18 @@ def off_stations(det: DataFrame, stations: DataFrame, key: str = "station") -> D
     return join_null_safe(det, _keys(stations, key), [key], "left_anti")
 
 
+def flag_listed(det: DataFrame, stations: DataFrame, key: str = "station") -> DataFrame:
+    """Detections with a boolean ``listed``; one pass over them."""
+    known = _keys(stations, key).distinct().withColumn("listed", F.lit(True))
+    return join_null_safe(det, known, [key]).withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def at_zoned_stations(det: DataFrame, stations: DataFrame) -> DataFrame:
+    """Detections at a listed station with its ``mssca``, by one join."""
+    zones = stations.select(F.col("station").cast("string").alias("station"), "mssca")
+    return join_null_safe(det, zones, ["station"], "inner")
+
+
 def stations_visited(det: DataFrame) -> DataFrame:
     return det.select("station").distinct()
 

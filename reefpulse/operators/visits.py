@@ -21,20 +21,27 @@ MONTH_SECONDS = 30 * 86_400
 CHUNK_ROWS = 1_000_000
 
 
-def _chunked(det: DataFrame, ts: str, widest: int, chunk_rows: int) -> DataFrame:
-    """Adds microseconds and a time chunk of one width for all tags.
+# Parts a time unit of one tag is cut into at most, and room for them in a chunk's number.
+MOST_PARTS = 1 << 20
 
-    The width is such that the busiest tag, in its busiest month, has about
-    ``chunk_rows`` detections per chunk: sparse data gets few wide chunks, and a
-    hot tag gets many narrow ones. It is one number, found by a narrow scan that
-    is pre-aggregated to one row per tag and month.
+
+def _chunked(det: DataFrame, ts: str, unit: int, chunk_rows: int) -> DataFrame:
+    """Adds microseconds and a chunk number, ascending in time within a tag.
+
+    A chunk is one tag's ``unit`` seconds. Those with more than ``chunk_rows``
+    detections, found by a narrow scan with one row per tag and unit, are cut
+    further; only they are listed (at most rows / chunk_rows of them), so a hot tag
+    adds no chunk to any other.
     """
     rows = det.withColumn("__us", micros(ts))
-    month = F.floor(F.col("__us") / (MONTH_SECONDS * MICROS))
-    busiest = rows.groupBy("transmitter", month.alias("month")).count().agg(F.max("count")).scalar()
-    fitting = F.lit(float(MONTH_SECONDS) * chunk_rows) / busiest
-    seconds = F.greatest(F.lit(1.0), F.least(F.lit(float(widest)), fitting))
-    return rows.withColumn("__chunk", F.floor(F.col("__us") / F.floor(seconds * MICROS)))
+    width = unit * MICROS
+    rows = rows.withColumn("__unit", F.floor(F.col("__us") / width))
+    hot = rows.groupBy("transmitter", "__unit").count().filter(F.col("count") > chunk_rows)
+    hot = hot.select("transmitter", "__unit", F.least(F.ceil(F.col("count") / chunk_rows), F.lit(MOST_PARTS)).alias("__parts"))
+    cut = join_null_safe(rows, hot, ["transmitter", "__unit"])
+    share = (F.col("__us") - F.col("__unit") * width) / F.lit(float(width))
+    part = F.coalesce(F.floor(share * F.col("__parts")), F.lit(0))
+    return cut.withColumn("__chunk", F.col("__unit") * MOST_PARTS + part).drop("__unit", "__parts")
 
 
 def time_gap(
@@ -45,21 +52,18 @@ def time_gap(
 ) -> DataFrame:
     """Adds ``timediff``: seconds to the tag's next detection, null on its last.
 
-    Within a chunk the next row is found by a window; the last row of a chunk
-    takes the first time of the tag's next chunk. Window and join share the
-    (tag, chunk) partitioning.
+    Within a chunk the next row is found by a window. The last row of a chunk finds
+    the first of the tag's next chunk among the first and last rows of chunks, which
+    come from the same shuffle.
     """
     rows = _chunked(det, ts, MONTH_SECONDS, chunk_rows)
-    per_tag = Window.partitionBy("transmitter").orderBy("__chunk")
-    following = (
-        rows.groupBy("transmitter", "__chunk")
-        .agg(F.min("__us").alias("__first"))
-        .select("transmitter", "__chunk", F.lead("__first").over(per_tag).alias("__next"))
-    )
     in_chunk = Window.partitionBy("transmitter", "__chunk").orderBy("__us", *ties)
-    led = rows.withColumn("__lead", F.lead("__us").over(in_chunk))
-    gap = (F.coalesce("__lead", "__next") - F.col("__us")) / F.lit(float(MICROS))
-    return join_null_safe(led, following, ["transmitter", "__chunk"]).select(*det.columns, gap.alias("timediff"))
+    led = rows.withColumns({"__lead": F.lead("__us").over(in_chunk), "__row": F.row_number().over(in_chunk)})
+    per_tag = Window.partitionBy("transmitter").orderBy("__chunk", "__row")
+    ends = led.filter(F.col("__lead").isNull() | (F.col("__row") == 1)).withColumn("__next", F.lead("__us").over(per_tag))
+    inner = led.filter(F.col("__lead").isNotNull()).withColumn("__next", F.col("__lead"))
+    both = inner.unionByName(ends.filter(F.col("__lead").isNull()))
+    return both.select(*det.columns, ((F.col("__next") - F.col("__us")) / F.lit(float(MICROS))).alias("timediff"))
 
 
 def last_before_gap(
@@ -78,7 +82,7 @@ def last_before_gap(
     gap can contribute; the detections are cut down to those before they are
     ranked, and the rank filter is applied ahead of the shuffle.
     """
-    rows = _chunked(det, ts, min(gap_seconds, MONTH_SECONDS), chunk_rows)
+    rows = _chunked(det, ts, max(1, min(gap_seconds, MONTH_SECONDS)), chunk_rows)
     per_tag = Window.partitionBy("transmitter").orderBy("__chunk")
     so_far = per_tag.rowsBetween(Window.unboundedPreceding, 0)
     ahead = per_tag.rowsBetween(0, keep - 1)
@@ -141,8 +145,9 @@ def absences(days: DataFrame, gap_days: int = 7) -> DataFrame:
     )
 
 
-def trips_by_year(days: DataFrame, tags: DataFrame, years: Sequence[int], gap_days: int = 7) -> DataFrame:
-    """Departures per tag and year, zero-filled over ``tags`` x ``years``.
+def trips_by_year(days: DataFrame, tags: DataFrame, years: Sequence[int] | None = None, gap_days: int = 7) -> DataFrame:
+    """Departures per tag and year, zero-filled over the years in which each tag was
+    detected, or over ``tags`` x ``years`` if those are listed.
 
     The year is that of the last date ahead of the gap, so a tag's last trip is
     not counted.
@@ -152,9 +157,12 @@ def trips_by_year(days: DataFrame, tags: DataFrame, years: Sequence[int], gap_da
         .groupBy("transmitter", F.year("last_date").alias("year"))
         .agg(F.count(F.lit(1)).alias("trips"))
     )
-    grid = tags.select("transmitter").distinct().withColumn(
-        "year", F.explode(F.array(*[F.lit(int(y)) for y in years]))
-    )
+    if years is None:
+        grid = days.join(tags.select("transmitter").distinct(), "transmitter", "left_semi")
+        grid = grid.select("transmitter", F.year("date").alias("year")).distinct()
+    else:
+        listed = F.array(*[F.lit(int(y)) for y in years])
+        grid = tags.select("transmitter").distinct().withColumn("year", F.explode(listed))
     return grid.join(gone, ["transmitter", "year"], "left").withColumn(
         "trips", F.coalesce("trips", F.lit(0).cast("long"))
     )

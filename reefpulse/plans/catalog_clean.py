@@ -15,7 +15,7 @@ from reefpulse.sources import readers, schemas
 from reefpulse.sources.writers import write_per_key
 
 JAN = (dt.date(2024, 1, 5), dt.date(2024, 1, 12))
-DET = ["station", "transmitter", "detection_time_ast", "lat_nad83", "long_nad83"]
+DET = [name for _, _, name in schemas.DETECTIONS]
 DET_SQL = ", ".join(DET)
 
 
@@ -63,12 +63,14 @@ def scan_typed_dim(spark, d):
               datetime_utc, datetime_local, date FROM moons_long""",
 )
 def scan_moon_table(spark, d):
-    return readers.parse_moons(s.moon_rows(s.detections_long(spark, d)))
+    """Writes the table as a file while the query is built, and reads it back."""
+    rows = s.moon_rows(s.detections_long(spark, d)).withColumnsRenamed({new: old for old, _, new in schemas.MOONS})
+    return readers.read_moons(spark, _csv(rows, shared_folder(spark, "moons")))
 
 
 @query("scan_currents", "SELECT * FROM currents")
 def scan_currents(spark, d):
-    names = {new: old for old, _, new in schemas.CURRENTS}
+    names = {new: old for old, _, new in schemas.currents(s.DEPTH_BINS)}
     text = s.currents(spark, d).withColumn("ts_local", F.date_format("ts_local", "M/d/yy H:mm"))
     path = _csv(text.withColumnsRenamed(names), shared_folder(spark, "currents"))
     return readers.read_currents(spark, path)
@@ -226,9 +228,7 @@ def anti_station(spark, d):
 )
 def membership(spark, d):
     det, master = s.detections_short(spark, d), s.station_master(spark, d)
-    inside = restrict.at_stations(det, master).withColumn("listed", F.lit(True))
-    outside = restrict.off_stations(det, master).withColumn("listed", F.lit(False))
-    return inside.unionByName(outside).select("event_id", "station", "listed")
+    return restrict.flag_listed(det, master).select("event_id", "station", "listed")
 
 
 @query(
@@ -292,9 +292,11 @@ def processed_detections(spark, d):
 
 
 def _cut(spark, d):
+    """Tags are restricted first: nothing is computed for rows that go, nor the gap, which no one reads."""
     det = s.detections_short(spark, d)
-    cleaned = stages.clean(det, s.station_master(spark, d), s.moons(det), ties=("station", "event_id"))
-    return stages.cut(cleaned, s.transmitter_master(spark, d), s.analysed_tags(spark, d))
+    mine = restrict.keep_tags(det, s.analysed_tags(spark, d))
+    cleaned = stages.clean(mine, s.station_master(spark, d), s.moons(det), gap=False)
+    return restrict.trim_tag_day(cleaned, s.transmitter_master(spark, d))
 
 
 @query(

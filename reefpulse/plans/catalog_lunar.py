@@ -8,10 +8,6 @@ from reefpulse.operators import distribution, lunar, ranks, restrict, summary, v
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.registry import query, rounded
 
-# The seasons counted for departures.
-YEARS = (1996, 1997, 1998)
-
-
 def _days(spark, d):
     return visits.visit_days(restrict.split_datetime(s.detections_long(spark, d)))
 
@@ -110,15 +106,14 @@ def absences(spark, d):
 
 @query(
     "trips_by_year",
-    """SELECT t.transmitter, y.year, coalesce(g.n, 0) AS trips
-       FROM (SELECT DISTINCT transmitter FROM det_long) t
-       CROSS JOIN (SELECT CAST(unnest([1996, 1997, 1998]) AS INTEGER) AS year) y
+    """SELECT t.transmitter, t.year, coalesce(g.n, 0) AS trips
+       FROM (SELECT DISTINCT transmitter, CAST(year(date) AS INTEGER) AS year FROM days_long) t
        LEFT JOIN (SELECT transmitter, year(last_date) AS year, count(*) AS n FROM gaps GROUP BY ALL) g
-         ON g.transmitter = t.transmitter AND g.year = y.year""",
+         ON g.transmitter = t.transmitter AND g.year = t.year""",
 )
 def trips_by_year(spark, d):
     days = _days(spark, d)
-    return visits.trips_by_year(days, days, YEARS)
+    return visits.trips_by_year(days, days)
 
 
 @query("trip_lengths", "SELECT * FROM trips")
@@ -210,13 +205,12 @@ def absence_stats(spark, d):
     "trips_per_year_stats",
     STATS_SQL.format(
         x="trips",
-        source="""(SELECT count(*) AS trips FROM gaps WHERE year(last_date) IN (1996, 1997, 1998)
-                   GROUP BY transmitter, year(last_date))""",
+        source="(SELECT count(*) AS trips FROM gaps GROUP BY transmitter, year(last_date))",
     ),
 )
 def trips_per_year_stats(spark, d):
     days = _days(spark, d)
-    return _stats(visits.trips_by_year(days, days, YEARS).filter(F.col("trips") != 0), "trips")
+    return _stats(visits.trips_by_year(days, days).filter(F.col("trips") != 0), "trips")
 
 
 @query("trip_length_stats", STATS_SQL.format(x="triplen", source="trips"))

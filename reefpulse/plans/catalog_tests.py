@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reefpulse.operators import binning, contingency, distribution, electivity, restrict, summary, visits
 from reefpulse.plans import surrogate as s
-from reefpulse.plans.registry import query, rounded
+from reefpulse.plans.registry import ORACLES, query, rounded
 
 ZONES = ["in", "out"]
 ATTRIBUTES = ("release_year", "sex", "tag_model")
@@ -180,6 +180,23 @@ def chesson_station(spark, d):
     return rounded(electivity.chesson_station(s.detections_short(spark, d), s.station_master(spark, d)))
 
 
+@query(
+    "chesson_station_given",
+    """SELECT station, mssca, round(p, 9) AS chesson_p, n AS tot_freq, round(prop, 9) AS prop, round(prop / p, 9) AS rdivp,
+              round(prop / p / sum(prop / p) OVER (), 9) AS chesson_s
+       FROM (SELECT s.station, s.mssca,
+                    coalesce(CASE WHEN years_deployed > 1 THEN years_deployed / 1e3 END,
+                             CAST(s.years_deployed AS DOUBLE) / sum(s.years_deployed) OVER ()) AS p,
+                    coalesce(c.n, 0) AS n, coalesce(c.n, 0) / CAST(sum(c.n) OVER () AS DOUBLE) AS prop
+             FROM stations s LEFT JOIN (SELECT station, count(*) AS n FROM det_short GROUP BY station) c ON c.station = s.station)""",
+)
+def chesson_station_given(spark, d):
+    """Availability from the station table, by years deployed where it has none."""
+    own = F.when(F.col("years_deployed") > 1, F.col("years_deployed") / F.lit(1000.0))
+    stations = s.station_master(spark, d).withColumn("chesson_p", own)
+    return rounded(electivity.chesson_station(s.detections_short(spark, d), stations))
+
+
 @query(
     "unpivot_index",
     """SELECT dafm, 'chesson_s' AS type, round(chesson_s, 9) AS value FROM dafm_index
@@ -380,13 +397,12 @@ def histogram_absences(spark, d):
     "six_number_trips_per_year",
     SIX_SQL.format(
         by="", x="trips",
-        source="""(SELECT count(*) AS trips FROM gaps WHERE year(last_date) IN (1996, 1997, 1998)
-                   GROUP BY transmitter, year(last_date))""",
+        source="(SELECT count(*) AS trips FROM gaps GROUP BY transmitter, year(last_date))",
     ),
 )
 def six_number_trips_per_year(spark, d):
     days = visits.visit_days(restrict.split_datetime(s.detections_long(spark, d)))
-    by_year = visits.trips_by_year(days, days, (1996, 1997, 1998)).filter(F.col("trips") != 0)
+    by_year = visits.trips_by_year(days, days).filter(F.col("trips") != 0)
     return rounded(distribution.six_number(by_year, "trips"))
 
 
@@ -418,18 +434,42 @@ def rank_sum(spark, d):
     return rounded(distribution.rank_sum(s.categorized_depth(spark, d), "z", "fish", "even"))
 
 
-@query("test_p_values")
+# Tails as sums of positive terms: the lower gamma, and the short side of the F.
+_GAMMA_TAIL = "1 - (SELECT sum(exp(({a} + k) * ln({x}) - {x} - lgamma({a} + k + 1))) FROM range(0, 4000) r(k))"
+_F_TAIL = """1 - (SELECT sum(exp(lgamma((df1 + df2) / 2e0 + k) - lgamma(df1 / 2e0 + k + 1) - lgamma(df2 / 2e0)
+                 + (df1 / 2e0 + k) * ln(y) + df2 / 2e0 * ln(1 - y))) FROM range(0, 4000) r(k))"""
+
+
+def _p_values_sql() -> str:
+    def from_gamma(name: str, key: str, stat: str, a: str, x: str) -> str:
+        return f"SELECT '{name}' AS test, {stat} AS statistic, {_GAMMA_TAIL.format(a=a, x=x)} AS p FROM ({ORACLES[key]})"
+
+    def from_f(name: str, key: str, df1: str, df2: str) -> str:
+        inner = f"SELECT f, {df1} AS df1, {df2} AS df2 FROM ({ORACLES[key]})"
+        return f"SELECT '{name}', f, {_F_TAIL} FROM (SELECT *, df1 * f / (df2 + df1 * f) AS y FROM ({inner}))"
+
+    parts = [
+        from_gamma("chi_square", "chi_square", "statistic", "(df / 2e0)", "(statistic / 2e0)"),
+        from_gamma("g", "g_statistic", "statistic", "(df / 2e0)", "(statistic / 2e0)"),
+        from_f("levene", "levene", "df1", "df2"),
+        from_gamma("rank_sum", "rank_sum", "z", "5e-1", "(z * z / 2e0)"),
+        from_f("linear_fit", "linear_fit", "1", "(n - 2)"),
+    ]
+    return f"SELECT test, statistic, round(p, 9) AS p_value FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("test_p_values", _p_values_sql)
 def test_p_values(spark, d):
-    """Tail probabilities of the tests above; SQL has no such functions."""
+    """Tail probabilities of the tests above, from statistics as those report them."""
     depth, cells = s.categorized_depth(spark, d), _full(spark, d)
     trips = visits.trip_lengths(visits.visit_days(restrict.split_datetime(s.detections_long(spark, d))))
     fit = distribution.linear_fit(trips, "triplen", "monthnum")
     parts = {
-        "chi_square": contingency.with_p(contingency.chi_square(cells, ZONES)),
-        "g": contingency.with_p(contingency.g_statistic(cells, ZONES)),
-        "levene": distribution.levene_p(distribution.levene(depth, "z", "fish")).withColumnRenamed("f", "statistic"),
-        "rank_sum": distribution.rank_sum_p(distribution.rank_sum(depth, "z", "fish", "even")).withColumnRenamed("z", "statistic"),
-        "linear_fit": distribution.linear_fit_p(fit).withColumnRenamed("f", "statistic"),
+        "chi_square": contingency.with_p(rounded(contingency.chi_square(cells, ZONES), 6)),
+        "g": contingency.with_p(rounded(contingency.g_statistic(cells, ZONES), 6)),
+        "levene": distribution.levene_p(rounded(distribution.levene(depth, "z", "fish"), 6)).withColumnRenamed("f", "statistic"),
+        "rank_sum": distribution.rank_sum_p(rounded(distribution.rank_sum(depth, "z", "fish", "even"))).withColumnRenamed("z", "statistic"),
+        "linear_fit": distribution.linear_fit_p(rounded(fit, 6)).withColumnRenamed("f", "statistic"),
     }
     out = None
     for name, part in parts.items():

@@ -14,7 +14,7 @@ from reefpulse.plans.surrogate import MOON_EPOCH, MOON_EPOCH_SECONDS, RING, SYNO
 _SITES = "('AUTOMOBILE', 'BUILDING', 'MACHINERY')"
 
 _DETECTIONS = """
-SELECT CAST(tag AS VARCHAR) AS transmitter, CAST(k AS VARCHAR) AS station, t AS detection_time_ast,
+SELECT CAST(tag AS VARCHAR) AS transmitter, CASE WHEN event_id % 16 = 0 THEN 'X' ELSE '' END || CAST(k AS VARCHAR) AS station, t AS detection_time_ast,
        176e-1 + 1e-3 * k AS lat_nad83, -6492e-2 + 1e-3 * k AS long_nad83, event_id
 FROM ({rows})
 """
@@ -154,7 +154,7 @@ VIEWS: dict[str, str] = {
     "stations": """
     SELECT CAST(s_suppkey AS VARCHAR) AS station, CASE WHEN s_nationkey % 2 = 0 THEN 'in' ELSE 'out' END AS mssca,
            CAST(1 + s_suppkey % 3 AS INTEGER) AS years_deployed
-    FROM supplier WHERE s_acctbal >= 0
+    FROM supplier
     UNION ALL SELECT 'S566', 'out', 1
     """,
     "tags": """
@@ -244,9 +244,9 @@ VIEWS: dict[str, str] = {
     FROM events
     """,
     "currents": "SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(vec_id) AS ts_local, "
-    + ", ".join(f"180e0 * (1e0 + CAST(embedding[{i}] AS DOUBLE)) AS direction_{i}" for i in range(1, 10))
+    + ", ".join(f"180e0 * (1e0 + CAST(embedding[{i}] AS DOUBLE)) AS direction_{i}" for i in range(1, 33))
     + ", "
-    + ", ".join(f"abs(CAST(embedding[{9 + i}] AS DOUBLE)) AS speed_{i}" for i in range(1, 10))
+    + ", ".join(f"abs(CAST(embedding[{32 + i}] AS DOUBLE)) AS speed_{i}" for i in range(1, 33))
     + " FROM embeddings",
     "current_means": "SELECT ts_local, round(("
     + " + ".join(f"direction_{i}" for i in range(1, 10))

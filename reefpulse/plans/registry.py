@@ -13,16 +13,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+LATER: dict[str, Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query; ``sql`` may name any of the oracle views."""
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Registers a query; ``sql`` may name any of the oracle views.
+
+    A function gives SQL that holds other queries' SQL in full, views and all. It is
+    called once every catalog is imported.
+    """
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
-        if sql is not None:
+        if callable(sql):
+            LATER[name] = sql
+        elif sql is not None:
             ORACLES[name] = with_views(sql)
         return fn
 

@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from reefpulse.functions.geo import Vertex
 from reefpulse.operators import binning, geometry, lunar, restrict, visits
 from reefpulse.sources import readers, schemas
-from reefpulse.sources.writers import write_per_key
+from reefpulse.sources.writers import write_clustered, write_per_key
 
 
-def clean(det: DataFrame, stations: DataFrame, moons: DataFrame, ties: Sequence[str] = ("station",)) -> DataFrame:
+def clean(
+    det: DataFrame, stations: DataFrame, moons: DataFrame, ties: Sequence[str] = ("station",), gap: bool = True
+) -> DataFrame:
     """Detections at listed stations with split date, gap to the next one, DAFM, zone
     and projected position.
 
-    The gap comes first of the additions, while rows are still narrow.
+    The gap comes first of the additions, while rows are still narrow, and only if asked for.
     """
-    kept = restrict.split_datetime(restrict.at_stations(det, stations))
-    dated = lunar.add_dafm(visits.time_gap(kept, ties=ties), moons)
-    return geometry.project_utm(restrict.attach_zone(dated, stations))
+    kept = restrict.split_datetime(restrict.at_zoned_stations(det, stations))
+    return geometry.project_utm(lunar.add_dafm(visits.time_gap(kept, ties=ties) if gap else kept, moons))
 
 
 def cut(cleaned: DataFrame, tags: DataFrame, allow: Iterable[str] | DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def run(
 ) -> dict[str, str]:
     """Reads ``detections``, ``stations``, ``transmitters``, ``moons`` and
     ``closed_area`` from the paths in ``inputs`` and writes the off-array
-    detections and each stage under ``out``, one folder per tag.
+    detections under ``out``, one folder per tag, and each stage as one table in
+    ranges of tag and time.
 
     Every stage is read back from what the one before wrote, so a lost executor
     costs at most one stage. Returns the path of each table.
@@ -63,6 +65,7 @@ def run(
     df = det
     for name, step in steps.items():
         result = step(df)
-        paths[name] = write_per_key(result, f"{out}/{name}")
+        order = ("date", "halfhour") if name == "bins" else ("detection_time_ast",)
+        paths[name] = write_clustered(result, f"{out}/{name}", ("transmitter", *order))
         df = readers.read_stage(spark, paths[name], result.schema)
     return paths

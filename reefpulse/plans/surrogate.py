@@ -28,6 +28,9 @@ MOON_EPOCH = "2023-12-27 00:33:00"
 MOON_EPOCH_SECONDS = 1_703_637_180
 SYNODIC_SECONDS = 2_551_443
 
+# Fixed value: depth bins of the profiler, half the length of a vector.
+DEPTH_BINS = 32
+
 # Release sites of the analysed tags.
 ANALYSED_SITES = ("AUTOMOBILE", "BUILDING", "MACHINERY")
 
@@ -37,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _detections(rows: DataFrame) -> DataFrame:
+    """Every 16th detection is heard at another array, at a station named after X."""
     k = F.col("k").cast("int")
+    away = F.when(F.pmod("event_id", F.lit(16)) == 0, "X").otherwise("")
     return rows.select(
         F.col("tag").cast("string").alias("transmitter"),
-        k.cast("string").alias("station"),
+        F.concat(away, k.cast("string")).alias("station"),
         F.col("t").cast("timestamp_ntz").alias("detection_time_ast"),
         (F.lit(17.6) + F.lit(0.001) * k).alias("lat_nad83"),
         (F.lit(-64.92) + F.lit(0.001) * k).alias("long_nad83"),
@@ -72,8 +77,8 @@ def detections_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers in credit as listed stations, and one station no tag ever visits."""
-    s = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") >= 0)
+    """Suppliers as listed stations, and one station no tag ever visits."""
+    s = table(spark, sf_dir, "supplier")
     silent = spark.range(566, 567).select(
         F.concat(F.lit("S"), F.col("id").cast("string")).alias("station"), F.lit("out").alias("mssca"), F.lit(1).alias("years_deployed")
     )
@@ -199,8 +204,9 @@ def categorized_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def currents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly profiler rows from ``embeddings``."""
+    """Hourly profiler rows from ``embeddings``: half of a vector is directions, half speeds."""
     e = table(spark, sf_dir, "embeddings")
+    bins = range(1, DEPTH_BINS + 1)
 
     def at(i: int):
         return F.element_at("embedding", i).cast("double")
@@ -208,8 +214,8 @@ def currents(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(vec_id AS int), 0, 0)")
     return e.select(
         start.alias("ts_local"),
-        *[(F.lit(180.0) * (F.lit(1.0) + at(i))).alias(f"direction_{i}") for i in range(1, 10)],
-        *[F.abs(at(9 + i)).alias(f"speed_{i}") for i in range(1, 10)],
+        *[(F.lit(180.0) * (F.lit(1.0) + at(i))).alias(f"direction_{i}") for i in bins],
+        *[F.abs(at(DEPTH_BINS + i)).alias(f"speed_{i}") for i in bins],
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,6 +23,8 @@ def build_session(app: str = "reefpulse", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Listing many folders takes tasks by the dozen, not one per folder.
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     for key, value in settings.items():
@@ -31,16 +32,16 @@ def build_session(app: str = "reefpulse", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, label: str, root: str | None = None) -> str:
+    """A new folder name under ``root``, by default the cluster's ``spark.checkpoint.dir``.
 
-    The setting names storage that every executor can reach, and is read from
-    the session. Only where it is unset and all executors are threads of this
-    machine does a temporary folder take its place.
+    Both name storage that every executor can reach; where neither is given, the
+    warehouse folder takes their place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="reefpulse-")
+    root = (
+        root
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{root.rstrip('/')}/reefpulse-{label}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -12,15 +13,14 @@ from reefpulse.sources import schemas
 
 LOCAL_ZONE = "America/Virgin"
 
-def _as_date(c: Column, fmt: str | None) -> Column:
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("date") if fmt else c.try_cast("date")
 
-
-def _as_wall_clock(c: Column, fmt: str | None) -> Column:
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz") if fmt else c.try_cast("timestamp_ntz")
-
-
-_CASTS = {"date": _as_date, "timestamp_ntz": _as_wall_clock}
+def _parsed(c: Column, dtype: str, fmt: str | None) -> Column:
+    """Text as a date or wall clock. A format is applied by the CSV parser, which unlike
+    the timestamp functions reads wall clocks without any time zone."""
+    if not fmt:
+        return c.try_cast(dtype)
+    option = "dateFormat" if dtype == "date" else "timestampNTZFormat"
+    return F.from_csv(c, f"t {dtype}", {option: fmt, "sep": "\x01"})["t"]
 
 
 def typed(raw: DataFrame, columns: schemas.Columns, formats: Mapping[str, str] | None = None) -> DataFrame:
@@ -34,8 +34,8 @@ def typed(raw: DataFrame, columns: schemas.Columns, formats: Mapping[str, str] |
         c = F.col(f"`{name}`")
         if dtype == "string":
             return c
-        if dtype in _CASTS:
-            return _CASTS[dtype](c, formats.get(name))
+        if dtype in ("date", "timestamp_ntz"):
+            return _parsed(c, dtype, formats.get(name))
         return c.try_cast(dtype)
 
     present = set(raw.columns)
@@ -46,30 +46,53 @@ def read_text_columns(spark: SparkSession, path: str, na: str = "NA") -> DataFra
     """A CSV file or folder with every column as text; ``na`` and blanks are null.
 
     The header names the columns, so extra columns need no schema change. Files
-    of one folder must agree on it: a differing header fails the read instead of
+    read together must agree on it: a differing header fails the read instead of
     shifting columns.
     """
+    return _csv_reader(spark, na).csv(path)
+
+
+def _csv_reader(spark: SparkSession, na: str):
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("enforceSchema", False)
         .option("nullValue", na)
         .option("recursiveFileLookup", True)
-        .csv(path)
     )
 
 
+def read_mixed_columns(spark: SparkSession, path: str, names: Iterable[str], na: str = "NA") -> DataFrame:
+    """As ``read_text_columns`` for a folder whose files differ in columns or their order.
+
+    A file's header is the line that holds all ``names``. Headers are found by a
+    narrow scan; files are read in one group per distinct header, of which there are
+    few, and columns that a group lacks are null.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    for name in names:
+        lines = lines.filter(F.contains("value", F.lit(name)))
+    groups = lines.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+    if len(groups) < 2:
+        return read_text_columns(spark, path, na)
+    parts = [_csv_reader(spark, na).csv([unquote(f) for f in g.files]) for g in sorted(groups, key=lambda g: g.value)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def read_detections(
     spark: SparkSession,
     path: str,
     columns: schemas.Columns = schemas.DETECTIONS,
     formats: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One table from a folder of per-tag detection CSVs.
+    """One table from a folder of per-tag detection CSVs, each read by its own header.
 
     The files' own order by time is not kept: order only where it is needed.
     """
-    return typed(read_text_columns(spark, path), columns, formats)
+    return typed(read_mixed_columns(spark, path, [f for f, _, _ in schemas.DETECTIONS]), columns, formats)
 
 
 def with_file_tag(df: DataFrame, column: str = "file_tag") -> DataFrame:
@@ -78,7 +101,8 @@ def with_file_tag(df: DataFrame, column: str = "file_tag") -> DataFrame:
 
 
 def read_stage(spark: SparkSession, path: str, schema: StructType, tags: Iterable[str] | None = None) -> DataFrame:
-    """A parquet table written per tag. ``tags`` prunes the scan to those folders.
+    """A parquet table between stages, written per tag or clustered by tag. ``tags`` prunes
+    the scan to those folders, or to files and row groups that may hold them.
 
     The schema is given, so opening reads no file and a tag such as ``007`` in a
     folder name stays text.
@@ -113,8 +137,10 @@ def read_moons(spark: SparkSession, path: str, zone: str = LOCAL_ZONE) -> DataFr
 
 
 def read_currents(spark: SparkSession, path: str, fmt: str = "M/d/yy H:mm") -> DataFrame:
-    """Current-profiler export: local time and nine depth bins of direction and speed."""
-    return read_dimension(spark, path, schemas.CURRENTS, {"DateTime(UTC-4)": fmt})
+    """Current-profiler export: local time, and direction and speed of all depth bins the file has."""
+    raw = read_text_columns(spark, path)
+    bins = sum(name.startswith("Direction ") for name in raw.columns)
+    return typed(raw, schemas.currents(bins), {schemas.CURRENT_TIME[0]: fmt})
 
 
 def read_ring(spark: SparkSession, path: str) -> DataFrame:

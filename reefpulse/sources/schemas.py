@@ -60,11 +60,16 @@ MOONS: Columns = [
 
 CLOSED_AREA: Columns = [("long", "double", "long"), ("lat", "double", "lat")]
 
-CURRENTS: Columns = (
-    [("DateTime(UTC-4)", "timestamp_ntz", "ts_local")]
-    + [(f"Direction {i}", "double", f"direction_{i}") for i in range(1, 10)]
-    + [(f"Speed {i}", "double", f"speed_{i}") for i in range(1, 10)]
-)
+CURRENT_TIME = ("DateTime(UTC-4)", "timestamp_ntz", "ts_local")
+
+
+def currents(bins: int) -> Columns:
+    """A profiler export with so many depth bins."""
+    return (
+        [CURRENT_TIME]
+        + [(f"Direction {i}", "double", f"direction_{i}") for i in range(1, bins + 1)]
+        + [(f"Speed {i}", "double", f"speed_{i}") for i in range(1, bins + 1)]
+    )
 
 SLACK_TIDES: Columns = [("date", "date", "date"), ("halfhour", "double", "halfhour")]
 

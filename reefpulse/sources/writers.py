@@ -1,7 +1,9 @@
-"""Writers: one folder per tag, as the stages of the study exchange them."""
+"""Writers: clustered tables between stages, and one folder per tag as an export."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -37,3 +39,14 @@ def write_per_key(
         )
     writer.format(fmt).save(path)
     return path
+
+
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], mode: str = "errorifexists") -> str:
+    """Writes ``df`` as Parquet in ranges of ``keys``, ordered by them within a file.
+
+    The number of files follows the data's size, not the number of tags, and a hot
+    tag is cut into ranges by the keys after it. A filter on the keys skips files and
+    row groups by their statistics.
+    """
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+    return path

@@ -183,3 +183,10 @@ def test_individuals_counts_tags_once(spark):
     got = tuples(lunar.individuals_by_dafm(lunar.detections_by_dafm(det)))
     assert got == [(2015, 4, "Apr", 1, 2, 3)]
     assert lunar.individuals_by_dafm(lunar.detections_by_dafm(det), after_year=2015).count() == 0
+
+
+def test_trips_by_year_sum_to_the_absences(spark):
+    days = visits.visit_days(dates(spark, a=["1995-12-20", "1996-01-20", "1997-06-01"], b=["1998-01-01"]))
+    got = visits.trips_by_year(days, days)
+    assert tuples(got, "transmitter", "year", "trips") == [("a", 1995, 1), ("a", 1996, 1), ("a", 1997, 0), ("b", 1998, 0)]
+    assert got.agg({"trips": "sum"}).first()[0] == visits.absences(days).count()

@@ -8,7 +8,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from reefpulse.plans.catalog import QUERIES
 from reefpulse.operators import binning, distribution, geometry, lunar, ranks, restrict, visits
 from reefpulse.plans import surrogate as s
 from tests.conftest import SF_SMALL
@@ -92,10 +92,10 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plans(spark, name):
     """No cross joins, no row-at-a-time Python, no unneeded columns of the scans."""
-    plan = _plan(queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
     assert ("ArrowEvalPython" in plan) == (name == "test_p_values")
@@ -106,3 +106,51 @@ def test_plans(spark, name):
 def test_filters_reach_the_scan(spark):
     det = restrict.before_date(s.detections_short(spark, SF_SMALL), dt.date(2024, 1, 5), "detection_time_ast")
     assert "PushedFilters: [IsNotNull(ts), LessThan(ts" in _plan(det)
+
+
+def _scans(df, table):
+    df.collect()
+    plan = _plan(df).split("Initial Plan")[0]
+    return sum(f"/{table}.parquet" in line and "Scan parquet" in line for line in plan.splitlines())
+
+
+def test_a_hot_tag_adds_no_chunks_to_others(spark):
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") < 30_000, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).alias("transmitter"),
+        F.timestamp_seconds(1_700_000_000 + F.pmod(F.hash("id"), F.lit(60 * 86_400))).cast("timestamp_ntz").alias("t"),
+    )
+    def chunks(chunk_rows):
+        cut = visits._chunked(rows, "t", visits.MONTH_SECONDS, chunk_rows).select("transmitter", "__chunk").distinct()
+        return cut.filter("transmitter = 'hot'").count(), cut.filter("transmitter <> 'hot'").count()
+
+    whole, fine = chunks(1_000_000), chunks(500)
+    assert fine[1] == whole[1] and whole[0] <= 4 and 40 <= fine[0] <= 80
+
+
+def test_reads(spark):
+    """How often the detections are read."""
+    assert _scans(QUERIES["time_gap"](spark, SF_SMALL), "events") <= 2
+    assert _scans(QUERIES["membership"](spark, SF_SMALL), "events") == 1
+    assert _scans(QUERIES["cut_bins"](spark, SF_SMALL), "events") <= 2
+
+
+@pytest.mark.parametrize("odd", [[1e9], [-9999.0, 1e300], [float("inf"), float("-inf")], [float("nan"), 1e9]])
+def test_outliers_do_not_fill_a_cell(spark, odd):
+    plain = spark.range(200_000).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("v"))
+    df = plain.unionByName(spark.createDataFrame([(x,) for x in odd], "v double"))
+    for by in ([], ["g"]):
+        counted = ranks.value_counts(df.withColumn("g", F.lit("a")), "v", by)
+        rows, _ = ranks._grid(counted, by, ranks.GRID)
+        assert rows.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0] < 200_000 / ranks.CUTS * 3
+    probs = (0.001, 0.25, 0.5, 0.75, 0.999)
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert list(ranks.exact_quantiles(df, "v", probs).first()) == pytest.approx(want)
+    grouped = ranks.exact_quantiles(df.withColumn("g", F.lit("a")), "v", probs, ["g"])
+    assert list(grouped.drop("g").first()) == pytest.approx(want)
+
+
+def test_a_narrow_histogram_over_a_wide_range(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 10_000_000_000)], "v double")
+    assert tuples(distribution.histogram(df, "v", width=1.0, empty=False), "center", "n") == [(1.0, 2), (10_000_000_000.0, 1), (2.0, 1)]
+    near = df.filter("v < 3").unionByName(spark.createDataFrame([(20_000.0,)], "v double"))
+    assert distribution.histogram(near, "v", width=1.0).count() == 20_000

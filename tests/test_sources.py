@@ -37,11 +37,26 @@ def test_own_time_format(spark, tmp_path):
     assert readers.read_detections(spark, path, formats=formats).first().detection_time_ast == ts("2015-05-01 10:00:01")
 
 
-def test_files_that_disagree_are_refused(spark, tmp_path):
-    _file(tmp_path, "a.csv", "station,transmitter,detection_time_ast,lat_nad83,long_nad83\n1,a,2015-05-01 10:00:01,1,2\n")
-    path = _file(tmp_path, "b.csv", "transmitter,station,detection_time_ast,lat_nad83,long_nad83\nb,1,2015-05-01 10:00:01,1,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        readers.read_detections(spark, path).collect()
+def test_files_with_columns_of_their_own(spark, tmp_path):
+    _file(tmp_path, "a b.csv", "station,transmitter,detection_time_ast,lat_nad83,long_nad83\n1,a,2015-05-01 10:00:01,1,2\n")
+    _file(tmp_path, "b.csv", "transmitter,station,detection_time_ast,lat_nad83,long_nad83\nb,1,2015-05-01 10:00:01,1,2\n")
+    path = _file(tmp_path, "c.csv", "long_nad83,lat_nad83,sensor_value,detection_time_ast,transmitter,station\n2,1,7.5,2015-05-01 10:00:01,c,1\n")
+    want = [("1", t, ts("2015-05-01 10:00:01"), 1.0, 2.0) for t in "abc"]
+    assert tuples(readers.read_detections(spark, path)) == want
+    deep = readers.read_detections(spark, path, schemas.DEPTH_DETECTIONS)
+    assert tuples(deep, "transmitter", "sensor_value") == [("a", None), ("b", None), ("c", 7.5)]
+
+
+def test_own_formats_know_no_time_zone(spark, tmp_path):
+    """02:30 does not exist in New York on that day; a wall clock keeps it all the same."""
+    path = _file(tmp_path, "a.csv", "station,transmitter,detection_time_ast,lat_nad83,long_nad83\n1,a,2024/03/10 02:30:00,1,2\n1,b,bad,1,2\n")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = tuples(readers.read_detections(spark, path, formats={"detection_time_ast": "yyyy/MM/dd HH:mm:ss"}), "detection_time_ast")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert set(got) == {(ts("2024-03-10 02:30:00"),), (None,)}
 
 
 def test_typed_dimension(spark, tmp_path):
@@ -57,10 +72,10 @@ def test_moon_table_moves_to_local_time(spark, tmp_path):
 
 
 def test_currents(spark, tmp_path):
-    names = ",".join(old for old, _, _ in schemas.CURRENTS)
-    row = "5/4/15 9:30," + ",".join(str(i) for i in range(18))
+    names = ",".join(old for old, _, _ in schemas.currents(20))
+    row = "5/4/15 9:30," + ",".join(str(i) for i in range(40))
     r = readers.read_currents(spark, _file(tmp_path, "c.csv", f"{names}\n{row}\n")).first()
-    assert (r.ts_local, r.direction_1, r.speed_9) == (ts("2015-05-04 09:30"), 0.0, 17.0)
+    assert (r.ts_local, r.direction_1, r.direction_20, r.speed_20) == (ts("2015-05-04 09:30"), 0.0, 19.0, 39.0)
 
 
 def test_bins_with_dotted_names(spark, tmp_path):
@@ -106,6 +121,7 @@ def test_sink_without_rows_for_a_tag_makes_no_folder(spark, tmp_path):
 
 
 def test_shared_folder_is_the_sessions(spark):
+    assert shared_folder(spark, "x", "s3://given/").startswith("s3://given/reefpulse-x-")
     root = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark, "x")
     assert folder != shared_folder(spark, "x")

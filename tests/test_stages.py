@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reefpulse.plans import stages
+from reefpulse.sources import readers
 from tests.frames import day, tuples
 
 HEAD = "station,transmitter,detection_time_ast,lat_nad83,long_nad83,sensor\n"
@@ -47,3 +48,6 @@ def test_run(spark, tmp_path):
         (d3, 0.5, 1, 1, 0, 17.6, "out"),
     ]
     assert read["bins"].filter(F.col("avg_x").isNull()).count() == 1
+
+    one = readers.read_stage(spark, paths["cut"], read["cut"].schema, ["A69-1"])
+    assert one.count() == 3 and "EqualTo(transmitter,A69-1)" in one._jdf.queryExecution().executedPlan().toString()
