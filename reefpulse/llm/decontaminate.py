@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from reefpulse.llm.store import bounded_batches
 from reefpulse.llm.wordhash import Words, chunks, span_hashes
 
 SIZES = (3, 5, 8)
@@ -206,6 +207,7 @@ def contaminated(
 
     doc_id, item_id, score, and the first and last word of the passage (from 0).
     """
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     blocks = -(-items.count() // block)

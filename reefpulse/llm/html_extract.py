@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from reefpulse.llm.store import stored
+from reefpulse.llm.store import bounded_batches, stored
 from reefpulse.llm.url_filter import host_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:/?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[!?][^>]*(?:>|\Z))", re.S)
@@ -265,6 +265,7 @@ def extract_text(
     A style node is noise if its composite importance, ``share`` of presentation and the
     rest of content, is under ``least``.
     """
+    bounded_batches(pages.sparkSession)
     known = pages.withColumn("__host", host_of(F.col(url)))
     tree = style_tree(known.select(F.col("__host").alias("host"), F.col(html).alias("html")))
     importance = share * F.col("presentation") + (1 - share) * F.col("content")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from reefpulse.llm.store import stored
+from reefpulse.llm.store import bounded_batches, stored
 from reefpulse.llm.wordhash import chunks
 
 DIMS = 1 << 12
@@ -148,6 +148,7 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
     """``docs`` with held_out and a struct ``language``; only rows that aren't held out are learned from."""
+    bounded_batches(docs.sparkSession)
     known = docs.withColumn("held_out", held_out(F.col(doc_id)))
     rows = known.where("not held_out").select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"))
     return known.withColumn("language", predicted(F.col(text), learn(rows, **how)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reefpulse.llm.components import components
-from reefpulse.llm.store import stored
+from reefpulse.llm.store import bounded_batches, stored
 from reefpulse.llm.wordhash import Words, chunks, mixed, span_hashes
 
 MINIMA, ROWS = 200, 5
@@ -308,6 +308,7 @@ def near_duplicates(
     Documents are linked with 100 * intersection >= ``percent`` * union of their sets
     of ``shingle``-word shingles; component_id is the least id reachable.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stored(
         known.mapInArrow(_signatures(shingle), "id long, n long, sid long, bits array<long>, bands array<long>, empty boolean"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from reefpulse.llm.store import stored
+from reefpulse.llm.store import bounded_batches, stored
 from reefpulse.llm.wordhash import Words, chunks, mixed, span_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -204,6 +204,7 @@ def fit(stats: DataFrame, least: int = 50, central: float = 0.75, steps: int = 3
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` with a struct ``quality`` of counts, and __lang and __source as text."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumns(
         {"quality": text_counts(F.col(text)), "__lang": F.col(lang).cast("string"), "__source": F.col(source).cast("string")}
     )

@@ -17,6 +17,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+# Arrow batches to Python tasks: rows and bytes at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch sizes to what tasks over whole texts need.
+
+    The default of 10,000 rows says nothing of their length. Lower settings stay.
+    """
+    for key, most in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/llm-{label}-{uuid.uuid4().hex}"
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reefpulse.llm.store import stored
+from reefpulse.llm.store import bounded_batches, stored
 from reefpulse.llm.wordhash import Words, chunks, mixed, sliding_least, span_hashes
 
 SEED = 8
@@ -187,6 +187,7 @@ def drop_repeats(
     """
     if length <= seed:
         raise ValueError(f"a window of {length} words needs seeds of fewer than {seed} words")
+    bounded_batches(docs.sparkSession)
     key = {
         "__llm_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))),
         "__llm_fp": F.coalesce(F.hash(F.col(text)), F.lit(0)),

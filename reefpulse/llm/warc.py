@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reefpulse.llm.store import bounded_batches
+
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
@@ -230,5 +232,6 @@ def _read(with_payload: bool):
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records and gaps of the archives in ``path``; rows with a ``problem`` are gaps."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_read(with_payload), RECORDS)
