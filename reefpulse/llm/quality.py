@@ -1,9 +1,11 @@
 """Quality rules with robust multivariate outliers: minimum covariance determinant.
 
 Counts of every text give a vector of transformed statistics. Per language and source
-a location and scatter are fitted to the most central part of all rows by C-steps: from
-medians and quartiles on, rows are ranked by Mahalanobis distance, and the next
-estimate comes from the central share of them, until no estimate is taken further.
+a location and scatter are fitted to the central half of all rows by C-steps: from
+medians and median deviations on, rows are ranked by Mahalanobis distance, and the next
+estimate comes from the central half of them, until no determinant falls any more. So
+outliers may be nearly half of a group. Where three quarters of the rows lie within the
+cutoff of that estimate, further C-steps with these, which vary less, give the final one.
 A document goes if it fails a base rule or lies too far from its group's estimate.
 
 Each step is two aggregations over the stored statistics with map-side combining, so
@@ -38,8 +40,11 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 D = 4
 # Least scale of each statistic in thousandths: a spread below it is not told from none.
 LEAST_SCALE = (100.0, 100.0, 400.0, 400.0)
-# Chi-square with D degrees of freedom: its median.
+# Chi-square with D degrees of freedom: its median, and about its 1 - 5e-7 quantile.
 MEDIAN = 3.3567
+CUTOFF = 35.0
+# A step that lowers the log of a determinant by less has settled.
+SETTLED = 1e-3
 
 
 def _within(marks: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -132,6 +137,16 @@ def _inverse(scatter: Column) -> Column:
     return pandas_udf(_inverses, "array<double>")(scatter)
 
 
+def _sizes(scatter: pd.Series) -> pd.Series:
+    least = np.diag(np.square(LEAST_SCALE))
+    return pd.Series([np.linalg.slogdet(np.reshape(s, (D, D)) + least)[1] for s in scatter], dtype="float64")
+
+
+def _size(scatter: Column) -> Column:
+    """The log determinant of each scatter matrix, the least scales added to its diagonal."""
+    return pandas_udf(_sizes, "double")(scatter)
+
+
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which null keys meet."""
     renamed = b.withColumnsRenamed({k: f"__k_{k}" for k in keys})
@@ -169,36 +184,66 @@ def _estimate(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(stats: DataFrame, least: int = 50, central: float = 0.75, steps: int = 3) -> DataFrame:
+def _ranked(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """unit, x and bin of the distance, for the units of ``estimates``."""
+    known = stored(estimates.select("unit", "centre", _inverse(F.col("scatter")).alias("inverse")), "estimate")
+    far = distance(F.col("x"), F.col("centre"), F.col("inverse"))
+    return rows.join(known, "unit").select("unit", "x", F.floor(200 * F.log1p(far)).alias("bin"))
+
+
+def _settled(rows: DataFrame, start: DataFrame, share: float) -> DataFrame:
+    """unit, centre and scatter after C-steps with the central ``share`` of rows, until no determinant falls any more.
+
+    Only units that still move are ranked again. Each step lowers a moving unit's
+    determinant, which the least scales bound, so the steps end.
+    """
+    now = stored(start.select("unit", "centre", "scatter", F.lit(float("inf")).alias("size"), F.lit(True).alias("moves")), "start")
+    while not now.where("moves").isEmpty():
+        binned = _ranked(rows, now.where("moves"))
+        limit = stored(binned.groupBy("unit").agg(F.percentile("bin", F.lit(share)).alias("limit")), "limit")
+        step = _estimate(binned.join(limit, "unit").where("bin <= limit").select("unit", "x"))
+        step = stored(step.select("unit", F.col("centre").alias("c"), F.col("scatter").alias("s"), _size(F.col("scatter")).alias("d")), "step")
+        falls = F.coalesce(F.col("d") < F.col("size") - SETTLED, F.lit(False))
+        now = stored(now.join(step, "unit", "left").select(
+            "unit", *[F.when(falls, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("c", "centre"), ("s", "scatter"), ("d", "size"))],
+            falls.alias("moves"),
+        ), "settled")
+    return now.select("unit", "centre", "scatter")
+
+
+def _scaled(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """``estimates`` with the scatter scaled up so that the median distance is the chi-square's."""
+    middle = _ranked(rows, estimates).groupBy("unit").agg(F.percentile("bin", F.lit(0.5)).alias("middle"))
+    grow = F.greatest(F.expm1((F.col("middle") + 0.5) / 200) / MEDIAN, F.lit(1.0))
+    return stored(estimates.join(middle, "unit").select("unit", "centre", F.transform("scatter", lambda s: s * grow).alias("scatter")), "scaled")
+
+
+def fit(stats: DataFrame, least: int = 50, central: float = 0.75) -> DataFrame:
     """Robust estimates from ``stats`` (lang, source, x): lang, source, centre, inverse, one row per group.
 
-    The scatter of the central rows is scaled up so that the median distance is the
-    chi-square's.
+    The central half gives the estimate, and the share ``central`` where it has no
+    outlier by the half's. The scatter of the central rows is scaled up so that the
+    median distance is the chi-square's.
     """
     groups = stored(units(stats, least).where("unit <> '-'"), "units")
     rows = stored(_same(stats, groups, ("lang", "source")).select("unit", "x"), "statistics")
-    cuts = [F.percentile(F.get("x", F.lit(i)), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])) for i in range(D)]
-    start = rows.groupBy("unit").agg(*[c.alias(f"q{i}") for i, c in enumerate(cuts)])
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2.0)) for i in range(D)]
-    estimate = start.select(
-        "unit", F.array(*[F.col(f"q{i}")[1] for i in range(D)]).alias("centre"),
-        F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(D) for j in range(D)]).alias("scatter"),
-    )
 
-    def ranked(estimate: DataFrame) -> DataFrame:
-        known = stored(estimate.select("unit", "centre", _inverse(F.col("scatter")).alias("inverse")), "estimate")
-        far = distance(F.col("x"), F.col("centre"), F.col("inverse"))
-        return rows.join(known, "unit").select("unit", "x", F.floor(200 * F.log1p(far)).alias("bin"))
+    def medians(x: list[Column]) -> list[Column]:
+        return [F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(x)]
 
-    for _ in range(steps):
-        binned = ranked(estimate)
-        limit = stored(binned.groupBy("unit").agg(F.percentile("bin", F.lit(central)).alias("limit")), "limit")
-        estimate = stored(_estimate(binned.join(limit, "unit").where("bin <= limit").select("unit", "x")), "step")
-    middle = ranked(estimate).groupBy("unit").agg(F.percentile("bin", F.lit(0.5)).alias("middle"))
-    grow = F.greatest(F.expm1((F.col("middle") + 0.5) / 200) / MEDIAN, F.lit(1.0))
-    final = estimate.join(middle, "unit").select(
-        "unit", "centre", _inverse(F.transform("scatter", lambda s: s * grow)).alias("inverse")
-    )
+    x = [F.get("x", F.lit(i)) for i in range(D)]
+    centres = rows.groupBy("unit").agg(*medians(x)).select("unit", F.array(*[f"m{i}" for i in range(D)]).alias("centre"))
+    centres = stored(centres, "centres")
+    off = [F.abs(c - F.get("centre", F.lit(i))) for i, c in enumerate(x)]
+    spread = rows.join(centres, "unit").groupBy("unit").agg(*medians(off)).join(centres, "unit")
+    scale = [F.pow(1.4826 * F.col(f"m{i}"), F.lit(2.0)) for i in range(D)]
+    start = spread.select("unit", "centre", F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(D) for j in range(D)]).alias("scatter"))
+    half = _settled(rows, start, 0.5)
+    scaled = _scaled(rows, half)
+    reach = _ranked(rows, scaled).groupBy("unit").agg(F.percentile("bin", F.lit(central)).alias("reach"))
+    clean = stored(reach.where(F.expm1(F.col("reach") / 200) <= CUTOFF).select("unit"), "clean")
+    wide = _scaled(rows, _settled(rows, half.join(clean, "unit"), central))
+    final = wide.unionByName(scaled.join(clean, "unit", "left_anti")).select("unit", "centre", _inverse(F.col("scatter")).alias("inverse"))
     return stored(groups.join(final, "unit").select("lang", "source", "centre", "inverse"), "estimates")
 
 
@@ -230,10 +275,6 @@ def judged(known: DataFrame, estimates: DataFrame, cutoff: float) -> DataFrame:
     )
 
 
-# About the chi-square's 1 - 5e-7 quantile.
-CUTOFF = 35.0
-
-
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF, **names: str) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. Texts are counted twice, never shuffled whole."""
     columns = docs.columns

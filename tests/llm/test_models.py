@@ -99,6 +99,18 @@ def test_outliers_against_a_dense_fit(spark):
     assert sum(good) / len(good) > 0.98 and sum(poor) / len(poor) < 0.1
 
 
+@pytest.mark.parametrize("percent", [20, 27, 33, 40])
+def test_outliers_that_are_a_large_part_of_a_group(spark, percent):
+    """Copies of one text with 15% symbols beside distinct clean texts of one language and source."""
+    def plain(i):
+        return " ".join("x" * (3 + (i + k * k) % 5) + w for k, w in enumerate(prose(i, 60 + i % 40).split()))
+
+    copy = " ".join(w + "#" * (1 + k % 2) for k, w in enumerate(prose(9_000, 80).split()))
+    rows = [(i, copy if i % 100 < percent else plain(i)) for i in range(300)]
+    got = {r.doc_id for r in keep_good(docs(spark, rows)).collect()}
+    assert got == {i for i, t in rows if t != copy}
+
+
 def test_quality_of_odd_rows(spark):
     df = with_clashes(docs(spark, odd_rows()))
     got = keep_good(df)
