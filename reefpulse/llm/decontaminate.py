@@ -14,7 +14,7 @@ neither hot passages nor hot items need splitting.
 
 Defined results: null or empty texts and items match nothing; items of fewer than
 three words are their own seed; repeated documents or items each give their rows;
-words are compared with A to Z lower-cased.
+words are compared with A to Z lower-cased; rows are dropped one by one, never by id.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from reefpulse.llm.store import bounded_batches
 from reefpulse.llm.wordhash import Words, chunks, span_hashes
@@ -180,6 +181,20 @@ def _matches(seeds: Seeds, item_ids: np.ndarray, least: float):
     return run
 
 
+def _holds(seeds: Seeds, item_ids: np.ndarray, least: float):
+    """Whether each text holds a passage of the block."""
+    matches = _matches(seeds, item_ids, least)
+
+    def run(texts: pa.Array) -> pa.Array:
+        held = np.zeros(len(texts), bool)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], ["id", "text"])
+        for found in matches(iter([batch])):
+            held[found.column("id").to_numpy()] = True
+        return pa.array(held)
+
+    return run
+
+
 def _occurrences(vocabulary: np.ndarray):
     """How often each word of the sorted vocabulary occurs; the last row counts all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,26 +214,20 @@ def _occurrences(vocabulary: np.ndarray):
     return run
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", least: float = 0.5, chance: float = 1.0, block: int = 20_000,
-) -> DataFrame:
-    """One row per document and item whose best alignment scores ``least`` or more.
-
-    doc_id, item_id, score, and the first and last word of the passage (from 0).
-    """
-    bounded_batches(docs.sparkSession)
-    known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+def _blocks(
+    texts: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, chance: float, block: int
+) -> Iterator[tuple[Seeds, np.ndarray]]:
+    """Seeds and item ids of each block of the benchmark; words are counted in ``texts`` (text)."""
+    bounded_batches(texts.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     blocks = -(-items.count() // block)
     part = F.pmod(F.xxhash64("text"), F.lit(max(blocks, 1)))
-    out = None
     for b in range(max(blocks, 1)):
         here = items.where(part == b).toPandas()
         words = Words(pa.array(here["text"].tolist(), pa.string()), lower=True)
         if len(words.hashes):
             vocabulary, which = np.unique(words.hashes, return_inverse=True)
-            counted = known.select("text").mapInArrow(_occurrences(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            counted = texts.mapInArrow(_occurrences(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
             counted = counted.toPandas()
             n = np.zeros(len(vocabulary) + 1)
             n[counted["word"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
@@ -227,14 +236,31 @@ def contaminated(
             seeds = Seeds(words, log_p, total, chance)
         else:
             seeds = Seeds(words, np.zeros(0), 1.0, chance)
-        found = known.mapInArrow(
-            _matches(seeds, here["item"].to_numpy(), least), "id long, item long, score double, first_word long, last_word long"
-        )
+        yield seeds, here["item"].to_numpy()
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", least: float = 0.5, chance: float = 1.0, block: int = 20_000,
+) -> DataFrame:
+    """One row per document and item whose best alignment scores ``least`` or more.
+
+    doc_id, item_id, score, and the first and last word of the passage (from 0).
+    """
+    known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    out = None
+    for seeds, item_ids in _blocks(known.select("text"), benchmark, item_id, item_text, chance, block):
+        found = known.mapInArrow(_matches(seeds, item_ids, least), "id long, item long, score double, first_word long, last_word long")
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "score", "first_word", "last_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage."""
-    gone = contaminated(docs, benchmark, doc_id, **how).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    least: float = 0.5, chance: float = 1.0, block: int = 20_000,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage: judged row by row, whatever their ids."""
+    clean = F.lit(True)
+    for seeds, item_ids in _blocks(docs.select(F.col(text).alias("text")), benchmark, item_id, item_text, chance, block):
+        clean = clean & ~arrow_udf(_holds(seeds, item_ids, least), "boolean")(F.col(text))
+    return docs.where(clean)

@@ -18,7 +18,8 @@ probability 1e-7.
 Defined results: null or empty text has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle; rows with equal texts are one class, and
 of those that share the least id all are kept; ids may be null and then never lead
-a component that has another id; other columns are carried along.
+a component that has another id; other columns are carried along. Rows are dropped by
+id and text, never by id alone; of a component without ids one text stays.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from reefpulse.llm.components import components
 from reefpulse.llm.store import bounded_batches, stored
@@ -300,6 +302,16 @@ class _Search:
         return stored(every.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
 
 
+def _members(known: DataFrame, shingle: int, percent: int, rounds: int) -> DataFrame:
+    """id, n, empty and root of each row of ``known`` (id of any type, text)."""
+    bounded_batches(known.sparkSession)
+    out = StructType([known.schema["id"], *StructType.fromDDL("n long, sid long, bits array<long>, bands array<long>, empty boolean")])
+    signed = stored(known.mapInArrow(_signatures(shingle), out), "signatures")
+    roots = _Search(known, signed, shingle, percent).roots(rounds)
+    named = signed.select("id", "n", "sid", "empty").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    return stored(named.select("id", "n", "empty", F.coalesce("root", "sid").alias("root")), "members")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 2
 ) -> DataFrame:
@@ -308,15 +320,8 @@ def near_duplicates(
     Documents are linked with 100 * intersection >= ``percent`` * union of their sets
     of ``shingle``-word shingles; component_id is the least id reachable.
     """
-    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stored(
-        known.mapInArrow(_signatures(shingle), "id long, n long, sid long, bits array<long>, bands array<long>, empty boolean"),
-        "signatures",
-    )
-    roots = _Search(known, signed, shingle, percent).roots(rounds)
-    named = signed.select("id", "n", "sid", "empty").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    named = stored(named.select("id", "n", "empty", F.coalesce("root", "sid").alias("root")), "members")
+    named = _members(known, shingle, percent, rounds)
     leads = named.where("not empty").groupBy("root").agg(F.min("id").alias("lead"))
     linked = named.where("not empty").join(leads, "root").select("id", "n", "lead")
     alone = named.where("empty").select("id", "n", F.col("id").alias("lead"))
@@ -326,7 +331,25 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """The rows of ``docs`` that lead their component, or have no words, with all their columns."""
-    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` that lead their component, or have no words, with all their columns.
+
+    A row's verdict is that of its id and text (by two hashes); without any id in a
+    component the text that hashes lowest leads.
+    """
+    number, t = F.col(doc_id).cast("long"), F.col(text)
+    one, two = F.xxhash64(t), F.xxhash64(F.lit(1), t)
+    row = F.struct(number.isNull().alias("none"), number.alias("id"), one.alias("one"), two.alias("two"))
+    named = _members(docs.select(row.alias("id"), t.alias("text")), shingle, percent, rounds).where("not empty")
+    leads = named.groupBy("root").agg(F.min("id").alias("lead"))
+    led = F.when(F.col("lead.none"), (F.col("id.one") == F.col("lead.one")) & (F.col("id.two") == F.col("lead.two"))).otherwise(
+        F.col("id.id").eqNullSafe(F.col("lead.id"))
+    )
+    gone = named.join(leads, "root").where(~led).select(
+        F.col("id.id").alias("__gone"), F.col("id.one").alias("__one"), F.col("id.two").alias("__two")
+    ).distinct()
+    same = docs[doc_id].cast("long").eqNullSafe(gone["__gone"])
+    same = same & (F.xxhash64(docs[text]) == gone["__one"]) & (F.xxhash64(F.lit(1), docs[text]) == gone["__two"])
+    return docs.join(gone, same, "left_anti")

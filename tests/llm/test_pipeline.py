@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from reefpulse.llm.decontaminate import drop_contaminated
+from reefpulse.llm.minhash import drop_near_duplicates
 from reefpulse.llm.store import stored
 from tests.conftest import SF_SMALL
 from tests.llm.small import DOCS, docs, odd_rows, prose, words
@@ -54,3 +56,19 @@ def test_odd_and_empty_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stored(stage(spark, df, SF_SMALL), "odd")
             assert out.dtypes == df.dtypes and (rows or not out.count())
+
+
+def test_rows_are_dropped_by_text_not_by_id(spark):
+    """Unique rows with a null or repeated id beside flagged ones of that id stay; one of a group without ids stays."""
+    item, base, other = prose(500, 40), prose(1, 120), prose(2, 120)
+    unique = [(None, prose(3, 120)), (None, prose(4, 120)), (9, prose(5, 120))]
+    nulls = [(None, other), (None, other + " tail")]
+    rows = [(1, base), (None, base + " tail"), (9, base + " end"), *nulls, *unique]
+    out = pairs(drop_near_duplicates(docs(spark, rows), shingle=5, percent=80))
+    left = [r for r in out if r in nulls]
+    assert len(left) == 1 and sorted(out, key=repr) == sorted([(1, base), *left, *unique], key=repr)
+    leaks = [(None, f"{prose(6, 60)} {item}"), (9, f"{item} {prose(7, 60)}")]
+    bench = spark.createDataFrame([(1, item), (2, prose(501, 40))], "item_id long, text string")
+    for block in (20_000, 1):
+        out = pairs(drop_contaminated(docs(spark, leaks + unique), bench, block=block))
+        assert sorted(out, key=repr) == sorted(unique, key=repr)
