@@ -30,7 +30,7 @@ BASE_PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Label, keywords (one of them occurs), regex of the name among words that are joined by one space.
+# Label, keywords (every match holds one of them), regex of the name among words that are joined by one space.
 FAMILIES = (
     ("mit", ("mit",), r"(?:the )?mit(?: expat| x11)?"),
     ("mit-0", ("mit",), r"mit (?:0|no attribution)"),
@@ -64,12 +64,12 @@ FAMILIES = (
     ("unlicense", ("unlicense",), r"(?:the )?unlicense"),
     ("wtfpl", ("wtfpl",), r"(?:the )?wtfpl"),
     ("cc0-1", ("cc0",), r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", ("by",), r"(?:cc|creative commons) (?:by|attribution)(?: [1-4] \d)?"),
-    ("cc-by-sa", ("sa",), r"(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1-4] \d)?"),
+    ("cc-by", ("cc by", "cc attribution", "creative commons"), r"(?:cc|creative commons) (?:by|attribution)(?: [1-4] \d)?"),
+    ("cc-by-sa", ("sa", "alike"), r"(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1-4] \d)?"),
     ("cc-by-nd", ("n",), r"(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:ative)?s)(?: [1-4] \d)?"),
-    ("cc-by-nc", ("nc",), r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1-4] \d)?"),
-    ("cc-by-nc-sa", ("sa",), r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1-4] \d)?"),
-    ("cc-by-nc-nd", ("nd",), r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s)(?: [1-4] \d)?"),
+    ("cc-by-nc", ("nc", "commercial"), r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1-4] \d)?"),
+    ("cc-by-nc-sa", ("sa", "alike"), r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1-4] \d)?"),
+    ("cc-by-nc-nd", ("nd", "deriv"), r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s)(?: [1-4] \d)?"),
     ("odbl-1", ("odbl",), r"odbl(?: 1 0)?"),
     ("ofl-1.1", ("sil",), r"(?:the )?sil open font(?: license)?(?: version)?(?: 1 1)?"),
     ("python-2", ("python",), r"(?:the )?python software foundation"),
@@ -92,13 +92,13 @@ ALONE = ("0bsd", "gpl-2", "gpl-2+", "gpl-3", "gpl-3+", "lgpl-2.1", "lgpl-3", "ag
          "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "proprietary")
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A text without any of these, in lower case, holds no license ...
-GATE = ("licen", "gpl", "spdx", "reserved", "0bsd", "wtfpl", "cc0", "creative", "under", "subject", "governed", "covered")
+GATE = ("licen", "gpl", "spdx", "reserved", "0bsd", "wtfpl", "cc0", "cc", "mpl", "creative", "under", "subject", "governed", "covered")
 # ... nor does one without this.
 SURE = (
-    r"licen[sc]|gpl|spdx|0bsd|wtfpl|cc0|rights{s}reserved|creative{s}commons|(?<![0-9a-z])cc{s}(?:by|attribution)"
+    r"licen[sc]|gpl|spdx|0bsd|wtfpl|cc0|(?<![0-9a-z])mpl|rights{s}reserved|creative{s}commons|(?<![0-9a-z])cc{s}(?:by|attribution)"
     r"|(?<![0-9a-z])(?:under|by|to){s}(?:(?:the|terms|and|conditions|of|gnu){s})*"
     r"(?:mit|apache|bsd|isc|mpl|mozilla|eclipse|cddl|eupl|artistic|boost|zlib|python|ncsa|odbl|sil|university|freebsd"
-    r"|simplified|modified|new|revised|original|two|three|[234])(?![0-9a-z])"
+    r"|simplified|modified|new|revised|original|two|three|[234](?![0-9]))(?![a-z])"
 ).replace("{s}", _SEP)
 
 

@@ -160,6 +160,33 @@ def test_licenses_equal_brute_force(spark):
     assert scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+NAMES = (
+    "MIT;MIT-0;Apache2;apache software license 2.0;Apache 1.1;apache 1.0;FreeBSD;2-clause BSD;new BSD;original bsd;0BSD;ISC;GPL1;GNU GPLv2;"
+    "gpl-2.0 or later;GPL3;GNU General Public License 3 or any later;library general public license 2;lgpl2.1;lesser general public license 3;"
+    "AGPL3;affero general public license 3;MPL1.1;mpl2;MPL-2.0;mozilla public license 2;eclipse public license 1.0;eclipse public license2;CDDL1;"
+    "EUPL1.2;artistic 2;artistic 1.0;boost software 1.0;zlib/libpng;Unlicense;WTFPL;CC0;CC BY 4.0;Creative Commons Attribution 4.0;"
+    "creative commons attribution ShareAlike 4.0;cc attribution share-alike;creative commons attribution NoDerivs;"
+    "Creative Commons Attribution NonCommercial;creative commons attribution non-commercial share alike;"
+    "Creative Commons Attribution NonCommercial NoDerivatives;ODbL;SIL Open Font;python software foundation;University of Illinois NCSA;all rights reserved"
+).split(";")
+FORMS = (
+    "the code is {} here", "SPDX-License-Identifier: {}", "licensed under {}", "released under the {}", "distributed under the terms of {}",
+    "subject to the {}", "governed by {}", "covered by the {}", "use under {} licence", "license: {}", "the {} license", "under 3 people {}",
+)
+
+
+def test_no_keyword_or_gate_drops_a_license(spark):
+    """All rules without keywords or gate on each name in each way."""
+    texts = [form.format(name) for name in NAMES for form in FORMS]
+    got = {r.text: set(filter(None, r.labels.split(","))) for r in scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
+    rules = [(p, k, label, re.compile(regex)) for k, p, label, _, regex in license_scan.rules()]
+    for text in texts:
+        norm = " " + " ".join(LICENSE_WORD.findall(text.translate(LOWER))) + " "
+        found = sorted((m.start(), -m.end(), p, k, label) for p, k, label, regex in rules for m in regex.finditer(norm))
+        kept = {x[4] for i, x in enumerate(found) if not any(y[1] <= x[1] and y[2] <= x[2] for y in found[:i])}
+        assert got[text] == kept | set(filter(None, base_of(text)[4].split(","))), text
+
+
 def test_rules_number_hundreds():
     made = license_scan.rules()
     assert len(made) > 250 and all(re.compile(regex) for *_, regex in made)
