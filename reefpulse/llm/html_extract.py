@@ -1,6 +1,6 @@
 """Main text of pages by site style trees.
 
-All pages of a host are merged into one tree: a node is a path of tags with their
+All distinct pages of a host are merged into one tree: a node is a path of tags with their
 classes and ids. Over the pages that have a node, its presentation importance is the
 entropy of the child sequences seen there, and its content importance is one less the
 mean entropy of its texts, each spread over the pages that repeat it; both to the base
@@ -225,12 +225,21 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+def _once(pages: DataFrame) -> DataFrame:
+    """host and html of each distinct page of a host; only pages that have copies are shuffled."""
+    marks = {"__one": F.xxhash64("host", "html"), "__two": F.xxhash64(F.lit(1), "host", "html")}
+    marked = pages.where("html is not null").select("host", "html").withColumns(marks)
+    several = stored(marked.groupBy(*marks).count().where("count > 1").select(*marks), "copied")
+    copied = marked.join(several, [*marks], "left_semi").groupBy(*marks).agg(F.first("host").alias("host"), F.first("html").alias("html"))
+    return marked.join(several, [*marks], "left_anti").select("host", "html").unionByName(copied.select("host", "html"))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, style, pages, presentation and content: the importance of each style node.
 
-    ``pages`` has host and html.
+    ``pages`` has host and html. Copies of a page on its host count as one.
     """
-    rows = pages.select("host", "html").mapInArrow(_count_features, "host string, style long, kind int, feature long, n long")
+    rows = _once(pages).mapInArrow(_count_features, "host string, style long, kind int, feature long, n long")
     counted = rows.groupBy("host", "style", "kind", "feature").agg(F.sum("n").alias("n"))
     n, kind = F.col("n").cast("double"), F.col("kind")
     node = counted.groupBy("host", "style").agg(

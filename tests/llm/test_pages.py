@@ -154,3 +154,18 @@ def test_salvage_of_gzip_members():
     assert ids(whole[:-15])[:4] == [0, 1, 2, 3] and gaps(whole[:-15])
     assert ids(gzip.compress(b"".join(parts)) + parts[0]) == [0, 1, 2, 3, 4, 0]
     assert ids(b"") == [] and gaps(b"") == []
+
+
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    """Articles at one, two and three URLs of a host, and a host of copies of one page, keep all paragraphs."""
+    def body(i):
+        return [prose(50 * i + k, 20) for k in range(5)]
+
+    rows = []
+    for host, articles, copies in (("two", 8, 2), ("three", 8, 3), ("all", 1, 12)):
+        for i in range(articles):
+            html = "<html><body><div>" + "".join(f"<p>{t}</p>" for t in body(i)) + "</div></body></html>"
+            rows += [(f"http://{host}.example/{i}/{c}", html, "\n".join(body(i))) for c in range(copies)]
+    pages = spark.createDataFrame(rows, "url string, html string, want string")
+    for r in extract_text(pages).collect():
+        assert r.text == r.want, r.url
