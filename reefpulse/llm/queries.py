@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reefpulse.llm import oracles
+from reefpulse.llm.block_topk import top_products
+from reefpulse.llm.collocations import collocations
 from reefpulse.llm.decontaminate import contaminated
 from reefpulse.llm.html_extract import extract_text
 from reefpulse.llm.language_id import identify
 from reefpulse.llm.license_scan import scan_licenses
+from reefpulse.llm.mask_search import ranked_search
 from reefpulse.llm.minhash import near_duplicates
 from reefpulse.llm.mixing import coin, with_copies, word_count
 from reefpulse.llm.quality import CUTOFF, fit, judged, measured, statistics
@@ -25,6 +28,9 @@ ORACLES: dict[str, str] = {
     "op4_near_duplicates": oracles.OP4,
     "op8_warc_salvage": oracles.OP8,
     "op9_source_mix": oracles.OP9,
+    "op11_presence_masks": oracles.OP11,
+    "op12_block_topk": oracles.OP12,
+    "op13_phrase_collocations": oracles.OP13,
 }
 MIX_SEED = 20
 
@@ -120,3 +126,18 @@ def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query
+def op12_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), words=3, least=10, percent=50, most=2000)
