@@ -1,25 +1,26 @@
 """Exact order statistics without gathering a group in one task.
 
 Values are first counted (one row per distinct value and group, pre-aggregated
-before the shuffle). The counted values are cut into a two-level grid: first at
-quantiles that a mergeable sketch of the group's distinct values gives, then evenly
-between two cuts. The sketch only places the cuts; exact running totals over the grid
-give the number of observations ahead of each cell, and only the values of one cell
-are ordered together. An outlier, infinity or NaN widens one interval out of many. A
-value that makes up much of the data is a single counted row.
+before the shuffle). The counted values are cut into cells at quantiles of a mergeable
+sketch of the group's distinct values, and each cell is cut again by a sketch of its
+own. A sketch goes by rank, so outliers, long tails, infinity and NaN widen no cell: two
+levels leave about one in ``CUTS`` squared of a group's distinct values in a cell, and
+``levels`` adds more. Sketches only place the cuts; exact running totals over the cells
+give the number of observations ahead of each, and only the values of one cell
+are ordered together. A value that makes up much of the data is a single counted row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reefpulse.operators.joining import join_group_row, join_null_safe
 
-GRID = 1024
-# Intervals of the first level, and the sketch's accuracy.
-CUTS = 128
+# Cuts of a cell, levels of cells, and the sketch's accuracy.
+CUTS, LEVELS = 64, 2
 ACCURACY = 2000
 
 
@@ -34,54 +35,63 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Colu
     )
 
 
-def _grid(counted: DataFrame, by: Sequence[str], grid: int) -> tuple[DataFrame, DataFrame]:
-    """The counted rows with their grid cell and their group's ``total``, and one
-    row per occupied cell with the observations in it and ahead of it."""
+def _cell_names(levels: int) -> list[str]:
+    return [f"__b{k}" for k in range(1, levels + 1)]
+
+
+def _grid(counted: DataFrame, by: Sequence[str], levels: int) -> tuple[DataFrame, DataFrame]:
+    """The counted rows with their cell (a number for each level) and their group's
+    ``total``, and one row per occupied cell with the observations in it and ahead of it."""
     marks = F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)])
-    ends = [F.percentile_approx("value", marks, ACCURACY).alias("cuts"), F.sum("n").alias("total")]
-    if by:
-        bounds = counted.groupBy(*by).agg(F.struct(*ends).alias("__b"))
-        ranged = join_group_row(counted, bounds, by, "value")
-    else:
-        ranged = counted.withColumn("__b", counted.agg(F.struct(*ends).alias("b")).scalar())
-    # The interval of a value is the number of cuts up to it; missing values have none.
-    below = F.size(F.filter("__b.cuts", lambda c: c <= F.col("value"))).cast("long")
-    left, right = F.get("__b.cuts", F.col("__b1").cast("int") - 1), F.get("__b.cuts", F.col("__b1").cast("int"))
-    at = F.try_divide(F.col("value") - left, right - left) * grid
-    inside = F.when((at >= 0) & (at <= grid), F.floor(at)).otherwise(F.lit(0))
-    rows = (
-        ranged.withColumns({"__b1": F.coalesce(below, F.lit(0)), "total": F.col("__b.total")})
-        .withColumn("__b2", F.coalesce(inside, F.lit(0)).cast("long"))
-        .drop("__b")
-    )
+    rows, names = counted, _cell_names(levels)
+    for k, name in enumerate(names):
+        cut = F.percentile_approx("value", marks, ACCURACY).alias("cuts")
+        within = [*by, *names[:k]]
+        if k:
+            ranged = join_null_safe(rows, rows.groupBy(*within).agg(F.struct(cut).alias("__b")), within, "inner")
+        else:
+            ends = F.struct(cut, F.sum("n").alias("total"))
+            if by:
+                ranged = join_group_row(rows, rows.groupBy(*by).agg(ends.alias("__b")), by, "value")
+            else:
+                ranged = rows.withColumn("__b", rows.agg(ends.alias("b")).scalar())
+            ranged = ranged.withColumn("total", F.col("__b.total"))
+        # The interval of a value is the number of cuts up to it; missing values have none.
+        below = F.size(F.filter("__b.cuts", lambda c: c <= F.col("value"))).cast("long")
+        rows = ranged.withColumn(name, F.coalesce(below, F.lit(0).cast("long"))).drop("__b")
     zero = F.lit(0).cast("long")
-    fine = rows.groupBy(*by, "__b1", "__b2").agg(F.sum("n").alias("__m"), F.max("total").alias("total"))
-    coarse = fine.groupBy(*by, "__b1").agg(F.sum("__m").alias("__m"))
-    # At most CUTS + 2 coarse cells per group, and grid + 1 fine ones in each.
-    above = Window.partitionBy(*by).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
-    beside = Window.partitionBy(*by, "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
-    ahead_coarse = coarse.select(*by, "__b1", F.coalesce(F.sum("__m").over(above), zero).alias("__c1"))
-    ahead_fine = fine.withColumn("__c2", F.coalesce(F.sum("__m").over(beside), zero))
-    cells = join_null_safe(ahead_fine, ahead_coarse, [*by, "__b1"], "inner")
-    return rows, cells.withColumn("__ahead", F.col("__c1") + F.col("__c2")).drop("__c1", "__c2")
-
-
-def _count_within(placed: DataFrame, by: Sequence[str]) -> DataFrame:
+    cells = rows.groupBy(*by, *names).agg(F.sum("n").alias("__m"), F.max("total").alias("total"))
+    # What is ahead: for each level the cells before it within the same cell of the level above,
+    # at most CUTS + 2 of them.
+    fine, ahead = cells, zero
+    for k in range(levels, 0, -1):
+        outer, name = [*by, *names[: k - 1]], names[k - 1]
+        level = cells if k == levels else cells.groupBy(*outer, name).agg(F.sum("__m").alias("__m"))
+        before = W.partitionBy(*outer).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
+        level = level.withColumn(f"__c{k}", F.coalesce(F.sum("__m").over(before), zero))
+        fine = level if k == levels else join_null_safe(fine, level.drop("__m"), [*outer, name], "inner")
+        ahead = ahead + F.col(f"__c{k}")
+    fine = fine.withColumn("__ahead", ahead).drop(*[f"__c{k}" for k in range(1, levels + 1)])
+    return rows, fine
+
+
+def _count_within(placed: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Orders the values of each cell and adds ``before``."""
-    in_cell = Window.partitionBy(*by, "__b1", "__b2").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = W.partitionBy(*by, *names).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("__ahead") + F.coalesce(F.sum("n").over(in_cell), F.lit(0).cast("long"))
-    return placed.withColumn("before", before).drop("__b1", "__b2", "__ahead")
+    return placed.withColumn("before", before).drop(*names, "__ahead")
 
 
-def running_counts(counted: DataFrame, by: Sequence[str] = (), grid: int = GRID) -> DataFrame:
+def running_counts(counted: DataFrame, by: Sequence[str] = (), levels: int = LEVELS) -> DataFrame:
     """Adds ``before``, the number of observations in the group with a smaller value,
     and ``total``, the group's number of observations.
 
     ``counted`` is the output of ``value_counts``.
     """
-    rows, cells = _grid(counted, by, grid)
-    offsets = cells.select(*by, "__b1", "__b2", "__ahead")
-    return _count_within(join_null_safe(rows, offsets, [*by, "__b1", "__b2"], "inner"), by)
+    rows, cells = _grid(counted, by, levels)
+    names = _cell_names(levels)
+    offsets = cells.select(*by, *names, "__ahead")
+    return _count_within(join_null_safe(rows, offsets, [*by, *names], "inner"), by, names)
 
 
 def _asked(cells: DataFrame, probs: Sequence[float]) -> DataFrame:
@@ -90,20 +100,21 @@ def _asked(cells: DataFrame, probs: Sequence[float]) -> DataFrame:
     return cells.filter(F.exists(F.array(*asked), lambda r: (r >= F.col("__ahead")) & (r < F.col("__ahead") + F.col("__m"))))
 
 
-def _counts_at(counted: DataFrame, probs: Sequence[float], by: Sequence[str] = (), grid: int = GRID) -> DataFrame:
+def _counts_at(counted: DataFrame, probs: Sequence[float], by: Sequence[str] = (), levels: int = LEVELS) -> DataFrame:
     """``running_counts`` for the values near ``probs`` only.
 
     All other values are dropped before any further shuffle: without groups the
     wanted cells travel as one short array, otherwise as rows of a small join side.
     """
-    rows, cells = _grid(counted, by, grid)
-    wanted = _asked(cells, probs).select(*by, "__b1", "__b2", "__ahead")
+    rows, cells = _grid(counted, by, levels)
+    names = _cell_names(levels)
+    wanted = _asked(cells, probs).select(*by, *names, "__ahead")
     if by:
-        return _count_within(join_null_safe(rows, wanted, [*by, "__b1", "__b2"], "inner"), by)
-    listed = wanted.agg(F.collect_list(F.struct("__b1", "__b2", "__ahead"))).scalar()
-    here = F.filter("__w", lambda w: (w["__b1"] == F.col("__b1")) & (w["__b2"] == F.col("__b2")))
+        return _count_within(join_null_safe(rows, wanted, [*by, *names], "inner"), by, names)
+    listed = wanted.agg(F.collect_list(F.struct(*names, "__ahead"))).scalar()
+    here = F.filter("__w", lambda w: reduce(lambda a, b: a & b, (w[c] == F.col(c) for c in names)))
     kept = rows.withColumn("__w", listed).withColumn("__w", here).filter(F.size("__w") > 0)
-    return _count_within(kept.withColumn("__ahead", F.col("__w")[0]["__ahead"]).drop("__w"), ())
+    return _count_within(kept.withColumn("__ahead", F.col("__w")[0]["__ahead"]).drop("__w"), (), names)
 
 
 def _position(total: Column, p: float) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reefpulse.plans.catalog import QUERIES
-from reefpulse.operators import binning, distribution, geometry, lunar, ranks, restrict, visits
+from reefpulse.operators import binning, distribution, geometry, joining, lunar, ranks, restrict, visits
 from reefpulse.plans import surrogate as s
 from tests.conftest import SF_SMALL
 from tests.frames import tuples
@@ -140,8 +140,8 @@ def test_outliers_do_not_fill_a_cell(spark, odd):
     df = plain.unionByName(spark.createDataFrame([(x,) for x in odd], "v double"))
     for by in ([], ["g"]):
         counted = ranks.value_counts(df.withColumn("g", F.lit("a")), "v", by)
-        rows, _ = ranks._grid(counted, by, ranks.GRID)
-        assert rows.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0] < 200_000 / ranks.CUTS * 3
+        rows, _ = ranks._grid(counted, by, ranks.LEVELS)
+        assert rows.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0] < 200_000 / ranks.CUTS**2 * 8
     probs = (0.001, 0.25, 0.5, 0.75, 0.999)
     want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
     assert list(ranks.exact_quantiles(df, "v", probs).first()) == pytest.approx(want)
@@ -149,6 +149,38 @@ def test_outliers_do_not_fill_a_cell(spark, odd):
     assert list(grouped.drop("g").first()) == pytest.approx(want)
 
 
+def test_a_tail_of_ten_powers_does_not_fill_a_cell(spark):
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    df = spark.range(200_000).select(F.pow(F.lit(10.0), u * 10).alias("v"))
+    rows, cells = ranks._grid(ranks.value_counts(df, "v"), [], ranks.LEVELS)
+    assert rows.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0] < 200_000 / ranks.CUTS**2 * 8
+    assert cells.agg(F.sum("__m")).first()[0] == 200_000
+    ahead = cells.orderBy("__b1", "__b2").collect()
+    assert [r["__ahead"] for r in ahead] == [sum(x["__m"] for x in ahead[:k]) for k in range(len(ahead))]
+    probs = (0.0, 0.001, 0.25, 0.5, 0.999, 1.0)
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    for levels in (1, 3):
+        got = ranks._counts_at(ranks.value_counts(df, "v"), (0.5,), (), levels).filter("before <= 99999 and before + n > 99999").collect()
+        assert len(got) == 1
+    assert list(ranks.exact_quantiles(df, "v", probs).first()) == pytest.approx(want)
+
+
+def test_salts_follow_counts(no_broadcast):
+    rows = no_broadcast.range(60_000).select(
+        F.when(F.col("id") < 50_000, F.pmod("id", F.lit(2)).cast("string")).otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("v")
+    )
+    hot = joining.hot_groups(rows, ["g"], least=200)
+    salts = joining.salted(rows, hot, ["g"], ["v"]).groupBy("g").agg(F.count_distinct("__salt").alias("n"))
+    spread = {r.n for r in salts.filter("g IN ('0', '1')").collect()}
+    assert min(spread) > 90 and {r.n for r in salts.filter("g NOT IN ('0', '1')").collect()} == {1}
+    stats = rows.groupBy("g").agg(F.max("v").alias("most"))
+    copies = joining.repeated(stats, hot, ["g"]).groupBy("g").count()
+    assert copies.filter("g NOT IN ('0', '1')").agg(F.max("count")).first()[0] == 1
+    got = joining.join_group_row(rows, stats, ["g"], "v", least=200)
+    assert got.count() == 60_000 and got.filter("v > most").count() == 0
+    assert joining.join_group_row(rows.limit(0), stats.limit(0), ["g"], "v").count() == 0
+
+
 def test_a_narrow_histogram_over_a_wide_range(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 10_000_000_000)], "v double")
     assert tuples(distribution.histogram(df, "v", width=1.0, empty=False), "center", "n") == [(1.0, 2), (10_000_000_000.0, 1), (2.0, 1)]
