@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
@@ -106,11 +107,11 @@ class Block:
     """Documents with their words, in ascending order of id, and a bitmap for each word."""
 
     def __init__(self, rows: pa.Table, scoring: Scoring, vocabulary: int):
-        order = pa.compute.sort_indices(rows.select(["doc"]), sort_keys=[("doc", "ascending")], null_placement="at_end")
+        order = pc.sort_indices(rows.select(["doc"]), sort_keys=[("doc", "ascending")], null_placement="at_end")
         rows = rows.take(order).combine_chunks()
         self.ids, self.size = rows.column("doc"), len(rows)
         lists = rows.column("words").combine_chunks()
-        self.length = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        self.length = pc.list_value_length(lists).to_numpy().astype(np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.word = lists.flatten().to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(self.size), self.length)
