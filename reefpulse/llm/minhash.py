@@ -232,17 +232,23 @@ class _Search:
         return full.select("u", "v", "a", "b").mapInArrow(_confirm(self.percent), "u long, v long")
 
     def roots(self, rounds: int) -> DataFrame:
-        """node and root of all classes that have a link."""
+        """node and root of all classes that have a link.
+
+        A bucket whose members have one root is settled for good, so each round reads
+        the members of those buckets alone that the round before left with several.
+        """
+        members = self.buckets.select("key", "sid")
         star = self.buckets.where("sid <> lead").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
         roots = stored(components(stored(self.confirmed(star), "links")), "roots")
         for turn in range(1, rounds + 2):
-            named = self.buckets.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+            named = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
             named = stored(named.select("key", "sid", F.coalesce("root", "sid").alias("root")), "named")
             several = named.groupBy("key").agg(
                 F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
                 F.min_by(F.struct("sid", "root"), F.xxhash64("sid", F.lit(turn))).alias("lead"),
             ).where("lo < hi").select("key", "n", "lead")
             apart = stored(named.join(several, "key"), "apart")
+            members = apart.select("key", "sid")
             large = apart.where(F.col("n") > SMALL_BUCKET)
             hot = not large.isEmpty()
             if turn <= rounds and hot:
