@@ -41,17 +41,15 @@ RECORDS = (
 _NAMES = [c.split()[0] for c in RECORDS.split(", ")]
 
 
-def payload_digest(payload: Column) -> Column:
-    """Base32 of the SHA-1: eight groups of 20 bits, four digits each."""
-    hexed = F.sha1(payload)
+def payload_digest(hexed: Column) -> Column:
+    """A SHA-1 in hex as base32: eight groups of 20 bits, four digits each.
 
-    def digits(i: Column) -> Column:
-        n = F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[
-            F.substring(F.lit(_BASE32), F.shiftright(n, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)
-        ])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), digits), "")
+    ``hexed`` should be a column of its own, so that the hash is computed once.
+    """
+    groups = [F.conv(F.substring(hexed, i * 5 + 1, 5), 16, 10).cast("int") for i in range(8)]
+    return F.concat(*[
+        F.substring(F.lit(_BASE32), F.shiftright(n, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for n in groups for s in (15, 10, 5, 0)
+    ])
 
 
 def _urn(value: Column) -> Column:
@@ -66,10 +64,10 @@ def with_records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFra
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     known = pages.select(
-        F.col(page_id).cast("long").alias("id"), F.col(url).alias("uri"), payload.alias("payload"), payload_digest(payload).alias("digest"),
+        F.col(page_id).cast("long").alias("id"), F.col(url).alias("uri"), payload.alias("payload"), F.sha1(payload).alias("hex"),
     )
-    least = known.groupBy("digest").agg(F.min("id").alias("first"))
-    both = known.join(least, "digest")
+    least = known.groupBy("hex").agg(F.min("id").alias("first"))
+    both = known.join(least, "hex").withColumn("digest", payload_digest(F.col("hex")))
     again = ~F.col("id").eqNullSafe(F.col("first"))
     eol = "\r\n"
     uri = F.regexp_replace("uri", r"[\x00-\x20\x7f]", "%20")
@@ -142,16 +140,25 @@ def _record(data: bytes, at: int) -> tuple[int, dict]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What a gzip member yields, where it ends, and what is wrong with it."""
+    """What a gzip member yields, where it ends, and what is wrong with it.
+
+    Of a part that fails, what its bytes ahead of the damage yield is kept.
+    """
     out, d, step = [], zlib.decompressobj(31), 1 << 16
-    try:
-        for k in range(at, len(data), step):
+    for k in range(at, len(data), step):
+        before = d.copy()
+        try:
             out.append(d.decompress(data[k : k + step]))
-            if d.eof:
-                return b"".join(out), min(k + step, len(data)) - len(d.unused_data), ""
-        return b"".join(out), len(data), "the gzip member does not end"
-    except zlib.error as e:
-        return b"".join(out), -1, f"gzip: {e}"
+        except zlib.error as e:
+            try:
+                for i in range(k, k + step):
+                    out.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), -1, f"gzip: {e}"
+        if d.eof:
+            return b"".join(out), min(k + step, len(data)) - len(d.unused_data), ""
+    return b"".join(out), len(data), "the gzip member does not end"
 
 
 def _next(data: bytes, at: int) -> int:
