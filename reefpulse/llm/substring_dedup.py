@@ -32,8 +32,8 @@ from reefpulse.llm.store import bounded_batches, stored
 from reefpulse.llm.wordhash import Words, chunks, mixed, sliding_least, span_hashes
 
 SEED = 8
-_ANCHORS = "a long, c long, d long, fp int, lo int, hi int, dup boolean"
-_WINDOWS = "a long, h long, d long, fp int, lo int"
+_ANCHORS = "a long, c long, d long, fp long, lo int, hi int, dup boolean"
+_WINDOWS = "a long, h long, d long, fp long, lo int"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def drop_repeats(
     bounded_batches(docs.sparkSession)
     key = {
         "__llm_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))),
-        "__llm_fp": F.coalesce(F.hash(F.col(text)), F.lit(0)),
+        "__llm_fp": F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")),
     }
     texts = docs.withColumns(key)
     spans = repeated_windows(

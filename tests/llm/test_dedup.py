@@ -132,3 +132,31 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(101)}, 200: 200, 201: 200}
     assert components(links.where("u < 0")).count() == 0
+
+
+def test_texts_without_id_whose_short_hashes_agree(spark):
+    """200,000 texts without id, of which some pairs agree in 32 bits, keep words of their own."""
+    from pyspark.sql import functions as F
+
+    tail, many = " ".join(["t"] * 30), 200_000
+    head = F.concat_ws(" ", *[F.concat(F.lit(f"h{k}x"), F.col("id").cast("string")) for k in range(3)])
+    texts = spark.range(many).select(
+        F.lit(None).cast("long").alias("doc_id"), F.concat(head, F.when(F.col("id") % 2 == 0, F.lit(" " + tail)).otherwise(F.lit(""))).alias("text")
+    )
+    got = drop_repeats(texts, length=20)
+    short = got.where(F.size(F.split("text", " ")) == 3)
+    assert short.where("dedup.n_removed <> 0 or dedup.text <> text").isEmpty() and got.count() == many
+
+
+def test_rounds_read_only_what_is_apart(spark, monkeypatch):
+    from reefpulse.llm import minhash
+
+    seen = []
+    monkeypatch.setattr(minhash, "stored", lambda df, label, real=minhash.stored: seen.append((label, out := real(df, label))) or out)
+    base = prose(30, 120).split()
+    rows = [(d, " ".join(base[:110] + prose(500 + d % 7, 10).split())) for d in range(300)]
+    rows += [(1000 + d, " ".join(prose(2000 + d % 60, 40).split() + ["end"] * (d % 2))) for d in range(300)]
+    near_duplicates(docs(spark, rows), shingle=2, percent=80).count()
+    named = [df.count() for label, df in seen if label == "named"]
+    apart = [df.count() for label, df in seen if label == "apart"]
+    assert named[1:] == apart[: len(named) - 1]
