@@ -77,6 +77,21 @@ def _constant_edge(lon: Column, lat: Column, a: Vertex, b: Vertex) -> tuple[Colu
     return reached & (turn > 0 if y2 > y1 else turn < 0), (turn == 0) & in_lat
 
 
+def edges_of(ring: Column) -> Column:
+    """The edges of a ring, an array of structs a and b; the last one closes it."""
+    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def in_edges(lon: Column, lat: Column, edges: Column) -> Column:
+    """True inside a closed ring of ``edges`` or on one of them.
+
+    Edges that neither hold the point nor meet a ray from it to the east may be missing.
+    """
+    odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _column_edge(lon, lat, e["a"], e["b"])[0])
+    return F.exists(edges, lambda e: _column_edge(lon, lat, e["a"], e["b"])[1]) | odd
+
+
 def in_ring(lon: Column, lat: Column, ring: Sequence[Vertex] | Column) -> Column:
     """True inside the ring or on its boundary; null for a null position.
 
@@ -86,11 +101,7 @@ def in_ring(lon: Column, lat: Column, ring: Sequence[Vertex] | Column) -> Column
     """
     known = lon.isNotNull() & lat.isNotNull()
     if isinstance(ring, Column):
-        after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        edges = F.zip_with(ring, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _column_edge(lon, lat, e["a"], e["b"])[0])
-        held = F.exists(edges, lambda e: _column_edge(lon, lat, e["a"], e["b"])[1])
-        return F.when(known, held | odd)
+        return F.when(known, in_edges(lon, lat, edges_of(ring)))
     pts = [(float(x), float(y)) for x, y in ring]
     if pts[0] == pts[-1]:
         pts = pts[:-1]

@@ -8,10 +8,11 @@ day instead of making them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reefpulse.functions.clock import SLOTS_PER_DAY, slot_date, slot_half_hour, slot_of
 from reefpulse.functions.nulls import distinct_with_null, share, strict_avg
+from reefpulse.operators.asof import around, nearest
 from reefpulse.operators.lunar import EARLY_DAYS, add_dafm
 
 POSITIONS = ("avg_lat", "avg_long", "avg_x", "avg_y")
@@ -36,20 +37,40 @@ def bin_positions(det: DataFrame) -> DataFrame:
     )
 
 
+# Half-hours of a gap that one task makes from a row.
+FILL_BLOCK = 4096
+
+
+def _expanded(spread: DataFrame) -> DataFrame:
+    """One row for each half-hour from ``__slot`` to ``__to``, in ``__at``.
+
+    Gaps of more than a block are cut in blocks that are dealt over all tasks before
+    they are expanded, so that years without a detection are not made by one.
+    """
+    long_gap = F.col("__to") - F.col("__slot") >= FILL_BLOCK
+    short = spread.filter(~long_gap).withColumn("__at", F.explode(F.sequence("__slot", "__to")))
+    block = F.explode(F.sequence(F.floor(F.col("__slot") / FILL_BLOCK), F.floor(F.col("__to") / FILL_BLOCK)))
+    tasks = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = spread.filter(long_gap).withColumn("__block", block).repartition(tasks, "transmitter", "__block")
+    first = F.greatest(F.col("__slot"), F.col("__block") * FILL_BLOCK)
+    last = F.least(F.col("__to"), F.col("__block") * FILL_BLOCK + FILL_BLOCK - 1)
+    return short.unionByName(blocks.withColumn("__at", F.explode(F.sequence(first, last))).drop("__block"))
+
+
 def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
     """Adds the empty half-hours between a tag's first and last bin.
 
     Every bin is expanded up to the tag's next one, so the result is contiguous
-    without a join against a spine. The only shuffle is by tag, on at most 48
-    rows per tag and day. Empty bins have zero counts, no position, and the DAFM
+    without a join against a spine. The only shuffles are by tag, on at most 48
+    rows per tag and day, and of the blocks of long gaps. Empty bins have zero counts, no position, and the DAFM
     of their date.
     """
     per_tag = Window.partitionBy("transmitter").orderBy("__slot")
     spread = (
         bins.withColumn("__slot", slot_of("date", "halfhour"))
         .withColumn("__to", F.coalesce(F.lead("__slot").over(per_tag) - 1, F.col("__slot")))
-        .withColumn("__at", F.explode(F.sequence("__slot", "__to")))
     )
+    spread = _expanded(spread)
     kept = F.col("__at") == F.col("__slot")
     zero = F.lit(0).cast("long")
     has_dafm = "dafm" in bins.columns
@@ -173,3 +194,23 @@ def tide_overlay(bins: DataFrame, slack: DataFrame) -> DataFrame:
         .join(tides, "date")
         .withColumn("hours_from_slack", F.col("halfhour") - F.col("slack_halfhour"))
     )
+
+
+def tide_nearest(bins: DataFrame, slack: DataFrame) -> DataFrame:
+    """Located bins with the slack tide nearest in time, of whatever day, and the hours since it.
+
+    ``slack`` has date and halfhour, any number of rows; hours are negative ahead of a slack.
+    """
+    def hours(c: str) -> Column:
+        return F.unix_date("date") * 24.0 + F.col(c)
+
+    located = bins.filter(F.col("avg_lat").isNotNull()).withColumn("__hours", hours("halfhour"))
+    tides = slack.select(hours("halfhour").alias("__slack"))
+    beside = around(located, tides, "__hours", "__slack", width=24.0).withColumn("__near", nearest(F.col("__hours")))
+    day = F.floor(F.col("__near") / 24.0)
+    return beside.select(
+        *bins.columns,
+        F.date_from_unix_date(day.cast("int")).alias("slack_date"),
+        (F.col("__near") - day * 24.0).alias("slack_halfhour"),
+        (F.col("__hours") - F.col("__near")).alias("hours_from_slack"),
+    )

@@ -36,6 +36,22 @@ def point_in_polygon(spark, d):
     return geometry.point_in_polygon(det, "long_nad83", "lat_nad83", s.RING).select("event_id", "inside")
 
 
+@query(
+    "points_in_rings",
+    """SELECT d.event_id, i.area FROM det_short d JOIN (
+         SELECT lon, lat, area,
+                bool_or((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2)
+                        AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))
+                OR (count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) <> 0
+                                     AND ((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) > 0) = (y2 > y1))) % 2 = 1 AS inside
+         FROM places CROSS JOIN area_edges GROUP BY ALL) i ON i.lon = d.long_nad83 AND i.lat = d.lat_nad83
+       WHERE i.inside""",
+)
+def points_in_rings(spark, d):
+    det, areas = s.detections_short(spark, d), s.closed_areas(spark, d)
+    return geometry.points_in_rings(det, "long_nad83", "lat_nad83", areas, "area", "outline").select("event_id", "area")
+
+
 @query("bin_positions", "SELECT * FROM occupied")
 def bin_positions(spark, d):
     return s.occupied_bins(s.dated_short(spark, d))
@@ -119,6 +135,23 @@ def tide_overlay(spark, d):
     return beside.select("transmitter", "date", "halfhour", "avg_long", "slack_halfhour", "hours_from_slack")
 
 
+@query(
+    "tide_nearest",
+    """SELECT b.transmitter, b.date, b.halfhour, b.avg_long, n.slack_date, n.slack_halfhour, n.hours_from_slack
+       FROM bins b JOIN (
+         SELECT t.date, t.halfhour, s.date AS slack_date, s.slack_halfhour,
+                datediff('day', s.date, t.date) * 24e0 + t.halfhour - s.slack_halfhour AS hours_from_slack
+         FROM (SELECT DISTINCT date, halfhour FROM bins) t CROSS JOIN slack s
+         QUALIFY row_number() OVER (PARTITION BY t.date, t.halfhour ORDER BY abs(hours_from_slack), s.date, s.slack_halfhour) = 1
+       ) n ON n.date = b.date AND n.halfhour = b.halfhour
+       WHERE b.avg_lat IS NOT NULL""",
+)
+def tide_nearest(spark, d):
+    bins = s.located_bins(spark, d)
+    beside = binning.tide_nearest(bins, s.slack_tides(bins))
+    return beside.select("transmitter", "date", "halfhour", "avg_long", "slack_date", "slack_halfhour", "hours_from_slack")
+
+
 @query("current_means", "SELECT * FROM current_means")
 def current_means(spark, d):
     return summary.current_means(s.currents(spark, d))

@@ -83,6 +83,18 @@ def _edges() -> str:
     return f"SELECT * FROM (VALUES {rows}) AS e(x1, y1, x2, y2)"
 
 
+def _area_edges() -> str:
+    (x0, y0), pts = RING[0], RING + RING[:1]
+    rows = ", ".join(
+        f"(CAST({a - x0!r} AS DOUBLE), CAST({b - y0!r} AS DOUBLE), CAST({c - x0!r} AS DOUBLE), CAST({d - y0!r} AS DOUBLE))"
+        for (a, b), (c, d) in zip(pts, pts[1:])
+    )
+    move, scale = "4e-3 * n_nationkey", "(n_regionkey + 1) / 2e0"
+    x, y = (f"{base} + {move} + {{}} * ({scale})" for base in ("-6492e-2", "176e-1"))
+    ends = ", ".join(f"{e.format(c)} AS {c}" for e, c in ((x, "x1"), (y, "y1"), (x, "x2"), (y, "y2")))
+    return f"SELECT n_nationkey AS area, {ends} FROM nation CROSS JOIN (VALUES {rows}) AS e(x1, y1, x2, y2)"
+
+
 def inside_sql(source: str, lon: str, lat: str) -> str:
     """Distinct points of ``source`` with whether the ring holds them."""
     turn = f"((x2 - x1) * (p.{lat} - y1) - (y2 - y1) * (p.{lon} - x1))"
@@ -174,6 +186,8 @@ VIEWS: dict[str, str] = {
     "dated_short": _dated("det_short", "cal_short"),
     "dated_long": _dated("det_long", "cal_long"),
     "edges": _edges(),
+    "area_edges": _area_edges(),
+    "places": "SELECT DISTINCT long_nad83 AS lon, lat_nad83 AS lat FROM det_short",
     "utm_short": _utm("dated_short"),
     "cut_short": """
     SELECT u.* FROM utm_short u JOIN tags t ON t.transmitter = u.transmitter

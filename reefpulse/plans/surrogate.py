@@ -167,6 +167,17 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict.flag_presence(filled)
 
 
+def closed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One area per nation: the outline moved and scaled by nation and region, so that areas overlap."""
+    x0, y0 = RING[0]
+    move, scale = F.lit(0.004) * F.col("n_nationkey"), (F.col("n_regionkey") + 1) / F.lit(2.0)
+    vertices = [
+        F.struct((F.lit(-64.92) + move + F.lit(x - x0) * scale).alias("long"), (F.lit(17.6) + move + F.lit(y - y0) * scale).alias("lat"))
+        for x, y in RING
+    ]
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area"), F.array(*vertices).alias("outline"))
+
+
 def presence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-hours present and absent per DAFM."""
     det = detections_short(spark, sf_dir)

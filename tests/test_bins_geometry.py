@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +167,57 @@ def test_status_share_with_few_statuses_and_a_missing_one(spark):
     assert got == {"a": (2, 50.0, 50.0), "b": (1, 25.0, 25.0), None: (1, 25.0, 25.0)}
     known = {r.current_status: r.propknown for r in summary.status_share(df, ["a"]).collect()}
     assert known == {"a": 100.0, "b": 50.0, None: 50.0}
+
+
+def _random_rings(n, seed):
+    rng = random.Random(seed)
+    rings = []
+    for k in range(n):
+        x, y, r = rng.uniform(-2, 2), rng.uniform(-2, 2), rng.choice([0.02, 0.3, 0.9, 40.0])
+        turns = sorted(rng.uniform(0, 6.283) for _ in range(rng.choice([3, 5, 17])))
+        rings.append((k, [(x + r * rng.uniform(0.3, 1) * math.cos(a), y + r * rng.uniform(0.3, 1) * math.sin(a)) for a in turns]))
+    rings.append((n, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.5), (0.0, 1.0)]))
+    return rings
+
+
+@pytest.mark.parametrize("cell", [None, 0.05, 7.0])
+def test_points_meet_rings_as_one_by_one(spark, cell):
+    rings = _random_rings(20, 5)
+    rng = random.Random(6)
+    pts = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(600)]
+    pts += [(1000 + i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.25, 0.75), (0.5, 0.75), (1.0, 1.0), (1.0, 0.3)])]
+    pts += [(2000, None, 1.0), (2001, 1.0, None)]
+    points = spark.createDataFrame(pts, "i int, lon double, lat double")
+    table = spark.createDataFrame([*rings, (98, []), (99, None), rings[0]], "ring_id int, ring array<struct<long: double, lat: double>>")
+    got = {(r.i, r.ring_id) for r in geometry.points_in_rings(points, "lon", "lat", table, cell=cell).collect()}
+    one = points.select("i", *[in_ring(F.col("lon"), F.col("lat"), r).alias(str(k)) for k, r in rings]).collect()
+    want = {(r.i, k) for r in one for k, _ in rings if r[str(k)]}
+    assert got == want and len(want) > 300
+    assert geometry.points_in_rings(points, "lon", "lat", table.limit(0)).count() == 0
+    assert geometry.points_in_rings(points.limit(0), "lon", "lat", table).count() == 0
+
+
+def test_slack_across_midnight(spark):
+    bins = spark.createDataFrame(
+        [("a", day("2024-01-02"), 0.5, 17.6), ("a", day("2024-01-02"), 12.0, 17.6), ("b", day("2024-01-09"), 3.0, 17.6), ("b", day("2024-01-01"), 0.0, 17.6), ("c", day("2024-01-02"), 1.0, None)],
+        "transmitter string, date date, halfhour double, avg_lat double",
+    )
+    slack = spark.createDataFrame([(day("2024-01-01"), 23.5), (day("2024-01-02"), 5.0), (day("2024-01-02"), 19.0), (day("2024-01-12"), 1.0)], "date date, halfhour double")
+    got = tuples(binning.tide_nearest(bins, slack), "transmitter", "date", "slack_date", "slack_halfhour", "hours_from_slack")
+    assert got == [
+        ("a", day("2024-01-02"), day("2024-01-01"), 23.5, 1.0),
+        ("a", day("2024-01-02"), day("2024-01-02"), 5.0, 7.0),
+        ("b", day("2024-01-01"), day("2024-01-01"), 23.5, -23.5),
+        ("b", day("2024-01-09"), day("2024-01-12"), 1.0, -70.0),
+    ]
+    none = binning.tide_nearest(bins, slack.limit(0)).select("slack_date", "hours_from_slack").distinct().collect()
+    assert [tuple(r) for r in none] == [(None, None)]
+
+
+def test_a_gap_of_a_century_is_spread(spark):
+    bins = _occupied(spark, [("a", "1", "1924-01-01 00:00"), ("a", "1", "2024-01-01 00:00"), ("b", "1", "2024-01-01 00:00"), ("b", "1", "2024-01-01 02:00")])
+    filled = binning.fill_gaps(bins, moons(spark, *MOONS))
+    per_tag = {r.transmitter: (r.n, r.d) for r in filled.groupBy("transmitter").agg(F.count(F.lit(1)).alias("n"), F.sum("no_detections").alias("d")).collect()}
+    assert per_tag == {"a": (36525 * 48 + 1, 2), "b": (5, 2)}
+    most = filled.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert most < 36525 * 48 * 0.4
