@@ -1,125 +1,167 @@
 """Gaps between detections, trips, absences and attendance.
 
-Per-row work on a tag is split by time chunk, so that a tag holding much of the
-data is spread over many tasks; only one small row per tag and chunk is ordered
-per tag. Day-level work starts from distinct (tag, date), at most one row per
-calendar day.
+Per-row work on a tag goes by rank: detections are dealt in ranges of (tag, time), cut at
+sampled ranks, so neither a hot tag, a hot month nor a burst within a second is one task's work;
+only the ends of ranges are ordered per tag. Day-level work starts from distinct
+(tag, date), at most one row per calendar day.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from reefpulse.functions.clock import MICROS, micros
 from reefpulse.functions.nulls import sem
-from reefpulse.operators.joining import join_null_safe
+from reefpulse.operators.ranks import exact_quantiles
 
 WEEK_SECONDS = 604_800
-MONTH_SECONDS = 30 * 86_400
-CHUNK_ROWS = 1_000_000
 
 
-# Parts a time unit of one tag is cut into at most, and room for them in a chunk's number.
-MOST_PARTS = 1 << 20
+def _in_ranges(det: DataFrame, ts: str, ties: Sequence[str], ranges: int | None) -> DataFrame:
+    """The rows with ``__us`` (microseconds) in ranges of (tag, time, ties), ordered within each.
 
-
-def _chunked(det: DataFrame, ts: str, unit: int, chunk_rows: int) -> DataFrame:
-    """Adds microseconds and a chunk number, ascending in time within a tag.
-
-    A chunk is one tag's ``unit`` seconds. Those with more than ``chunk_rows``
-    detections, found by a narrow scan with one row per tag and unit, are cut
-    further; only they are listed (at most rows / chunk_rows of them), so a hot tag
-    adds no chunk to any other.
+    The number of ranges is fixed, so that every reader of this one exchange sees the same ranges.
     """
-    rows = det.withColumn("__us", micros(ts))
-    width = unit * MICROS
-    rows = rows.withColumn("__unit", F.floor(F.col("__us") / width))
-    hot = rows.groupBy("transmitter", "__unit").count().filter(F.col("count") > chunk_rows)
-    hot = hot.select("transmitter", "__unit", F.least(F.ceil(F.col("count") / chunk_rows), F.lit(MOST_PARTS)).alias("__parts"))
-    cut = join_null_safe(rows, hot, ["transmitter", "__unit"])
-    share = (F.col("__us") - F.col("__unit") * width) / F.lit(float(width))
-    part = F.coalesce(F.floor(share * F.col("__parts")), F.lit(0))
-    return cut.withColumn("__chunk", F.col("__unit") * MOST_PARTS + part).drop("__unit", "__parts")
+    ranges = ranges or int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("transmitter", "__us", *ties)
+    return det.withColumn("__us", micros(ts)).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+
+
+def _same_as_next(tags: pa.Array, following: pa.Array | None) -> np.ndarray:
+    """Whether each row has the tag of the row after it; ``following`` holds the one after the last."""
+    if following is not None:
+        tags = pa.concat_arrays([tags, following])
+    codes = pc.fill_null(tags.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    same = codes[1:] == codes[:-1]
+    return same if following is not None else np.append(same, False)
+
+
+def _numbered(same: np.ndarray, carried: int) -> np.ndarray:
+    """The place of each row within its tag; ``carried`` rows of the first tag came before."""
+    start = np.append(True, ~same[:-1])
+    at = np.arange(len(same))
+    first = np.maximum.accumulate(np.where(start, at, 0))
+    return at - first + 1 + np.where(first == 0, carried, 0)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch | None, np.ndarray, np.ndarray]]:
+    """Each batch of an ordered range, the one after it, and per row whether the next has its
+    tag and its place within the tag."""
+    carried, held = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            same = _same_as_next(held.column("transmitter"), batch.column("transmitter").slice(0, 1))
+            place = _numbered(same, carried)
+            yield held, batch, same, place
+            carried = int(place[-1]) if same[-1] else 0
+        held = batch
+    if held is not None:
+        same = _same_as_next(held.column("transmitter"), None)
+        yield held, None, same, _numbered(same, carried)
+
+
+def _next_in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds __range, __row (from 1 in a tag and range), __last of them, and __next, the next row's time."""
+    of = TaskContext.get().partitionId()
+    for batch, after, same, place in _walk(batches):
+        us = batch.column("__us")
+        following = after.column("__us").slice(0, 1) if after is not None else pa.nulls(1, us.type)
+        then = pc.if_else(pa.array(same), pa.concat_arrays([us.slice(1), following]), pa.nulls(len(us), us.type))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(len(us), of, np.int32)), pa.array(place), pa.array(~same), then],
+            [*batch.schema.names, "__range", "__row", "__last", "__next"],
+        )
 
 
 def time_gap(
-    det: DataFrame,
-    ts: str = "detection_time_ast",
-    ties: Sequence[str] = ("station",),
-    chunk_rows: int = CHUNK_ROWS,
+    det: DataFrame, ts: str = "detection_time_ast", ties: Sequence[str] = ("station",), ranges: int | None = None
 ) -> DataFrame:
     """Adds ``timediff``: seconds to the tag's next detection, null on its last.
 
-    Within a chunk the next row is found by a window. The last row of a chunk finds
-    the first of the tag's next chunk among the first and last rows of chunks, which
-    come from the same shuffle.
+    Within a range the next row follows; the last row of a tag in a range finds the first of the
+    tag's next range among the ends of ranges, at most two rows a tag and range. One shuffle carries
+    the rows; the Arrow pass over it is cheaper than a second one by tag and range.
     """
-    rows = _chunked(det, ts, MONTH_SECONDS, chunk_rows)
-    in_chunk = Window.partitionBy("transmitter", "__chunk").orderBy("__us", *ties)
-    led = rows.withColumns({"__lead": F.lead("__us").over(in_chunk), "__row": F.row_number().over(in_chunk)})
-    per_tag = Window.partitionBy("transmitter").orderBy("__chunk", "__row")
-    ends = led.filter(F.col("__lead").isNull() | (F.col("__row") == 1)).withColumn("__next", F.lead("__us").over(per_tag))
-    inner = led.filter(F.col("__lead").isNotNull()).withColumn("__next", F.col("__lead"))
-    both = inner.unionByName(ends.filter(F.col("__lead").isNull()))
+    laid = _in_ranges(det, ts, ties, ranges)
+    added = StructType.fromDDL("__range int, __row long, __last boolean, __next long")
+    led = laid.mapInArrow(_next_in_range, StructType([*laid.schema.fields, *added.fields]))
+    per_tag = Window.partitionBy("transmitter").orderBy("__range", "__row")
+    ends = led.filter("__last OR __row = 1").withColumn("__next", F.lead("__us").over(per_tag)).filter("__last")
+    both = led.filter("NOT __last").unionByName(ends)
     return both.select(*det.columns, ((F.col("__next") - F.col("__us")) / F.lit(float(MICROS))).alias("timediff"))
 
 
+def _near_gaps(gap: int, keep: int):
+    """The rows of a range that may be among the ``keep`` ahead of a gap, and the first of each tag."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = TaskContext.get().partitionId()
+        # Rows that are not settled yet: whether one stays depends on the next keep - 1 rows.
+        held: list[pa.Table] = []
+
+        def settle(table: pa.Table, final: bool) -> tuple[pa.Table, pa.Table]:
+            n = len(table)
+            ready = n if final else max(n - keep, 0)
+            stop = table.column("__stop").to_numpy()
+            tag_end = table.column("__last").to_numpy()
+            # A stop counts for the rows of its own tag alone.
+            tag = np.cumsum(np.append(0, tag_end[:-1]))
+            stays = table.column("__row").to_numpy() == 1
+            for ahead in range(min(keep, n)):
+                m = n - ahead
+                stays[:m] |= stop[ahead:] & (tag[:m] == tag[ahead:])
+            settled = table.slice(0, ready)
+            return settled.filter(pa.array(stays[:ready])), table.slice(ready)
+
+        for batch, after, same, place in _walk(batches):
+            us = batch.column("__us")
+            following = after.column("__us").slice(0, 1) if after is not None else pa.nulls(1, us.type)
+            then = pa.concat_arrays([us.slice(1), following])
+            far = pc.fill_null(pc.greater(pc.subtract(then, us), gap), False).to_numpy(zero_copy_only=False) & same
+            rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(us), of, np.int32)), pa.array(place), pa.array(~same), pa.array(far), pa.array(far | ~same)],
+                [*batch.schema.names, "__range", "__row", "__last", "__far", "__stop"],
+            )])
+            done, rest = settle(pa.concat_tables([*held, rows]), after is None)
+            held = [rest]
+            yield from done.drop_columns(["__stop"]).to_batches()
+
+    return run
+
+
 def last_before_gap(
-    det: DataFrame,
-    gap_seconds: int = WEEK_SECONDS,
-    keep: int = 5,
-    ts: str = "detection_time_ast",
-    ties: Sequence[str] = ("station",),
-    chunk_rows: int = CHUNK_ROWS,
+    det: DataFrame, gap_seconds: int = WEEK_SECONDS, keep: int = 5, ts: str = "detection_time_ast", ties: Sequence[str] = ("station",),
+    ranges: int | None = None,
 ) -> DataFrame:
     """The last ``keep`` detections ahead of every gap longer than ``gap_seconds``,
     with the gap's number within the tag as ``group``.
 
-    A gap longer than a chunk always ends one, so gaps are found on one row per
-    tag and chunk. Every chunk has a row, so only the ``keep`` chunks up to the
-    gap can contribute; the detections are cut down to those before they are
-    ranked, and the rank filter is applied ahead of the shuffle.
+    A range leaves only the rows that may be among them: those ahead of its own gaps and of the
+    end of each tag in it. What is left is ordered per tag; there the ends of ranges meet, and
+    each row's place in the tag follows from the sizes of the ranges before it.
     """
-    rows = _chunked(det, ts, max(1, min(gap_seconds, MONTH_SECONDS)), chunk_rows)
-    per_tag = Window.partitionBy("transmitter").orderBy("__chunk")
-    so_far = per_tag.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = per_tag.rowsBetween(0, keep - 1)
-    chunks = (
-        rows.groupBy("transmitter", "__chunk")
-        .agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"), F.count(F.lit(1)).alias("__n"))
-        .withColumns(
-            {
-                "__gap": F.lead("__lo").over(per_tag) - F.col("__hi") > gap_seconds * MICROS,
-                "__end": F.sum("__n").over(so_far),
-            }
-        )
-        .withColumn("__group", F.sum(F.coalesce(F.col("__gap").cast("int"), F.lit(0))).over(so_far))
-        .withColumn(
-            "__gaps",
-            F.collect_list(
-                F.when(F.col("__gap"), F.struct(F.col("__group").alias("group"), F.col("__end").alias("end")))
-            ).over(ahead),
-        )
-    )
-    wanted = chunks.select(
-        "transmitter",
-        "__chunk",
-        "__end",
-        F.filter("__gaps", lambda g: F.col("__end") > g["end"] - keep).alias("__gaps"),
-    ).filter(F.size("__gaps") > 0)
-    newest = Window.partitionBy("transmitter", "__chunk").orderBy(
-        F.desc("__us"), *[F.desc(t) for t in ties]
-    )
-    return (
-        join_null_safe(rows, wanted, ["transmitter", "__chunk"], "inner")
-        .withColumn("__back", F.row_number().over(newest))
-        .filter(F.col("__back") <= keep)
-        .withColumn("__g", F.explode("__gaps"))
-        .filter(F.col("__end") - F.col("__back") + 1 > F.col("__g.end") - keep)
-        .select(*det.columns, F.col("__g.group").alias("group"))
-    )
+    gap = gap_seconds * MICROS
+    laid = _in_ranges(det, ts, ties, ranges)
+    added = StructType.fromDDL("__range int, __row long, __last boolean, __far boolean")
+    near = laid.mapInArrow(_near_gaps(gap, keep), StructType([*laid.schema.fields, *added.fields]))
+    per_tag = Window.partitionBy("transmitter").orderBy("__range", "__row")
+    before = per_tag.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.when(F.col("__last"), F.col("__row"))).over(before), F.lit(0).cast("long"))
+    over_edge = F.col("__last") & (F.lead("__us").over(per_tag) - F.col("__us") > gap)
+    placed = near.withColumns({"__place": ahead + F.col("__row"), "__gap": F.col("__far") | F.coalesce(over_edge, F.lit(False))})
+    placed = placed.withColumn("__group", F.count_if("__gap").over(per_tag.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.collect_list(F.when(F.col("__gap"), F.struct(F.col("__group").alias("group"), F.col("__place").alias("end"))))
+    placed = placed.withColumn("__ends", ends.over(per_tag.rowsBetween(0, keep - 1)))
+    mine = F.filter("__ends", lambda g: F.col("__place") > g["end"] - keep)
+    return placed.withColumn("__g", F.explode(mine)).select(*det.columns, F.col("__g.group").alias("group"))
 
 
 def visit_days(det: DataFrame) -> DataFrame:
@@ -253,3 +295,18 @@ def returners(seen: DataFrame) -> DataFrame:
         F.avg(several).alias("mean_months"),
         F.stddev_samp(several).alias("sd_months"),
     )
+
+
+def spread_of(df: DataFrame, value: str) -> DataFrame:
+    """Number, minimum, median, mean, maximum and standard error of one column, nulls left out."""
+    moments = df.agg(
+        F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), sem(value).alias("sem"),
+    )
+    return moments.withColumn("median", exact_quantiles(df, value, (0.5,), names=("median",)).scalar())
+
+
+def trip_stats(trips: DataFrame) -> DataFrame:
+    """Median trips per tag, tags with a single trip, and mean and standard error of the others'."""
+    several = F.when(F.col("trips") != 1, F.col("trips"))
+    stats = trips.agg(F.count_if(F.col("trips") == 1).alias("single"), F.avg(several).alias("mean_multi"), sem(several).alias("sem_multi"))
+    return stats.withColumn("median_trips", exact_quantiles(trips, "trips", (0.5,), names=("median",)).scalar())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reefpulse.operators import distribution, lunar, ranks, restrict, summary, visits
+from reefpulse.operators import distribution, lunar, restrict, summary, visits
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.registry import query, rounded
 
@@ -164,19 +164,6 @@ SELECT count({x}) AS n, min({x}) AS min, round(quantile_cont(CAST({x} AS DOUBLE)
 """
 
 
-def _stats(df, value):
-    """Minimum, median, mean, maximum and standard error of one column."""
-    moments = df.agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("min"),
-        F.avg(value).alias("mean"),
-        F.max(value).alias("max"),
-        (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"),
-    )
-    median = ranks.exact_quantiles(df, value, (0.5,), names=("median",))
-    return rounded(moments.withColumn("median", median.scalar()))
-
-
 @query(
     "trip_stats",
     """SELECT round(quantile_cont(CAST(trips AS DOUBLE), 0.5), 9) AS median_trips, count(*) FILTER (WHERE trips = 1) AS single,
@@ -185,20 +172,12 @@ def _stats(df, value):
        FROM strict""",
 )
 def trip_stats(spark, d):
-    trips = visits.trips_strict(_days(spark, d))
-    several = F.when(F.col("trips") != 1, F.col("trips"))
-    median = ranks.exact_quantiles(trips, "trips", (0.5,), names=("median",))
-    stats = trips.agg(
-        F.count_if(F.col("trips") == 1).alias("single"),
-        F.avg(several).alias("mean_multi"),
-        (F.stddev_samp(several) / F.sqrt(F.count(several))).alias("sem_multi"),
-    )
-    return rounded(stats.withColumn("median_trips", median.scalar()))
+    return rounded(visits.trip_stats(visits.trips_strict(_days(spark, d))))
 
 
 @query("absence_stats", STATS_SQL.format(x="absdays", source="gaps"))
 def absence_stats(spark, d):
-    return _stats(visits.absences(_days(spark, d)), "absdays")
+    return rounded(visits.spread_of(visits.absences(_days(spark, d)), "absdays"))
 
 
 @query(
@@ -210,12 +189,12 @@ def absence_stats(spark, d):
 )
 def trips_per_year_stats(spark, d):
     days = _days(spark, d)
-    return _stats(visits.trips_by_year(days, days).filter(F.col("trips") != 0), "trips")
+    return rounded(visits.spread_of(visits.trips_by_year(days, days).filter(F.col("trips") != 0), "trips"))
 
 
 @query("trip_length_stats", STATS_SQL.format(x="triplen", source="trips"))
 def trip_length_stats(spark, d):
-    return _stats(_trips(spark, d), "triplen")
+    return rounded(visits.spread_of(_trips(spark, d), "triplen"))
 
 
 @query(

@@ -37,7 +37,7 @@ def test_gaps_of_a_hot_tag(hot):
     want = []
     for a, b in zip(rows, rows[1:] + [("", None, "", 0)]):
         want.append((a[3], (b[1] - a[1]).total_seconds() if a[0] == b[0] else None))
-    got = visits.time_gap(hot, ties=("station", "event_id"), chunk_rows=20)
+    got = visits.time_gap(hot, ties=("station", "event_id"), ranges=20)
     assert tuples(got, "event_id", "timediff") == sorted(want, key=repr)
 
 
@@ -114,22 +114,45 @@ def _scans(df, table):
     return sum(f"/{table}.parquet" in line and "Scan parquet" in line for line in plan.splitlines())
 
 
-def test_a_hot_tag_adds_no_chunks_to_others(spark):
-    rows = spark.range(40_000).select(
-        F.when(F.col("id") < 30_000, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).alias("transmitter"),
-        F.timestamp_seconds(1_700_000_000 + F.pmod(F.hash("id"), F.lit(60 * 86_400))).cast("timestamp_ntz").alias("t"),
+def _burst(spark):
+    """Half of all rows are one tag's within one second, most of them at one instant."""
+    second = F.when(F.col("id") < 20_000, F.lit(1_700_000_000)).otherwise(1_700_000_000 + F.pmod(F.hash("id"), F.lit(60 * 86_400)))
+    return spark.range(40_000).select(
+        F.when(F.col("id") < 20_000, "burst").otherwise(F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).alias("transmitter"),
+        F.format_string("s%06d", "id").alias("station"), F.timestamp_seconds(second).cast("timestamp_ntz").alias("detection_time_ast"), "id",
     )
-    def chunks(chunk_rows):
-        cut = visits._chunked(rows, "t", visits.MONTH_SECONDS, chunk_rows).select("transmitter", "__chunk").distinct()
-        return cut.filter("transmitter = 'hot'").count(), cut.filter("transmitter <> 'hot'").count()
 
-    whole, fine = chunks(1_000_000), chunks(500)
-    assert fine[1] == whole[1] and whole[0] <= 4 and 40 <= fine[0] <= 80
+
+def test_a_burst_is_cut_by_rank(no_broadcast):
+    det = _burst(no_broadcast)
+    laid = visits._in_ranges(det, "detection_time_ast", ("station",), 40)
+    assert laid.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 2 * 40_000 / 40
+    got = visits.time_gap(det, ranges=40)
+    assert got.count() == 40_000
+    rows = sorted((r.transmitter, r.detection_time_ast, r.station, r.id) for r in det.collect())
+    want = {a[3]: (b[1] - a[1]).total_seconds() if a[0] == b[0] else None for a, b in zip(rows, rows[1:] + [("", None, "", 0)])}
+    assert {r.id: r.timediff for r in got.collect()} == want
+
+
+def test_batches_that_cut_tags_and_gaps(no_broadcast):
+    """Rows of a range come in batches of seven."""
+    det = _burst(no_broadcast).filter("id % 50 = 0")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = no_broadcast.conf.get(key)
+    whole = [tuples(visits.time_gap(det, ranges=3), "id", "timediff"), tuples(visits.last_before_gap(det, gap_seconds=86_400, ranges=3), "id", "group")]
+    no_broadcast.conf.set(key, "7")
+    try:
+        for ranges in (1, 6):
+            small = [tuples(visits.time_gap(det, ranges=ranges), "id", "timediff"), tuples(visits.last_before_gap(det, gap_seconds=86_400, ranges=ranges), "id", "group")]
+            assert small == whole
+    finally:
+        no_broadcast.conf.set(key, before)
 
 
 def test_reads(spark):
     """How often the detections are read."""
-    assert _scans(QUERIES["time_gap"](spark, SF_SMALL), "events") <= 2
+    assert _scans(QUERIES["time_gap"](spark, SF_SMALL), "events") == 1
+    assert _scans(QUERIES["last_before_gap"](spark, SF_SMALL), "orders") == 1
     assert _scans(QUERIES["membership"](spark, SF_SMALL), "events") == 1
     assert _scans(QUERIES["cut_bins"](spark, SF_SMALL), "events") <= 2
 
