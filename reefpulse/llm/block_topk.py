@@ -18,8 +18,8 @@ lay out blocks, and the result is exact whatever they are.
 
 Defined results: null vectors and vectors with a null or non-finite component, or one
 whose product with the scale is not finite, take no part; a shorter vector's missing
-components are zero, so empty vectors score 0; scores are exact and limited to 64 bits
-on output; each row is a candidate of its own, so repeated rows are separate and a query
+components are zero, so empty vectors score 0; scores are exact up to 63 bits and a sign, and
+beyond them ties at that limit; each row is a candidate of its own, so repeated rows are separate and a query
 leaves out only its own row; null ids are never queries and come last in ties; an
 empty table gives an empty result.
 """
@@ -40,6 +40,7 @@ PER_BLOCK, PER_RANGE, MOST_RANGES, PIVOTS = 128, 8192, 1024, 64
 # Queries in one cell, candidate scores a cell holds before it keeps each query's best alone.
 CELL, PENDING = 1024, 1 << 20
 NO_ID = np.iinfo(np.int64).max
+LOWEST = -NO_ID
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -57,7 +58,10 @@ def _list(matrix: np.ndarray) -> pa.Array:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of whole numbers, exact: in doubles, in 64 bits or in Python's integers, as their size asks."""
+    """a @ b.T of whole numbers, exact: in doubles, in 64 bits or in Python's integers, as their size asks.
+
+    Beyond 64 bits it is the limit.
+    """
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
     most = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1]
@@ -66,7 +70,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if most < 1 << 63:
         return a.astype(np.int64) @ b.astype(np.int64).T
     whole = [np.array([[int(x) for x in row] for row in m], object) for m in (a, b)]
-    return whole[0] @ whole[1].T
+    return np.clip(whole[0] @ whole[1].T, LOWEST, -LOWEST).astype(np.int64)
 
 
 def _sums(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ class _Best:
     def __init__(self, k: int, n: int, least: list):
         self.k, self.n = k, n
         # A score below this is none of the k best.
-        self.bar = np.array([-np.inf if x is None else x for x in least], object if any(isinstance(x, int) and abs(x) >= 1 << 53 for x in least) else None)
+        self.bar = np.array([LOWEST if x is None else x for x in least], np.int64)
         self.rows: list[tuple[np.ndarray, ...]] = []
         self.pending = 0
 
@@ -134,9 +138,7 @@ class _Best:
         if not self.rows:
             return
         query, score, uid, vec = (np.concatenate(x) for x in zip(*self.rows))
-        order = np.lexsort((uid, vec, -score, query)) if score.dtype != object else np.array(
-            sorted(range(len(query)), key=lambda i: (query[i], -score[i], vec[i], uid[i])), np.int64
-        )
+        order = np.lexsort((uid, vec, -score, query))
         query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         order, query, place = order[place < self.k], query[place < self.k], place[place < self.k]
@@ -180,8 +182,6 @@ def _cell(k: int, width: int):
         if not best.rows:
             return none
         at, score, uid, vec = best.rows[0]
-        if score.dtype == object:
-            score = np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in score], np.int64)
         return pa.table(
             [pa.array(own[at]), queries.column("id").take(pa.array(at)), pa.array(uid), pa.array(vec, mask=vec == NO_ID), pa.array(score, pa.int64())], names
         )
