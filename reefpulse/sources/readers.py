@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
-from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -62,24 +63,88 @@ def _csv_reader(spark: SparkSession, na: str):
     )
 
 
+HEADERS = "_headers"
+_HEADER_SCHEMA = "file string, length long, modified timestamp, header string"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, length and time of every file under ``path``; no content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    about = F.col("_metadata")
+    return listed.select(about["file_path"].alias("file"), about["file_size"].alias("length"), about["file_modification_time"].alias("modified"))
+
+
+def _found_headers(spark: SparkSession, path: str, names: Iterable[str]) -> DataFrame:
+    """file and header, the first line of each file that holds all ``names``, by one narrow scan of the text."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    for name in names:
+        lines = lines.filter(F.contains("value", F.lit(name)))
+    return lines.groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
+
+
+def index_headers(spark: SparkSession, path: str, names: Iterable[str], header: str | None = None) -> str:
+    """Writes a manifest of each file's header beside the files in the folder ``path``.
+
+    ``header``, if given, is known to be that of all files, as after a write; otherwise
+    the text is scanned once for them. With the manifest, which readers do not take for data,
+    the folder is read in one pass from then on.
+    """
+    files = _files(spark, path)
+    if header is not None:
+        known = files.withColumn("header", F.lit(header))
+    else:
+        known = files.join(_found_headers(spark, path, names), "file")
+    known.select("file", "length", "modified", "header").write.mode("overwrite").parquet(f"{path.rstrip('/')}/{HEADERS}")
+    return path
+
+
+def _indexed_headers(spark: SparkSession, path: str) -> DataFrame | None:
+    """file and header by the manifest, if there is one and it covers every file as it is now."""
+    try:
+        known = spark.read.schema(_HEADER_SCHEMA).parquet(f"{path.rstrip('/')}/{HEADERS}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    changed = _files(spark, path).join(known, ["file", "length", "modified"], "left_anti")
+    return known.select("file", "header") if changed.isEmpty() else None
+
+
+def _fields_of(header: str) -> list[str]:
+    """Column names of a header line; empty and repeated ones get their place added."""
+    names = next(csv.reader([header.removeprefix("\ufeff")]))
+    return [f"{n}_c{i}" if not n or n in names[:i] else n for i, n in enumerate(names)]
+
+
 def read_mixed_columns(spark: SparkSession, path: str, names: Iterable[str], na: str = "NA") -> DataFrame:
     """As ``read_text_columns`` for a folder whose files differ in columns or their order.
 
-    A file's header is the line that holds all ``names``. Headers are found by a
-    narrow scan; files are read in one group per distinct header, of which there are
-    few, and columns that a group lacks are null.
+    A file's header is its first line that holds all ``names``. By the folder's manifest (``index_headers``)
+    headers are known without reading any text; else they are found by a narrow scan ahead. A folder
+    of one header is then one CSV scan. Otherwise the text is scanned once, each line meets
+    its file's header by an equi-join, and is parsed by that; there are few distinct headers, and columns
+    that one lacks are null. No list of files is gathered.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    for name in names:
-        lines = lines.filter(F.contains("value", F.lit(name)))
-    groups = lines.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
-    if len(groups) < 2:
+    headers = _indexed_headers(spark, path)
+    headers = _found_headers(spark, path, names) if headers is None else headers
+    distinct = [r.header for r in headers.select("header").distinct().orderBy("header").collect()]
+    if len(distinct) < 2:
         return read_text_columns(spark, path, na)
-    parts = [_csv_reader(spark, na).csv([unquote(f) for f in g.files]) for g in sorted(groups, key=lambda g: g.value)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = lines.filter("value <> ''").join(headers, "file").filter("value <> header")
+    fields = [_fields_of(h) for h in distinct]
+    options = {"nullValue": na, "mode": "PERMISSIVE"}
+    parsed = {
+        f"__h{k}": F.when(F.col("header") == h, F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in f), options))
+        for k, (h, f) in enumerate(zip(distinct, fields))
+    }
+    rows = lines.withColumns(parsed)
+    every = list(dict.fromkeys(n for f in fields for n in f))
+    return rows.select(*[
+        F.coalesce(*[F.col(f"__h{k}")[n] for k, f in enumerate(fields) if n in f]).alias(n) for n in every
+    ])
 
 
 def read_detections(

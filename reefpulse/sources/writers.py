@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from reefpulse.sources.readers import index_headers
+
 
 def write_per_key(
     df: DataFrame,
@@ -20,7 +23,8 @@ def write_per_key(
 
     The rebalance lets AQE join the tasks of small keys and split those of a key
     that holds much of the data, so a hot tag is written by many tasks. CSV keeps
-    the key as a column as well, because those files are read by path.
+    the key as a column as well, because those files are read by path, and a manifest of
+    the files' header, so that the folder is read in one pass.
     """
     out = df
     folder = key
@@ -38,6 +42,10 @@ def write_per_key(
             "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
         )
     writer.format(fmt).save(path)
+    if fmt == "csv":
+        names = [c for c in out.columns if c != folder]
+        header = ",".join(f'"{n}"' if re.search(r'[",\n]', n) else n for n in names)
+        index_headers(df.sparkSession, path, names, header=header)
     return path
 
 

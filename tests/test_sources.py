@@ -47,6 +47,38 @@ def test_files_with_columns_of_their_own(spark, tmp_path):
     assert tuples(deep, "transmitter", "sensor_value") == [("a", None), ("b", None), ("c", 7.5)]
 
 
+def _text_scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"FileScan (?:csv|text)", plan))
+
+
+def test_a_manifest_spares_the_header_scan(spark, tmp_path, monkeypatch):
+    det = detections(spark, [(t, str(k), f"2024-01-01 00:0{k}") for k, t in enumerate("abc")])
+    path = write_per_key(det, str(tmp_path / "out"), fmt="csv")
+    scanned = []
+    monkeypatch.setattr(readers, "_found_headers", lambda *a, real=readers._found_headers: scanned.append(1) or real(*a))
+    back = readers.read_detections(spark, path)
+    assert _text_scans(back) == 1 and not scanned
+    assert tuples(back, *sorted(det.columns)) == tuples(det, *sorted(det.columns))
+    # A file that the manifest does not know makes readers look for headers themselves.
+    _file(tmp_path / "out", "late one.csv", "long_nad83,station,transmitter,detection_time_ast,lat_nad83\n2,9,z,2024-01-02 00:00:00,1\n")
+    late = readers.read_detections(spark, path)
+    assert scanned and late.count() == 4
+    assert tuples(late.filter("transmitter = 'z'"), "station", "long_nad83") == [("9", 2.0)]
+    readers.index_headers(spark, path, [f for f, _, _ in schemas.DETECTIONS])
+    scanned.clear()
+    mixed = readers.read_detections(spark, path)
+    assert _text_scans(mixed) == 1 and not scanned and mixed.count() == 4
+
+
+def test_a_line_like_a_header_is_data(spark, tmp_path):
+    head = "station,transmitter,detection_time_ast,lat_nad83,long_nad83"
+    _file(tmp_path, "a.csv", f"{head},note\n1,a,2024-01-01 00:00:00,1,2,\"see {head}, above\"\n\n2,a,2024-01-01 00:01:00,1,2,NA\n")
+    path = _file(tmp_path, "b.csv", f"note,{head}\nx,3,b,2024-01-01 00:00:00,NA,2\n")
+    raw = readers.read_mixed_columns(spark, path, head.split(","))
+    assert tuples(raw, "station", "lat_nad83", "note") == [("1", "1", f"see {head}, above"), ("2", "1", None), ("3", None, "x")]
+
+
 def test_own_formats_know_no_time_zone(spark, tmp_path):
     """02:30 does not exist in New York on that day; a wall clock keeps it all the same."""
     path = _file(tmp_path, "a.csv", "station,transmitter,detection_time_ast,lat_nad83,long_nad83\n1,a,2024/03/10 02:30:00,1,2\n1,b,bad,1,2\n")
