@@ -9,9 +9,13 @@ layout does not vary is noise, and is removed from each page, unless it holds mo
 the page's text. Hosts with fewer than ``least_pages`` pages with a node say nothing
 about it.
 
-Style nodes whose tag or class names their purpose (menus, adverts, forms, comments and
-so on) have no importance to begin with; if a page has articles or a main element, the
-text comes from those, and their own paragraphs are always kept.
+Nothing is cut ahead of the tree. What tags and names say of a purpose (menus, adverts, forms,
+comments and so on) is a prior that is added to the importance: it decides alone where
+a host has too few pages, and can be outweighed. A branch with most of a page's text
+stays whatever it is called, unless a landmark (article or main) elsewhere on the page
+holds the text, and its inner branches are then judged on their own; a name that may as well be an article's
+(related, login and the like) counts only for branches that are mostly links or short lines. Landmarks that hold a third or more
+of what is left make all outside them less important; their own paragraphs are always kept.
 
 Counts of the trees are sums with map-side combining, so a host with a third of all
 pages is no hot group; pages meet their host's list of removed branches in an equi-join
@@ -19,7 +23,8 @@ pages is no hot group; pages meet their host's list of removed branches in an eq
 
 Defined results: null or empty html gives an empty text; markup cut off at the end of a
 page is dropped; a page without any tag is one block; a page without host belongs to
-the host of empty name; repeated rows get equal results.
+the host of empty name; repeated rows get equal results; an empty table gives an empty one. Nodes
+deeper than ``MOST_DEPTH`` count as their ancestor there, so nesting costs no more than length.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -53,13 +59,24 @@ BLOCK = set(
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend"}
 ENDS_LIKE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "menu", "select"}
-NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset"}
+# Tags that never hold an article, and tags that rarely do.
+HARD_TAGS = {"nav", "footer", "aside", "button", "dialog", "menu", "head"}
+NOISE_TAGS = {"form", "fieldset"}
 NOISE_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
-    "breadcrumbs sidebar aside footer cookie cookies consent notice gdpr popup modal newsletter subscribe signup share sharing social "
-    "related recommended comment comments disqus replies respond toolbar pagination pager masthead widget skip login search".split()
+    "breadcrumbs sidebar aside footer cookie cookies consent notice gdpr popup newsletter subscribe signup "
+    "comment comments disqus replies respond pagination pager".split()
 )
+WEAK_WORDS = set("related recommended search login share sharing social widget skip modal toolbar masthead teaser card".split())
 COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "respond"}
+# How strongly tag and names speak against a node.
+PLAIN, WEAK, STRONG, HARD = range(4)
+# Importance without evidence from the host, and what is added to it: for strong and weak names,
+# and for what stands outside the landmarks that hold the text.
+NEUTRAL, NAMED, MAYBE, OUTSIDE = 0.5, -1.0, -0.4, -0.2
+# A branch may be an article under any name from so many characters on; lines shorter on average are no prose.
+ARTICLE_CHARS, PROSE_CHARS, LINKS = 60, 60, 0.3
+MOST_DEPTH = 48
 KEPT_IN_ARTICLE = set("p h1 h2 h3 h4 h5 h6 pre blockquote li td th dd dt figcaption article main".split())
 
 
@@ -68,36 +85,50 @@ def _hash(text: str) -> int:
 
 
 @lru_cache(1 << 14)
-def _style(parent: int, tag: str, raw: str) -> tuple[int, bool, bool]:
-    """The path's hash, whether the node's words name a purpose other than the article, and whether comments."""
+def _style(parent: int, tag: str, raw: str) -> tuple[int, int, bool]:
+    """The path's hash, how strongly the node's names speak of a purpose other than the article, and whether of comments."""
     found = [(n.lower(), v.strip("\"'")) for n, v in _ATTRIBUTE.findall(raw)] if "=" in raw else []
     words = {w.lower() for _, v in found for w in _WORD.findall(v)}
     # Ids with digits and classes with long numbers are mostly one per page, and no style.
     shown = " ".join(sorted(w for n, v in found for w in v.split() if not re.search(r"\d" if n == "id" else r"\d{3}", w)))
-    return _hash(f"{parent}/{tag}.{shown}"), bool(words & NOISE_WORDS), bool(words & COMMENT_WORDS)
+    level = STRONG if words & NOISE_WORDS else WEAK if words & WEAK_WORDS else PLAIN
+    return _hash(f"{parent}/{tag}.{shown}"), level, bool(words & COMMENT_WORDS)
 
 
-class Page:
-    """Blocks of text of a page and the tree they stand in.
+class Node(NamedTuple):
+    parent: int
+    style: int
+    tag: str
+    # Inside an article or main element; itself one; how strongly tag and names speak against it.
+    inside: bool
+    landmark: bool
+    against: int
+    depth: int
+    # The node itself, or the ancestor at the greatest depth that counts.
+    counts_as: int
 
-    nodes: (parent, style, tag, inside an article, noise by purpose); blocks: (node, text).
-    """
+
+class Page:
+    """Blocks of text of a page, (node, text, characters in links), and the tree they stand in."""
 
     def __init__(self, text: str):
-        self.nodes: list[tuple[int, int, str, bool, bool]] = [(-1, 0, "", False, False)]
-        self.blocks: list[tuple[int, str]] = []
-        self._stack, self._parts = [0], []
+        self.nodes: list[Node] = [Node(-1, 0, "", False, False, PLAIN, 0, 0)]
+        self.blocks: list[tuple[int, str, int]] = []
+        self._stack, self._parts, self._open_tags = [0], [], Counter()
+        self._linked, self._in_link = 0, False
         at = 0
         while m := _TOKEN.search(text, at):
             if m.start() > at:
-                self._parts.append(text[at : m.start()])
+                self._add(text[at : m.start()])
             at = m.end()
             raw = m[0]
             name = _NAME.match(raw)
             if not name:
                 continue
             tag = name[1].lower()
-            if raw[1] == "/":
+            if tag == "a":
+                self._in_link = raw[1] != "/"
+            elif raw[1] == "/":
                 self._close(tag)
             elif tag in RAW:
                 if not raw.endswith("/>") or tag not in ("svg", "math"):
@@ -106,20 +137,27 @@ class Page:
             else:
                 self._open(tag, raw)
         if at < len(text):
-            self._parts.append(text[at:])
+            self._add(text[at:])
         self._flush()
 
+    def _add(self, text: str) -> None:
+        self._parts.append(text)
+        if self._in_link:
+            self._linked += len(text.strip())
+
     def _flush(self) -> None:
         if self._parts:
             joined = "".join(self._parts)
-            self._parts = []
+            linked, self._parts, self._linked = self._linked, [], 0
             if "&" in joined:
                 joined = entities.unescape(joined)
             if joined := " ".join(joined.split()):
-                self.blocks.append((self._stack[-1], joined))
+                self.blocks.append((self._stack[-1], joined, min(linked, len(joined))))
 
     def _pop_to(self, depth: int) -> None:
         self._flush()
+        for k in self._stack[depth:]:
+            self._open_tags[self.nodes[k].tag] -= 1
         del self._stack[depth:]
 
     def _open(self, tag: str, raw: str) -> None:
@@ -131,82 +169,132 @@ class Page:
         self._flush()
         if tag in VOID:
             return
-        if tag in ENDS_P:
+        if tag in ENDS_P and self._open_tags["p"]:
             for depth in range(len(self._stack) - 1, 0, -1):
-                if self.nodes[self._stack[depth]][2] == "p":
+                if self.nodes[self._stack[depth]].tag == "p":
                     self._pop_to(depth)
                     break
-        for depth in range(len(self._stack) - 1, 0, -1):
-            open_tag = self.nodes[self._stack[depth]][2]
-            if open_tag in ENDS_LIKE.get(tag, ()):
-                self._pop_to(depth)
-            elif open_tag in SCOPES:
-                break
-        parent = self._stack[-1]
-        _, style, _, inside, noise = self.nodes[parent]
-        own, named, comments = _style(style, tag, raw)
-        landmark = tag in ("article", "main") and not comments
-        if landmark:
-            noise = noise and any(self.nodes[k][2] in ("aside", "footer", "nav") for k in self._stack)
-        elif tag not in ("html", "body"):
-            noise = noise or tag in NOISE_TAGS or (tag == "header" and not inside) or (named and tag not in ("h1", "p"))
+        like = ENDS_LIKE.get(tag, ())
+        if any(self._open_tags[t] for t in like):
+            for depth in range(len(self._stack) - 1, 0, -1):
+                open_tag = self.nodes[self._stack[depth]].tag
+                if open_tag in like:
+                    self._pop_to(depth)
+                elif open_tag in SCOPES:
+                    break
+        k = self._stack[-1]
+        parent = self.nodes[k]
+        style, named, comments = _style(parent.style, tag, raw) if parent.depth < MOST_DEPTH else (parent.style, *_style(0, tag, raw)[1:])
+        apart = any(self._open_tags[t] for t in ("aside", "footer", "nav"))
+        landmark = tag in ("article", "main") and not comments and not apart
+        against = PLAIN
         if tag == "article" and comments:
-            noise = True
-        self.nodes.append((parent, own, tag, inside or landmark, noise))
-        self._stack.append(len(self.nodes) - 1)
+            against = STRONG
+        elif landmark:
+            against = WEAK if named == WEAK else PLAIN
+        elif tag not in ("html", "body"):
+            if tag in HARD_TAGS:
+                against = HARD
+            elif tag in NOISE_TAGS or (tag == "header" and not parent.inside):
+                against = STRONG
+            elif tag not in ("h1", "p"):
+                against = named
+        me = len(self.nodes)
+        self.nodes.append(Node(
+            k, style, tag, parent.inside or landmark, landmark, against, parent.depth + 1, me if parent.depth < MOST_DEPTH else parent.counts_as
+        ))
+        self._stack.append(me)
+        self._open_tags[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag not in BLOCK:
             return
         self._flush()
+        if not self._open_tags[tag]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
-            if self.nodes[self._stack[depth]][2] == tag:
+            if self.nodes[self._stack[depth]].tag == tag:
                 self._pop_to(depth)
                 break
 
-    def text(self, low: frozenset[int]) -> str:
-        """The page without noise, without the branches whose style is in ``low``, and outside its articles if it has any."""
-        real = [(k, t) for k, t in self.blocks if not self.nodes[k][4]]
-        if any(self.nodes[k][3] for k, _ in real):
-            real = [(k, t) for k, t in real if self.nodes[k][3]]
-        if low:
-            size = Counter()
-            for k, t in real:
-                while k >= 0:
-                    size[k] += len(t)
-                    k = self.nodes[k][0]
-            whole = size[0]
-            kept = []
-            for k, t in real:
-                at = k
-                while at >= 0:
-                    parent, style, tag, inside, _ = self.nodes[at]
-                    if style in low and 2 * size[at] < whole and not (inside and tag in KEPT_IN_ARTICLE):
-                        break
-                    at = parent
-                if at < 0:
-                    kept.append(t)
-            return "\n".join(kept)
-        return "\n".join(t for _, t in real)
+    def text(self, known: dict[int, float] | None = None, least: float = 0.4) -> str:
+        """The page without the branches whose importance is under ``least``.
+
+        ``known`` has the importance of styles on the page's host.
+        """
+        known = known or {}
+        nodes = self.nodes
+        hard = [False] * len(nodes)
+        for k, x in enumerate(nodes[1:], 1):
+            hard[k] = hard[x.parent] or x.against == HARD
+        size, links, lines, marked = ([0] * len(nodes) for _ in range(4))
+        for k, text, linked in self.blocks:
+            if not hard[k]:
+                size[k] += len(text)
+                links[k] += linked
+                lines[k] += 1
+                marked[k] += len(text) if nodes[k].inside else 0
+        for k in range(len(nodes) - 1, 0, -1):
+            up = nodes[k].parent
+            size[up] += size[k]
+            links[up] += links[k]
+            lines[up] += lines[k]
+            marked[up] += marked[k]
+        cut = self._cuts(known, least, hard, size, links, lines, marked, False)
+        outside = sum(len(t) for k, t, _ in self.blocks if not cut[k] and not nodes[k].inside)
+        inside = sum(len(t) for k, t, _ in self.blocks if not cut[k] and nodes[k].inside)
+        if inside and 2 * inside >= outside:
+            cut = self._cuts(known, least, hard, size, links, lines, marked, True)
+        return "\n".join(t for k, t, _ in self.blocks if not cut[k])
+
+    def _cuts(self, known, least, hard, size, links, lines, marked, landmarks: bool) -> list[bool]:
+        """For each node whether it is in a branch that goes; with ``landmarks``, those hold the text."""
+        nodes = self.nodes
+        cut = [False] * len(nodes)
+        # Text directly under the page's outermost elements is outside too.
+        for k, x in enumerate(nodes):
+            importance = known.get(x.style, NEUTRAL)
+            if x.landmark:
+                # A landmark stands for itself inside an unlikely branch, but for a weak name.
+                prior = MAYBE if x.against == WEAK and not landmarks and self._no_prose(k, size, links, lines) else 0.0
+                cut[k] = x.against == STRONG or prior < 0 and importance + prior < least
+                continue
+            prior = 0.0
+            if x.against >= STRONG:
+                prior = NAMED
+            elif x.against == WEAK and self._no_prose(k, size, links, lines):
+                prior = MAYBE
+            if landmarks and not x.inside:
+                prior += OUTSIDE
+            wrapper = x.tag in ("", "html", "body")
+            most = not hard[k] and size[k] >= ARTICLE_CHARS and 2 * size[k] >= size[0] and marked[k] >= marked[0]
+            own = x.inside and x.tag in KEPT_IN_ARTICLE and x.against < STRONG
+            goes = importance + prior < least and not (own or most or (wrapper and not landmarks))
+            cut[k] = goes or (x.parent >= 0 and cut[x.parent])
+        return cut
+
+    @staticmethod
+    def _no_prose(k: int, size, links, lines) -> bool:
+        return links[k] > LINKS * size[k] or size[k] < PROSE_CHARS * lines[k]
 
     def features(self) -> Iterator[tuple[int, int, int]]:
         """(style, kind, feature) once each: 0 the node is there, 1 its children's tags, 2 a text in its branch."""
         seen = set()
-        children: dict[int, list[str]] = {}
-        for k, (parent, style, tag, _, noise) in enumerate(self.nodes):
-            if parent >= 0 and not noise:
-                seen.add((style, 0, 0))
-                children.setdefault(parent, []).append(tag)
+        children: dict[int, dict[str, None]] = {}
+        for k, x in enumerate(self.nodes):
+            if x.parent >= 0 and x.counts_as == k:
+                seen.add((x.style, 0, 0))
+            if x.parent >= 0:
+                children.setdefault(self.nodes[x.parent].counts_as, {})[x.tag] = None
         for k, tags in children.items():
             if k:
-                seen.add((self.nodes[k][1], 1, _hash(" ".join(dict.fromkeys(tags)))))
-        for k, text in self.blocks:
-            if not self.nodes[k][4]:
-                h = _hash(text)
-                while k > 0:
-                    if self.nodes[k][2] not in ("html", "body"):
-                        seen.add((self.nodes[k][1], 2, h))
-                    k = self.nodes[k][0]
+                seen.add((self.nodes[k].style, 1, _hash(" ".join(tags))))
+        for k, text, _ in self.blocks:
+            h, k = _hash(text), self.nodes[k].counts_as
+            while k > 0:
+                if self.nodes[k].tag not in ("html", "body"):
+                    seen.add((self.nodes[k].style, 2, h))
+                k = self.nodes[k].parent
         return iter(seen)
 
 
@@ -253,17 +341,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return node.select("host", "style", F.col("m").cast("long").alias("pages"), presentation.alias("presentation"), content.alias("content"))
 
 
-def main_text(page: Column, low: Column) -> Column:
-    def run(texts: pa.Array, lows: pa.Array) -> pa.Array:
-        cached: dict[tuple, frozenset] = {}
+def main_text(page: Column, known: Column, least: float) -> Column:
+    """Texts of pages by their host's importance of styles, an array of structs (style, importance)."""
+    def run(texts: pa.Array, hosts: pa.Array) -> pa.Array:
+        last, table = None, {}
         out = []
-        for text, styles in zip(texts, lows):
-            key = tuple(styles.as_py() or ())
-            known = cached.setdefault(key, frozenset(key))
-            out.append(Page(text.as_py()).text(known) if text.is_valid else "")
+        for text, styles in zip(texts, hosts):
+            if last is None or not styles.equals(last):
+                last, table = styles, {x["style"]: x["importance"] for x in styles.as_py() or ()}
+            out.append(Page(text.as_py()).text(table, least) if text.is_valid else "")
         return pa.array(out, pa.string())
 
-    return arrow_udf(run, "string")(page, low)
+    return arrow_udf(run, "string")(page, known)
 
 
 def extract_text(
@@ -271,15 +360,17 @@ def extract_text(
 ) -> DataFrame:
     """``pages`` with ``text``, the main text of each page. A column of that name is replaced.
 
-    A style node is noise if its composite importance, ``share`` of presentation and the
-    rest of content, is under ``least``.
+    A style node's composite importance is ``share`` of presentation and the rest of
+    content; with the prior of its tag and names added, a branch under ``least`` is noise. Only styles that
+    are under it, or high enough to outweigh a prior, travel to the pages.
     """
     bounded_batches(pages.sparkSession)
     known = pages.withColumn("__host", host_of(F.col(url)))
     tree = style_tree(known.select(F.col("__host").alias("host"), F.col(html).alias("html")))
-    importance = share * F.col("presentation") + (1 - share) * F.col("content")
-    noise = tree.where((F.col("pages") >= least_pages) & (importance < least)).groupBy(F.col("host").alias("__host")).agg(
-        F.array_sort(F.collect_set("style")).alias("__low")
+    importance = F.round(share * F.col("presentation") + (1 - share) * F.col("content"), 6)
+    telling = (importance < least) | (importance + OUTSIDE < least) | (importance + MAYBE >= least)
+    told = tree.where((F.col("pages") >= least_pages) & telling).groupBy(F.col("host").alias("__host")).agg(
+        F.array_sort(F.collect_list(F.struct("style", importance.alias("importance")))).alias("__known")
     )
-    joined = known.join(stored(noise, "noise"), "__host", "left")
-    return joined.withColumn("text", main_text(F.col(html), F.col("__low"))).drop("__host", "__low")
+    joined = known.join(stored(told, "importance"), "__host", "left")
+    return joined.withColumn("text", main_text(F.col(html), F.col("__known"), least)).drop("__host", "__known")

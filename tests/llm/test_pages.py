@@ -43,7 +43,7 @@ def test_articles_of_the_given_pages(spark):
     ("<div id='sidebar-2'>no</div><div>yes</div>", "yes"), ("<p title='a > b'>x</p>", "x"), ("5 < 6 and 7 > 6", "5 < 6 and 7 > 6"),
 ])
 def test_blocks(page, text):
-    assert Page(page).text(frozenset()) == text
+    assert Page(page).text() == text
 
 
 def site(n, host="h.example"):
@@ -169,3 +169,83 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     pages = spark.createDataFrame(rows, "url string, html string, want string")
     for r in extract_text(pages).collect():
         assert r.text == r.want, r.url
+
+
+@pytest.mark.parametrize("page, kept, gone", [
+    ("<div class='content with-sidebar'><p>{a}</p><p>{b}</p></div>", "ab", ""), ("<div id='site-nav-wrapper'><p>{a}</p></div>", "a", ""),
+    ("<p>{a} {b}</p><section class='related-work'><p>{c}</p></section>", "abc", ""), ("<div class='login-required'><p>{a}</p></div>", "a", ""),
+    ("<div class='content'><p>{a} {b}</p></div><article class='card'><p>{d}</p></article>", "ab", "d"),
+    ("<p>{a} {b}</p><div class='related'><ul><li><a href='/x'>{c}</a></ul></div>", "ab", "c"),
+    ("<main><p>{a}</p></main><div class='comments'><p>{b} {c}</p></div>", "a", "bc"), ("<article><p>{a}</p></article><div><p>{b}</p></div>", "a", "b"),
+    ("<form><p>{a}</p><p>{b}</p></form><nav>{d}</nav>", "ab", "d"),
+])
+def test_names_are_a_prior(page, kept, gone):
+    parts = {"a": prose(1, 30), "b": prose(2, 30), "c": prose(3, 30), "d": "a teaser"}
+    text = Page(page.format(**parts)).text()
+    assert all(parts[k] in text for k in kept) and not any(parts[k] in text for k in gone)
+
+
+def test_the_tree_decides_without_landmarks(spark):
+    """On hosts without landmarks the importance of styles changes the text, and outweighs a name."""
+    rows = site(12, "one.example")
+    wrapped = f"<body><div class='content with-sidebar'><div class=top><p>{prose(900, 25)}</p></div>"
+    rows += [(100 + i, f"http://two.example/{i}", f"{wrapped}<p>{prose(300 + i, 60)}</p></div></body>") for i in range(12)]
+    pages = spark.createDataFrame(rows, PAGES)
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    plain = {i: Page(html).text() for i, _, html in rows}
+    assert sum(got[i] != plain[i] for i in got) == 24
+    assert all(got[i] == prose(i, 40) for i in range(12)) and all(got[100 + i] == prose(300 + i, 60) for i in range(12))
+
+
+def test_depth_costs_no_more_than_length():
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        began = time.process_time()
+        page = Page("<div>x" * n)
+        assert page.text().count("x") == n and len(list(page.features())) < 60 * 3 + n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_tree_equals_dense_entropies(spark):
+    """Importance of every style of random hosts, by dense probabilities over pages."""
+    import math
+    import random
+
+    rng = random.Random(4)
+
+    def piece(depth):
+        kind = rng.choice(["div class=a", "div class=b", "section", "ul", "p", "p"])
+        inner = rng.choice(["shared words", "more shared", prose(rng.randrange(40), 4)]) if kind == "p" or depth > 2 else "".join(piece(depth + 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{kind}>{inner}</{kind.split()[0]}>"
+
+    hosts = {h: ["".join(piece(0) for _ in range(3)) for _ in range(n)] for h, n in (("x", 9), ("y", 2), ("z", 1))}
+    pages = spark.createDataFrame([(h, t) for h, ts in hosts.items() for t in [*ts, ts[0]]], "host string, html string")
+    got = {(r.host, r.style): (r.pages, round(r.presentation, 9), round(r.content, 9)) for r in style_tree(pages).collect()}
+    want = {}
+    for host, texts in hosts.items():
+        seen = {}
+        for n, page in enumerate(map(Page, texts)):
+            for k, x in enumerate(page.nodes[1:], 1):
+                at = seen.setdefault(x.style, ({}, set(), {}))
+                at[0].setdefault(n, set())
+                tags = tuple(dict.fromkeys(y.tag for y in page.nodes if y.parent == k))
+                if tags:
+                    at[1].add((n, tags))
+            for k, text, _ in page.blocks:
+                while k > 0:
+                    seen[page.nodes[k].style][2].setdefault(text, set()).add(n)
+                    k = page.nodes[k].parent
+        for style, (on, layouts, spread) in seen.items():
+            base = math.log(max(len(on), 2))
+            count = {}
+            for _, tags in layouts:
+                count[tags] = count.get(tags, 0) + 1
+            total = sum(count.values())
+            shown = -sum(c / total * math.log(c / total) for c in count.values()) / base if total else 0.0
+            entropies = [-sum(1 / len(p) * math.log(1 / len(p)) for _ in p) / base for p in spread.values()]
+            content = 1 - sum(entropies) / len(entropies) if entropies else 0.0
+            want[(host, style)] = (len(on), round(shown + 0.0, 9), round(content, 9))
+    assert got == want
