@@ -7,8 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from reefpulse.operators.joining import hot_groups, salted
 from reefpulse.sources.readers import index_headers
 
+# Files that one task writes, and tasks of one export.
+FILES_PER_TASK, MOST_TASKS = 64, 20_000
+
 
 def write_per_key(
     df: DataFrame,
@@ -21,8 +25,9 @@ def write_per_key(
 ) -> str:
     """Writes ``df`` under ``path/key=value/``.
 
-    The rebalance lets AQE join the tasks of small keys and split those of a key
-    that holds much of the data, so a hot tag is written by many tasks. CSV keeps
+    The files are planned from counts per key, by a narrow job ahead: about ``FILES_PER_TASK`` of them to
+    a task, so that many small keys are written side by side, and keys with much of the data
+    are dealt over salts in proportion to their rows. CSV keeps
     the key as a column as well, because those files are read by path, and a manifest of
     the files' header, so that the folder is read in one pass.
     """
@@ -31,8 +36,13 @@ def write_per_key(
     if fmt == "csv" and keep_key:
         folder = f"by_{key}"
         out = out.withColumn(folder, F.col(key))
+    counts = out.groupBy(folder).agg(F.count(F.lit(1)).alias("n"))
+    files = counts.agg(F.coalesce(F.sum(F.ceil(F.col("n") / max_records_per_file)), F.lit(0))).first()[0]
+    tasks = min(max(-(-files // FILES_PER_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    plain = [f.name for f in out.schema if "map" not in f.dataType.simpleString()]
+    dealt = salted(out, hot_groups(out, [folder]), [folder], plain, "__part")
     writer = (
-        out.hint("rebalance", F.col(folder))
+        dealt.repartition(tasks, folder, "__part").drop("__part")
         .write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(folder)

@@ -134,6 +134,24 @@ def test_per_tag_round_trip(spark, fmt, tmp_path):
     assert tuples(back, *sorted(det.columns)) == tuples(det, *sorted(det.columns))
 
 
+def test_export_of_many_tags_and_a_hot_one(spark, tmp_path):
+    """20,000 tags are one file each, written by tasks of a few dozen; a tag with half of the rows takes several."""
+    det = spark.range(80_000).select(
+        F.when(F.col("id") < 40_000, "hot").otherwise(F.format_string("t%05d", F.col("id") % 20_000)).alias("transmitter"), "id"
+    )
+    path = write_per_key(det, str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").glob("transmitter=*/*.parquet")]
+    assert len({p.parent.name for p in files}) == 20_001 and len([p for p in files if "=hot" not in p.parent.name]) == 20_000
+    tasks = {}
+    for p in files:
+        part = p.name.split("-")[1]
+        tasks[part] = tasks.get(part, 0) + 1
+    assert len(tasks) > 200 and max(tasks.values()) < 200
+    assert len([p for p in files if p.parent.name == "transmitter=hot"]) >= 4
+    back = readers.read_stage(spark, path, det.select("id", "transmitter").schema)
+    assert back.agg(F.count(F.lit(1)), F.sum("id")).first() == (80_000, 80_000 * 79_999 // 2)
+
+
 def test_tags_prune_the_scan(spark, tmp_path):
     det = detections(spark, [(t, "1", "2024-01-01 00:00") for t in "abc"])
     path = write_per_key(det, str(tmp_path / "out"))
