@@ -7,14 +7,14 @@ of the centroid with the greatest cosine. A centroid has a radius: the cosine th
 nearly all of its own sample reach, less a margin; a text below it is rejected.
 
 Training takes at most ``sample`` texts of a language, those with the least hash of
-their id, and is done by one task per language; document frequencies are summed over
-all sampled texts. The model is of fixed size per language (``clusters`` vectors of
+id and text, and is done by one task per language; document frequencies are summed over
+all texts that may be learned from. The model is of fixed size per language (``clusters`` vectors of
 2 ** 12 floats). Prediction is one map over all whole texts without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and
 not rejected; so is every text if nothing could be learned; a text too short for a
 gram has score 0 and the first learned language; rows with a null id are never held
-out; repeated rows get equal results.
+out, and sampled by their texts; repeated rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -93,14 +93,14 @@ def learn(rows: DataFrame, clusters: int = 3, sample: int = 500, margin: float =
     ``rows`` has text, lang and id; texts without letters are not learned from.
     """
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64("id")
-    counts = stored(rows.where("lang is not null").groupBy("lang").count(), "counts")
+    order = F.xxhash64("id", "text")
+    counts = stored(usable.groupBy("lang").count(), "counts")
     # A first cut by hash keeps about four samples a language, so that little is ordered.
     share = (order.cast("double") / 2.0**64 + 0.5) * F.col("count") <= 4 * sample
     some = usable.join(counts, "lang").where(share).drop("count")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(order, "id", F.xxhash64("text")))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(order, "id", F.xxhash64(F.lit(1), "text")))
     chosen = stored(some.withColumn("place", place).where(F.col("place") <= sample).select("lang", "text"), "sample")
-    df = chosen.select("text").mapInArrow(_document_frequency, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toPandas()
+    df = usable.select("text").mapInArrow(_document_frequency, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(DIMS + 1)
     n[df["dim"].to_numpy(np.int64)] = df["n"].to_numpy(np.float64)
     idf = np.log((1 + n[-1]) / (1 + n[:-1])).astype(np.float32) + np.float32(0.05)

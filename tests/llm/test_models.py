@@ -220,3 +220,27 @@ def test_a_passage_repeated_in_one_document(spark, repeat):
     bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     got = contaminated(docs(spark, [(1, " ".join([prose(1, 30)] * repeat))]), bench).collect()
     assert [(r.doc_id, r.score) for r in got] == [(1, 1.0)]
+
+
+def test_nearest_centroid_equals_brute_force(spark):
+    """Rows without ids are sampled as others are; predictions are the greatest cosine over all centroids."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from reefpulse.llm.language_id import learn, predicted, vectors
+
+    given = spark.read.parquet(f"{SF_CHECK}/documents.parquet").where("lang is not null and text is not null").select("text", "lang")
+    rows = given.withColumn("id", F.lit(None).cast("long"))
+    model = learn(rows, sample=30)
+    langs, centroids, radius, idf = model
+    assert set(langs) == {r.lang for r in given.select("lang").distinct().collect()} and len(centroids) == 3 * len(set(langs))
+    got = {r.text: r.p for r in given.select("text", predicted(F.col("text"), model).alias("p")).collect()}
+    for text, p in list(got.items())[:200]:
+        v = vectors(pa.array([text]), idf)[0].astype(float)
+        cos = [float(np.dot(v, c.astype(float))) for c in centroids]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        if p.lang != "und":
+            assert abs(p.score - min(max(cos[best], 0), 1)) < 1e-4 and cos[langs.index(p.lang) : langs.index(p.lang) + 3]
+            assert max(c for c, n in zip(cos, langs) if n == p.lang) > cos[best] - 1e-4
+            assert p.rejected == (cos[best] < radius[best]) or abs(cos[best] - radius[best]) < 1e-4
