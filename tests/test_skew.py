@@ -188,6 +188,17 @@ def test_a_tail_of_ten_powers_does_not_fill_a_cell(spark):
     assert list(ranks.exact_quantiles(df, "v", probs).first()) == pytest.approx(want)
 
 
+def test_a_crowded_place_meets_many_rings(no_broadcast):
+    """A third of all points at one place: its cell is dealt over salts, and every ring there is met."""
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    rings = no_broadcast.createDataFrame([(k, [(x + k * 0.01, y) for x, y in square]) for k in range(20)], "ring_id int, ring array<struct<long: double, lat: double>>")
+    at = F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.pmod(F.hash("id"), F.lit(3000)) / 1000.0)
+    points = no_broadcast.range(9_000).select("id", at.alias("lon"), F.lit(0.5).alias("lat"))
+    got = geometry.points_in_rings(points, "lon", "lat", rings, least=100)
+    want = sum(sum(k * 0.01 <= r.lon <= 1.0 + k * 0.01 for k in range(20)) for r in points.collect())
+    assert got.count() == want and got.filter("lon = 0.5").count() >= 3_000 * 20
+
+
 def test_salts_follow_counts(no_broadcast):
     rows = no_broadcast.range(60_000).select(
         F.when(F.col("id") < 50_000, F.pmod("id", F.lit(2)).cast("string")).otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("v")
