@@ -12,7 +12,7 @@ items, each sent to the tasks as it is, and every block meets every document in
 map without a shuffle. A document's cost depends on its length and hits alone, so
 neither hot passages nor hot items need splitting.
 
-Defined results: null or empty texts and items match nothing; items of fewer than
+Defined results: an empty table gives an empty result; null or empty texts and items match nothing; items of fewer than
 three words are their own seed; repeated documents or items each give their rows;
 words are compared with A to Z lower-cased; rows are dropped one by one, never by id.
 """

@@ -12,7 +12,7 @@ Base phrases are looked up word by word beside the rules and always kept.
 Gated texts are reduced to distinct ones before the rules run, so a license that is
 copied a million times is scanned once; no text is shuffled otherwise.
 
-Defined results: null or empty text has no words, no labels and score 0; repeated
+Defined results: an empty table gives an empty result; null or empty text has no words, no labels and score 0; repeated
 rows get equal results; other columns are carried along.
 """
 

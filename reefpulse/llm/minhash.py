@@ -15,7 +15,7 @@ group on full sets, in blocks of bounded size that yield one link for a member a
 component. So no link between candidates is lost, however large a group. At a similarity of 0.8 a pair escapes all 40 bands with
 probability 1e-7.
 
-Defined results: null or empty text has an empty set and is linked with nothing;
+Defined results: an empty table gives an empty result; null or empty text has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle; rows with equal texts are one class, and
 of those that share the least id all are kept; ids may be null and then never lead
 a component that has another id; other columns are carried along. Rows are dropped by

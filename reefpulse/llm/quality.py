@@ -17,7 +17,7 @@ Groups of fewer than ``least`` rows that pass the base rules are pooled by langu
 and pools that are still too small with one another; if that is too small as well, no
 row of it is an outlier.
 
-Defined results: null or empty text has counts of 0 and fails the base rules; null
+Defined results: an empty table gives an empty result; null or empty text has counts of 0 and fails the base rules; null
 language and source are groups of their own; repeated rows get equal results.
 """
 

@@ -12,7 +12,7 @@ compared window by window. Adjacent repeated windows make up a maximal repeat.
 Hot passages: occurrences of one context inside one Arrow batch are settled there,
 so a passage sends one row a batch to its task however often it is copied.
 
-Defined results: null or empty text has no words and no windows; a document whose
+Defined results: an empty table gives an empty result; null or empty text has no words and no windows; a document whose
 id is null counts as part of one document in front of all others; rows with one
 id are one document, of which windows with equal starts do not repeat each other,
 so that repeated rows are treated alike; other columns are carried along.

@@ -12,7 +12,7 @@ Both models fold into one array of 32 ** 3 differences, of fixed size whatever t
 input, which the planner reads once as a scalar subquery. Counting is one
 aggregation with at most 32 ** 3 keys, so no host or URL is ever a hot key.
 
-Defined results: a null URL, or one without ``://``, has empty host and path, matches
+Defined results: an empty table gives an empty result; a null URL, or one without ``://``, has empty host and path, matches
 no rule and scores the end mark alone; without labels of both kinds every difference
 and the threshold are 0, and a score of 0 or more is accepted.
 """

@@ -11,7 +11,7 @@ or a gzip member does, it searches for the next member or version line from whic
 record can be read, takes up there, and logs the bytes between as a quarantined gap.
 A file is one row of at most 2 GB, so the writer splits archives by size.
 
-Defined results: a null payload is an empty one; equal ids with equal payloads are
+Defined results: an empty table gives an empty result; a null payload is an empty one; equal ids with equal payloads are
 all responses where they are the least; a null id comes after all others and reads
 back as null; a null URI has no header, and control characters in it are escaped.
 """
