@@ -1,9 +1,11 @@
 """WARC archives: writer with revisit records, and a salvage reader.
 
-Records are written by Spark's own text writer, whose line separator is the two line
-breaks that end a WARC record; so archives go to any store Spark can write to, one
-gzip member a file. Of records with one payload that with the least id is a response,
-the others are revisits without a payload.
+Each record is a gzip member of its own, so damage costs the records it hits and no
+others. Members are written by Spark's own text writer, so archives go to any store
+Spark can write to: a member ends with the highest byte of its 32-bit length, which is
+zero below 16 MB, and that zero is the writer's line separator. Longer records go on in
+further members. Of records with one payload that with the least id is a response, the
+others are revisits without a payload.
 
 The reader takes whole files and walks each: a record is good if its version line,
 header, length, terminator and (for responses) payload digest hold. Where one fails,
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from reefpulse.llm.store import bounded_batches
 
@@ -33,6 +36,8 @@ END = b"\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+# Less than 2 ** 24, so that the length at a member's end has a zero on top.
+MEMBER_BYTES = 1 << 23
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = (
     "path string, offset long, length long, problem string, id long, record_type string, refers_to long, uri string, "
@@ -89,14 +94,35 @@ def with_records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFra
     return both.select("id", size.alias("size"), F.concat(head, body).alias("value"))
 
 
+def _members(record: bytes, size: int) -> bytes:
+    """The record as gzip members of ``size`` bytes or less, without the zero at the end of the last."""
+    out = []
+    for at in range(0, len(record), size):
+        packer = zlib.compressobj(wbits=31)
+        out.append(packer.compress(record[at : at + size]) + packer.flush())
+    return b"".join(out)[:-1]
+
+
+def _packed(size: int):
+    def run(records: pa.Array) -> pa.Array:
+        return pa.array((_members(r.as_py() + END, size) for r in records), pa.binary())
+
+    return run
+
+
 def write_archives(
-    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = 8 << 20
+    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = 8 << 20,
+    member_bytes: int = MEMBER_BYTES,
 ) -> None:
     """Writes gzipped archives of about ``file_bytes`` of payload each, or less, to the folder ``path``."""
+    if not 0 < member_bytes < 1 << 24:
+        raise ValueError("a member holds at least one byte and less than 16 MB")
+    bounded_batches(pages.sparkSession)
     total, n = pages.agg(F.sum(F.octet_length(F.col(html))), F.count(F.lit(1))).first()
     most = max(1, file_bytes * n // max(total or 0, 1)) if n else 1
-    records = with_records(pages, page_id, url, html).select("value")
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    records = with_records(pages, page_id, url, html)
+    packed = records.select(arrow_udf(_packed(member_bytes), "binary")(F.col("value").cast("binary")).cast("string").alias("value"))
+    packed.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
 def _fields(header: bytes) -> dict[str, str]:
@@ -161,6 +187,29 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), len(data), "the gzip member does not end"
 
 
+def _goes_on(text: bytes) -> bool:
+    """Whether a record starts this member and, by its own length, does not end in it."""
+    stop = text.find(END)
+    if not _START.match(text) or stop < 0:
+        return bool(_START.match(text))
+    try:
+        size = _fields(text[:stop]).get("content-length", "")
+    except ValueError:
+        return False
+    return size.isdigit() and stop + len(END) + int(size) + len(END) > len(text)
+
+
+def _joined_members(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """A member, with those after it that carry on its only record."""
+    text, end, wrong = _member(data, at)
+    while not wrong and data.startswith(_GZIP, end) and _goes_on(text):
+        more, stop, bad = _member(data, end)
+        if _START.match(more):
+            break
+        text, end, wrong = text + more, stop, bad
+    return text, end, wrong
+
+
 def _next(data: bytes, at: int) -> int:
     """Where the next version line is, or the next gzip member that starts with one."""
     line = _START.search(data, at)
@@ -187,7 +236,7 @@ def salvage(data: bytes) -> Iterator[dict]:
     while at < len(data):
         try:
             if data.startswith(_GZIP, at):
-                text, end, wrong = _member(data, at)
+                text, end, wrong = _joined_members(data, at)
                 if wrong and not _START.match(text):
                     raise ValueError(wrong)
                 end = _next(data, at + 1) if wrong else end

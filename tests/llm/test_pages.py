@@ -140,6 +140,24 @@ def test_salvage_after_damage():
     assert len(ids(bad_length)) == 5 and len(gaps(bad_length)) == 1
 
 
+@pytest.mark.parametrize("member_bytes", [1 << 23, 200])
+def test_damage_of_written_archives(spark, member_bytes):
+    """One damaged byte at ten places of a written file loses at most the record it hits."""
+    path = new_folder(spark, "test")
+    pages = [(i, f"http://h{i}.org/", f"<p>{prose(i, 60 + i)}</p>") for i in range(40)]
+    write_archives(spark.createDataFrame(pages, PAGES).coalesce(1), path, member_bytes=member_bytes)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert sorted(i for data in files for i in ids(data)) == list(range(40)) and not any(map(gaps, files))
+    data = max(files, key=len)
+    whole = ids(data)
+    assert len(whole) > 1 and (member_bytes == 200 or gzip.decompress(data).count(b"WARC/1.1") == len(whole))
+    for k in range(10):
+        broken = bytearray(data)
+        broken[len(data) * (2 * k + 1) // 20] ^= 0x5A
+        left = ids(bytes(broken))
+        assert set(left) <= set(whole) and len(left) >= len(whole) - 1
+
+
 def test_salvage_of_gzip_members():
     parts = [record(i, f"<p>{prose(i, 300)}</p>") for i in range(5)]
     members = [gzip.compress(p) for p in parts]
