@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex as rx
 
 from reefpulse.llm import license_scan, url_filter
 from reefpulse.llm.license_scan import scan_licenses
@@ -130,11 +131,11 @@ def labels_of(text):
     found = []
     for rank, priority, label, keywords, regex in license_scan.rules():
         if any(k in norm for k in keywords):
-            found += [(m.start(), -m.end(), priority, rank, label) for m in re.finditer(regex, norm)]
+            found += [(m.start(), -m.end(), priority, rank, label) for m in rx.finditer(regex, norm)]
     found.sort()
     kept = {
         label for i, (start, end, priority, rank, label) in enumerate(found)
-        if not any(-e >= -end and p <= priority for s, e, p, k, _ in found[:i])
+        if label and not any(-e >= -end and p <= priority for s, e, p, k, _ in found[:i])
     }
     return kept
 
@@ -144,6 +145,7 @@ TEXTS = [
     "Apache License, Version 2.0", "SPDX-License-Identifier: GPL-2.0-only", "licensed under the GNU General Public License version 3 or any later version",
     "this is not a contract; cc by the way", "mit license, bsd 3-clause license, MPL 2.0", "All rights reserved.", "under the terms of the Mozilla Public License 2.0",
     "écc by nc", "ünder the mit license", "Licensed under the Apache License 2.0 and distributed under the Eclipse Public License 2.0", "word " * 30_000 + "under the mit license",
+    "der mit dem mit " * 3_000 + "license mit license mit license, not licensed under mit",
 ]
 
 
@@ -179,17 +181,42 @@ def test_no_keyword_or_gate_drops_a_license(spark):
     """All rules without keywords or gate on each name in each way."""
     texts = [form.format(name) for name in NAMES for form in FORMS]
     got = {r.text: set(filter(None, r.labels.split(","))) for r in scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
-    rules = [(p, k, label, re.compile(regex)) for k, p, label, _, regex in license_scan.rules()]
+    rules = [(p, k, label, rx.compile(regex)) for k, p, label, _, regex in license_scan.rules()]
     for text in texts:
         norm = " " + " ".join(LICENSE_WORD.findall(text.translate(LOWER))) + " "
         found = sorted((m.start(), -m.end(), p, k, label) for p, k, label, regex in rules for m in regex.finditer(norm))
-        kept = {x[4] for i, x in enumerate(found) if not any(y[1] <= x[1] and y[2] <= x[2] for y in found[:i])}
+        kept = {x[4] for i, x in enumerate(found) if x[4] and not any(y[1] <= x[1] and y[2] <= x[2] for y in found[:i])}
         assert got[text] == kept | set(filter(None, base_of(text)[4].split(","))), text
 
 
+FSF = "{} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+BY_HAND = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+    ("Neither the name of the Example Institute nor the names of its contributors may be used to endorse or promote products", "bsd-3"),
+    ("you can modify it under the terms of the " + FSF.format("GNU General Public License", 3), "gpl-3+"),
+    (FSF.format("GNU Lesser General Public License", "2.1"), "lgpl-2.1"), (FSF.format("GNU Affero General Public License", 3), "agpl-3"),
+    ("released under the GPL", "gpl"), ("BSD licensed", "bsd"), ("MIT-licensed code", "mit"), ("under the terms of the BSD license", "bsd"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only", "bsd-3,gpl-2,mit"),
+    ("this is not under the gpl 2 license", ""), ("never released under the MIT license", ""), ("not under gpl 2 but released under the isc license", "isc"),
+    ("you may not use this file except in compliance with the License", "apache-2"), ("see http://www.apache.org/licenses/LICENSE-2.0", "apache-2"),
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("he goes mit dem Hund under the tree", ""), ("redistribution of wealth and use of land", ""),
+]
+
+
+def test_labels_given_by_hand(spark):
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(docs(spark, [(i, t) for i, (t, _) in enumerate(BY_HAND)])).collect()}
+    for i, (text, labels) in enumerate(BY_HAND):
+        # Base phrases stay whatever a denial says.
+        want = set(filter(None, labels.split(","))) | set(filter(None, base_of(text)[4].split(",")))
+        assert got[i][0] == ",".join(sorted(want)) and (got[i][1] > 0) == bool(want), text
+        assert labels_of(text) | set(filter(None, base_of(text)[4].split(","))) == want, text
+
+
 def test_rules_number_hundreds():
     made = license_scan.rules()
-    assert len(made) > 250 and all(re.compile(regex) for *_, regex in made)
+    assert len(made) > 250 and all(rx.compile(regex) for *_, regex in made)
 
 
 def filled(sizes, weights, total, cap):
