@@ -30,6 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# What no word holds, as Java's classes: control characters, space and punctuation of ASCII.
+SEPARATOR = r"[\x00-\x20\p{Punct}\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE_PHRASES = (
     ("under the mit license", "mit"),
@@ -195,6 +197,13 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
 
+def _n_words(text: Column) -> Column:
+    """How many words a text has: parts between its separators, less an empty part at either end."""
+    parts = F.split(text, SEPARATOR + "+")
+    first, last = F.element_at(parts, 1) == "", (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
+    return F.size(parts) - first.cast("int") - last.cast("int")
+
+
 def _joined(words: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
@@ -256,7 +265,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
     t = F.col(text)
     counted = docs.select(
         *[F.col(f"`{c}`") for c in rest], t.alias("__text"),
-        F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(_n_words(t), F.lit(0)).cast("long").alias("n_words"),
     )
     gate_on = F.coalesce(_gate(F.col("__text"), phrases), F.lit(False))
     none = F.lit(None).cast("long")

@@ -214,6 +214,13 @@ def test_labels_given_by_hand(spark):
         assert labels_of(text) | set(filter(None, base_of(text)[4].split(","))) == want, text
 
 
+def test_words_are_counted_between_separators(spark):
+    every = [chr(c) for c in (*range(1, 128), 0, 128, 0xA0, 0xE9, 0x2028, 0x1F600)]
+    texts = ["", " ", " a", "a ", " a b ", "a", "--", None, *[f"a{c}b" for c in every], *every, *[f"{c}{c}a{c}" for c in every]]
+    got = {r.doc_id: r.n_words for r in scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [base_of(t)[0] for t in texts]
+
+
 def test_rules_number_hundreds():
     made = license_scan.rules()
     assert len(made) > 250 and all(rx.compile(regex) for *_, regex in made)
