@@ -2,17 +2,167 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reefpulse.operators.joining import hot_groups, salted
+from reefpulse.operators.joining import LEAST_HOT, SHARES, salted
 from reefpulse.sources.readers import index_headers
 
 # Files that one task writes, and tasks of one export.
 FILES_PER_TASK, MOST_TASKS = 64, 20_000
 
+# Rows and bytes of a tag that a task holds before it writes them as a row group.
+GROUP_ROWS, GROUP_BYTES = 250_000, 32 << 20
+
+# Types that Arrow hands to Python otherwise than Parquet files hold them, or not at all.
+_OWN_TYPES = re.compile(r"interval|variant|void|geo")
+
+
+def _plan(rows: DataFrame, folder: str, max_records_per_file: int) -> tuple[int, Column | None]:
+    """The number of files and, if a key holds much of the data, the map of its hash to salts
+    (as ``hot_groups``), by one pass over ``rows``."""
+    counts = rows.groupBy(folder).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        n = F.col("n")
+        files, total = counts.agg(F.coalesce(F.sum(F.ceil(n / max_records_per_file)), F.lit(0)), F.coalesce(F.sum(n), F.lit(0))).first()
+        share = max(total / SHARES, float(LEAST_HOT))
+        hot = dict(counts.filter(n > share).select(F.xxhash64(folder), F.ceil(n / share).cast("int")).collect())
+    finally:
+        counts.unpersist()
+    return files, F.create_map(*[F.lit(v).cast(t) for pair in hot.items() for v, t in zip(pair, ("long", "int"))]) if hot else None
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder's plain name, if ``path`` is on this machine's file system or a mount in it."""
+    scheme = urlsplit(path).scheme or urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
+    plain = re.sub(r"^file:/*", "/", path)
+    return plain if scheme == "file" and plain.startswith("/") else None
+
+
+def _files_of(root: str, folder: str, run: str, fmt: str, most: int, header: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes a task's rows, ordered by ``folder``, under ``root``/folder=value/ and returns the rows of each task.
+
+    A file gets its name when it is whole. Names follow from the task's place and rows are in a fixed
+    order, so a task that runs again writes the same files over those of the run before. All helpers are inside: tasks
+    need not import this module.
+    """
+    group_rows, group_bytes = GROUP_ROWS, GROUP_BYTES
+
+    def named(value: str | None) -> str:
+        """A folder's name, escaped as Spark's writer does."""
+        if not value:
+            return f"{folder}=__HIVE_DEFAULT_PARTITION__"
+        return f"{folder}=" + re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        place, attempt = task.partitionId(), task.taskAttemptId()
+        state = {"value": None, "part": 0, "rows": 0, "out": None, "tmp": None, "held": [], "size": 0, "bytes": 0}
+        total = 0
+
+        def begin(schema: pa.Schema) -> None:
+            at = f"{root}/{named(state['value'])}"
+            os.makedirs(at, exist_ok=True)
+            state["tmp"] = f"{at}/.{run}-{attempt}.tmp"
+            if fmt == "csv":
+                state["out"] = open(state["tmp"], "wb")
+                state["out"].write(f"{header}\n".encode())
+            else:
+                state["out"] = pq.ParquetWriter(state["tmp"], schema, store_schema=False)
+
+        def flush() -> None:
+            held, state["held"], state["size"], state["bytes"] = state["held"], [], 0, 0
+            if not held:
+                return
+            if state["out"] is None:
+                begin(held[0].schema)
+            if fmt == "csv":
+                for piece in held:
+                    state["out"].write("".join(f"{line}\n" for line in piece.column(0).to_pylist()).encode())
+            else:
+                state["out"].write_table(pa.Table.from_batches(held).combine_chunks())
+
+        def end() -> None:
+            flush()
+            if state["out"] is not None:
+                state["out"].close()
+                at = f"part-{place:05d}-{run}.c{state['part']:03d}.{'csv' if fmt == 'csv' else 'snappy.parquet'}"
+                os.replace(state["tmp"], f"{os.path.dirname(state['tmp'])}/{at}")
+                state["part"] += 1
+            state["out"], state["rows"] = None, 0
+
+        def add(piece: pa.RecordBatch) -> None:
+            while piece.num_rows:
+                now = piece.slice(0, min(piece.num_rows, most - state["rows"]))
+                piece = piece.slice(now.num_rows)
+                state["held"].append(now)
+                state["rows"] += now.num_rows
+                state["size"] += now.num_rows
+                state["bytes"] += now.nbytes
+                if state["rows"] >= most:
+                    end()
+                elif state["size"] >= group_rows or state["bytes"] >= group_bytes:
+                    flush()
+
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                runs = pc.run_end_encode(batch.column("__folder"))
+                rest, first = batch.drop_columns(["__folder"]), 0
+                if fmt != "csv":
+                    rest = rest.replace_schema_metadata({"org.apache.spark.version": version})
+                for value, last in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                    if value != state["value"]:
+                        end()
+                        state["value"], state["part"] = value, 0
+                    add(rest.slice(first, last - first))
+                    first = last
+                total += batch.num_rows
+            end()
+        finally:
+            if state["out"] is not None:
+                state["out"].close()
+                os.unlink(state["tmp"])
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
+
+    # Readers take dates ahead of 1582 from files that name a version as they stand.
+    version = "4.0.0"
+    return write
+
+
+def _write_mounted(dealt: DataFrame, path: str, root: str, folder: str, fmt: str, most: int, header: str | None, plain: Sequence[str], options: dict) -> None:
+    """One folder per value of ``folder`` on a mounted file system, by Arrow in Spark's tasks.
+
+    There, Hadoop's file system starts a process for the mode of every folder, file and checksum, which for
+    many small files is most of the time. Spark makes the folder, so that one that exists is an error; the
+    mark of a whole export is set last.
+    """
+    mark = f"{root}/_SUCCESS"
+    dealt.limit(0).write.partitionBy(folder).format(fmt).save(path)
+    for name in (mark, f"{root}/._SUCCESS.crc"):
+        if os.path.exists(name):
+            os.unlink(name)
+    ordered = dealt.withColumn("__folder", F.col(folder).cast("string")).sortWithinPartitions("__folder", *plain)
+    kept = [c for c in dealt.columns if c != folder]
+    if fmt == "csv":
+        rows = ordered.select("__folder", F.to_csv(F.struct(*kept), options).alias("line"))
+        rows = rows.select("line", "__folder")
+    else:
+        rows = ordered.select(*kept, "__folder")
+    run = os.path.basename(root.rstrip("/"))[-32:]
+    done = rows.mapInArrow(_files_of(root, folder, run, fmt, most, header), "n long")
+    done.agg(F.sum("n")).first()
+    open(mark, "wb").close()
+
 
 def write_per_key(
     df: DataFrame,
@@ -30,32 +180,30 @@ def write_per_key(
     are dealt over salts in proportion to their rows. CSV keeps
     the key as a column as well, because those files are read by path, and a manifest of
     the files' header, so that the folder is read in one pass.
+
+    New Parquet and CSV exports to a local or mounted folder are written by Arrow inside the tasks: a file appears under its
+    name when it is whole, ``_SUCCESS`` when all are. Others go through Spark's writer.
     """
-    out = df
+    spark, out = df.sparkSession, df
     folder = key
     if fmt == "csv" and keep_key:
         folder = f"by_{key}"
         out = out.withColumn(folder, F.col(key))
-    counts = out.groupBy(folder).agg(F.count(F.lit(1)).alias("n"))
-    files = counts.agg(F.coalesce(F.sum(F.ceil(F.col("n") / max_records_per_file)), F.lit(0))).first()[0]
-    tasks = min(max(-(-files // FILES_PER_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    files, hot = _plan(out, folder, max_records_per_file)
+    tasks = min(max(-(-files // FILES_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
     plain = [f.name for f in out.schema if "map" not in f.dataType.simpleString()]
-    dealt = salted(out, hot_groups(out, [folder]), [folder], plain, "__part")
-    writer = (
-        dealt.repartition(tasks, folder, "__part").drop("__part")
-        .write.mode(mode)
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(folder)
-    )
-    if fmt == "csv":
-        writer = writer.option("header", True).option("nullValue", "NA").option(
-            "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
-        )
-    writer.format(fmt).save(path)
+    dealt = out.withColumn("__part", F.lit(0)) if hot is None else salted(out, hot, [folder], plain, "__part")
+    dealt = dealt.repartition(tasks, folder, "__part").drop("__part")
+    options = {"header": "true", "nullValue": "NA", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"} if fmt == "csv" else {}
+    names = [c for c in out.columns if c != folder]
+    header = ",".join(f'"{n}"' if re.search(r'[",\n]', n) else n for n in names) if fmt == "csv" else None
+    root = _mounted(spark, path)
+    if root and names and fmt in ("parquet", "csv") and mode in ("error", "errorifexists") and not _OWN_TYPES.search(out.schema.simpleString()):
+        _write_mounted(dealt, path, root, folder, fmt, max_records_per_file, header, plain, options)
+    else:
+        dealt.write.mode(mode).option("maxRecordsPerFile", max_records_per_file).partitionBy(folder).options(**options).format(fmt).save(path)
     if fmt == "csv":
-        names = [c for c in out.columns if c != folder]
-        header = ",".join(f'"{n}"' if re.search(r'[",\n]', n) else n for n in names)
-        index_headers(df.sparkSession, path, names, header=header)
+        index_headers(spark, path, names, header=header)
     return path
 
 

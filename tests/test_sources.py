@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reefpulse.operators import restrict
@@ -152,6 +153,56 @@ def test_export_of_many_tags_and_a_hot_one(spark, tmp_path):
     assert back.agg(F.count(F.lit(1)), F.sum("id")).first() == (80_000, 80_000 * 79_999 // 2)
 
 
+def _passes(spark, det):
+    """``det`` read through a Python step, and how many rows have passed it so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return det.mapInArrow(counted, det.schema), seen
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_an_export_reads_its_input_twice_and_writes_plain_files(spark, fmt, tmp_path):
+    """Once to plan files, once to write them; a tag costs a folder and a file, no checksum file with processes of its own."""
+    det = detections(spark, [(f"t{k % 50}", str(k), "2024-01-01 00:00") for k in range(200)])
+    rows, seen = _passes(spark, det)
+    path = write_per_key(rows, str(tmp_path / "out"), fmt=fmt)
+    assert seen.value == 400
+    inside = [[p.name for p in d.iterdir()] for d in (tmp_path / "out").iterdir() if d.is_dir() and "=" in d.name]
+    assert len(inside) == 50 and all(len(names) == 1 and names[0].startswith("part-") for names in inside)
+    assert (tmp_path / "out" / "_SUCCESS").exists()
+    with pytest.raises(AnalysisException):
+        write_per_key(det, path, fmt=fmt)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_exports_are_as_sparks_writer_makes_them(spark, fmt, tmp_path):
+    """Folder names, nulls, quotes, blanks, old dates and files of at most so many rows."""
+    tags = ["a b", "c/d=e", "100%", "x:y", "[q]'^", "\u00fc", "", None, "tab\t", "many"]
+    text = [None, "", "NA?", 'say "x", y', " lead", "\u00fc"]
+    det = spark.createDataFrame(
+        [(t, text[k % 6], ts("1500-01-01 00:00:00.000001") if k % 2 else None, k / 3 if k % 4 else None, k) for t in tags for k in range(30 if t == "many" else 7)],
+        "transmitter string, note string, at timestamp_ntz, x double, k int",
+    )
+    mine, sparks = str(tmp_path / "mine"), str(tmp_path / "sparks")
+    write_per_key(det, mine, fmt=fmt, max_records_per_file=10)
+    write_per_key(det, sparks, fmt=fmt, max_records_per_file=10, mode="append")
+
+    def names(root):
+        return {d.name: len([p for p in d.iterdir() if p.name.startswith("part-")]) for d in (tmp_path / root).iterdir() if "=" in d.name}
+
+    def rows(path):
+        raw = readers.read_text_columns(spark, path) if fmt == "csv" else readers.read_stage(spark, path, det.schema)
+        return sorted(map(repr, raw.select("transmitter", "note", "at", "x", "k").collect()))
+
+    assert names("mine") == names("sparks") and names("mine")["by_transmitter=many" if fmt == "csv" else "transmitter=many"] == 3
+    assert rows(mine) == rows(sparks) and len(rows(mine)) == det.count()
+
+
 def test_tags_prune_the_scan(spark, tmp_path):
     det = detections(spark, [(t, "1", "2024-01-01 00:00") for t in "abc"])
     path = write_per_key(det, str(tmp_path / "out"))
