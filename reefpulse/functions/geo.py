@@ -92,6 +92,33 @@ def in_edges(lon: Column, lat: Column, edges: Column) -> Column:
     return F.exists(edges, lambda e: _column_edge(lon, lat, e["a"], e["b"])[1]) | odd
 
 
+# Edges of a row that are tested by generated code; the others are walked one by one.
+UNROLLED = 4
+
+
+def unrolled(edges: Column, prefix: str = "__e") -> dict[str, Column]:
+    """The ends of the first ``UNROLLED`` edges as plain numbers, for ``in_unrolled``. A missing edge
+    is a point at infinity, which nothing meets."""
+    far = F.lit(float("inf"))
+    ends = {f"{i}{end}{axis[:2]}": F.get(edges, F.lit(i))[end][axis] for i in range(UNROLLED) for end in "ab" for axis in ("long", "lat")}
+    return {f"{prefix}{k}": F.coalesce(c.cast("double"), far) for k, c in ends.items()}
+
+
+def in_unrolled(lon: Column, lat: Column, edges: Column, prefix: str = "__e") -> Column:
+    """As ``in_edges`` beside the columns of ``unrolled``; null edges hold nothing."""
+    def end(i: int, e: str) -> dict[str, Column]:
+        return {axis: F.col(f"{prefix}{i}{e}{axis[:2]}") for axis in ("long", "lat")}
+
+    tests = [_column_edge(lon, lat, end(i, "a"), end(i, "b")) for i in range(UNROLLED)]
+    rest, more = F.slice(edges, UNROLLED + 1, F.size(edges)), F.coalesce(F.size(edges) > UNROLLED, F.lit(False))
+    odd_rest = F.aggregate(rest, F.lit(False), lambda acc, e: acc != _column_edge(lon, lat, e["a"], e["b"])[0])
+    held_rest = F.exists(rest, lambda e: _column_edge(lon, lat, e["a"], e["b"])[1])
+    odd = reduce(lambda p, q: p != q, (c for c, _ in tests))
+    held = reduce(lambda p, q: p | q, (h for _, h in tests))
+    few = held | odd
+    return F.when(more, held | held_rest | (odd != odd_rest)).otherwise(few)
+
+
 def in_ring(lon: Column, lat: Column, ring: Sequence[Vertex] | Column) -> Column:
     """True inside the ring or on its boundary; null for a null position.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reefpulse.functions.geo import Vertex, east_component, edges_of, in_edges, in_ring, utm
+from reefpulse.functions.geo import Vertex, east_component, edges_of, in_edges, in_ring, in_unrolled, unrolled, utm
 from reefpulse.operators.joining import LEAST_HOT, hot_groups, repeated, salted
 
 # Cells that a ring takes at most in each direction, and those that the middle one takes by default.
@@ -110,9 +110,13 @@ def points_in_rings(
     hot = hot_groups(probes, keys, least)
     plain = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
     left = salted(probes, hot, keys, plain)
-    named = cells.select(*[F.col(k[2:]).alias(k) for k in keys], F.col("ring_id").alias("__id"), "whole", "edges")
+    corners = unrolled(F.col("edges"))
+    named = cells.select(
+        *[F.col(k[2:]).alias(k) for k in keys], F.col("ring_id").alias("__id"), F.col("whole").alias("__whole"), F.col("edges").alias("__edges"),
+        *[c.alias(k) for k, c in corners.items()],
+    )
     right = repeated(named, hot, keys)
-    held = F.col("whole") | in_edges(F.col(lon).cast("double"), F.col(lat).cast("double"), F.col("edges"))
+    held = F.col("__whole") | in_unrolled(F.col(lon).cast("double"), F.col(lat).cast("double"), F.col("__edges"))
     return left.join(right, [*keys, "__salt"]).filter(held).select(*df.columns, F.col("__id").alias(ring_id))
 
 

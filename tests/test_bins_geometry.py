@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reefpulse.functions.geo import in_ring
+from reefpulse.functions.geo import edges_of, in_edges, in_ring, in_unrolled, unrolled
 from reefpulse.operators import binning, electivity, geometry, restrict, summary
 from reefpulse.plans.surrogate import RING
 from tests.frames import day, detections, moons, ts, tuples
@@ -197,6 +197,23 @@ def test_points_meet_rings_as_one_by_one(spark, cell):
     assert geometry.points_in_rings(points.limit(0), "lon", "lat", table).count() == 0
 
 
+@pytest.mark.parametrize("edges", [3, 4, 5, 40])
+def test_edges_in_generated_code_hold_what_walked_ones_do(spark, edges):
+    """Rings of fewer, as many and more edges than are unrolled, at points inside, outside, on edges and on vertices; columns keep their names."""
+    ring = [(math.cos(6.283 * k / edges) * (1 + k % 2), math.sin(6.283 * k / edges)) for k in range(edges)]
+    pts = [(x / 8, y / 8) for x in range(-17, 18) for y in range(-9, 10)] + ring + [(float("inf"), 0.0), (0.0, float("nan"))]
+    points = spark.createDataFrame([(x, y, "w", k) for k, (x, y) in enumerate(pts)], "lon double, lat double, whole string, edges int")
+    table = points.withColumn("es", edges_of(F.array(*[F.struct(F.lit(x).alias("long"), F.lit(y).alias("lat")) for x, y in ring])))
+    lon, lat = F.col("lon"), F.col("lat")
+    both = table.withColumns(unrolled(F.col("es"))).select(in_edges(lon, lat, F.col("es")).alias("a"), in_unrolled(lon, lat, F.col("es")).alias("b"))
+    assert both.filter("a IS DISTINCT FROM b").count() == 0 and both.filter("a").count() > 3
+    near = points.filter("lon < 3 AND lat < 3")
+    rings = spark.createDataFrame([(7, ring)], "ring_id int, ring array<struct<long: double, lat: double>>")
+    got = geometry.points_in_rings(near, "lon", "lat", rings)
+    assert got.columns == [*points.columns, "ring_id"]
+    assert sorted(got.select("edges").collect()) == sorted(near.filter(in_ring(lon, lat, ring)).select("edges").collect())
+
+
 def test_slack_across_midnight(spark):
     bins = spark.createDataFrame(
         [("a", day("2024-01-02"), 0.5, 17.6), ("a", day("2024-01-02"), 12.0, 17.6), ("b", day("2024-01-09"), 3.0, 17.6), ("b", day("2024-01-01"), 0.0, 17.6), ("c", day("2024-01-02"), 1.0, None)],
