@@ -96,7 +96,9 @@ def index_headers(spark: SparkSession, path: str, names: Iterable[str], header:
         known = files.withColumn("header", F.lit(header))
     else:
         known = files.join(_found_headers(spark, path, names), "file")
-    known.select("file", "length", "modified", "header").write.mode("overwrite").parquet(f"{path.rstrip('/')}/{HEADERS}")
+    # As many files as the manifest's own size asks for, not one for each task that listed the folder.
+    known = known.select("file", "length", "modified", "header").hint("rebalance")
+    known.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{HEADERS}")
     return path
 
 

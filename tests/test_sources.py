@@ -203,6 +203,13 @@ def test_exports_are_as_sparks_writer_makes_them(spark, fmt, tmp_path):
     assert rows(mine) == rows(sparks) and len(rows(mine)) == det.count()
 
 
+def test_a_manifest_is_few_files(spark, tmp_path):
+    det = spark.range(3_000).select(F.format_string("t%05d", "id").alias("transmitter"), F.lit("1").alias("station"))
+    path = write_per_key(det, str(tmp_path / "out"), fmt="csv")
+    assert spark.read.parquet(f"{path}/{readers.HEADERS}").count() == 3_000
+    assert len(list((tmp_path / "out" / readers.HEADERS).glob("*.parquet"))) < 4
+
+
 def test_tags_prune_the_scan(spark, tmp_path):
     det = detections(spark, [(t, "1", "2024-01-01 00:00") for t in "abc"])
     path = write_per_key(det, str(tmp_path / "out"))
