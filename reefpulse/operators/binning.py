@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reefpulse.functions.clock import SLOTS_PER_DAY, slot_date, slot_half_hour, slot_of
+from reefpulse.functions.clock import SLOTS_PER_DAY, slot_half_hour, slot_of
 from reefpulse.functions.nulls import distinct_with_null, share, strict_avg
 from reefpulse.operators.asof import around, nearest
 from reefpulse.operators.lunar import EARLY_DAYS, add_dafm
@@ -41,65 +41,94 @@ def bin_positions(det: DataFrame) -> DataFrame:
 FILL_BLOCK = 4096
 
 
-def _expanded(spread: DataFrame) -> DataFrame:
-    """One row for each half-hour from ``__slot`` to ``__to``, in ``__at``.
+def _blocks(spread: DataFrame) -> DataFrame:
+    """Adds the half-hours ``__from`` to ``__until`` that a row stands for, from ``__slot`` to ``__to``.
 
     Gaps of more than a block are cut in blocks that are dealt over all tasks before
     they are expanded, so that years without a detection are not made by one.
     """
     long_gap = F.col("__to") - F.col("__slot") >= FILL_BLOCK
-    short = spread.filter(~long_gap).withColumn("__at", F.explode(F.sequence("__slot", "__to")))
+    short = spread.filter(~long_gap).withColumns({"__from": F.col("__slot"), "__until": F.col("__to")})
     block = F.explode(F.sequence(F.floor(F.col("__slot") / FILL_BLOCK), F.floor(F.col("__to") / FILL_BLOCK)))
     tasks = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = spread.filter(long_gap).withColumn("__block", block).repartition(tasks, "transmitter", "__block")
     first = F.greatest(F.col("__slot"), F.col("__block") * FILL_BLOCK)
     last = F.least(F.col("__to"), F.col("__block") * FILL_BLOCK + FILL_BLOCK - 1)
-    return short.unionByName(blocks.withColumn("__at", F.explode(F.sequence(first, last))).drop("__block"))
+    return short.unionByName(blocks.withColumns({"__from": first, "__until": last}).drop("__block"))
 
 
-def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
-    """Adds the empty half-hours between a tag's first and last bin.
+def gap_days(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS, *, deal: bool = False) -> DataFrame:
+    """The first half of ``fill_gaps``: a row for each bin and each further day up to the tag's next one.
 
-    Every bin is expanded up to the tag's next one, so the result is contiguous
-    without a join against a spine. The only shuffles are by tag, on at most 48
-    rows per tag and day, and of the blocks of long gaps. Empty bins have zero counts, no position, and the DAFM
-    of their date.
+    A row stands for the half-hours ``__from`` to ``__until`` of its date, ``half_hours`` of them, the first of which is
+    the bin if ``__kept``. ``fill_days`` makes them; what has to be shuffled or counted is so before that, as these rows are
+    far fewer. DAFM is looked up here, once a row. With ``deal``, long gaps are spread over all tasks.
     """
     per_tag = Window.partitionBy("transmitter").orderBy("__slot")
     spread = (
         bins.withColumn("__slot", slot_of("date", "halfhour"))
         .withColumn("__to", F.coalesce(F.lead("__slot").over(per_tag) - 1, F.col("__slot")))
     )
-    spread = _expanded(spread)
-    kept = F.col("__at") == F.col("__slot")
+    slots, day = F.lit(SLOTS_PER_DAY), F.col("__day")
+    whole = spread.withColumns({"__from": F.col("__slot"), "__until": F.col("__to")})
+    days = (_blocks(spread) if deal else whole).withColumn(
+        "__day", F.explode(F.sequence(F.floor(F.col("__from") / slots), F.floor(F.col("__until") / slots)))
+    )
+    first = F.greatest(F.col("__from"), day * slots)
+    kept = first == F.col("__slot")
     zero = F.lit(0).cast("long")
     has_dafm = "dafm" in bins.columns
     carried = [c for c in (*POSITIONS, "mssca") if c in bins.columns]
-    filled = spread.select(
+    pieces = days.select(
         "transmitter",
-        slot_date("__at").alias("date"),
-        slot_half_hour("__at").alias("halfhour"),
+        F.date_from_unix_date(day.cast("int")).alias("date"),
+        first.alias("__from"),
+        F.least(F.col("__until"), day * slots + slots - 1).alias("__until"),
+        kept.alias("__kept"),
         F.when(kept, F.col("no_stations")).otherwise(zero).alias("no_stations"),
         F.when(kept, F.col("no_detections")).otherwise(zero).alias("no_detections"),
-        *([F.when(kept, F.col("dafm")).alias("__dafm"), kept.alias("__kept")] if has_dafm else []),
+        *([F.when(kept, F.col("dafm")).alias("__dafm")] if has_dafm else []),
         *[F.when(kept, F.col(c)).alias(c) for c in carried],
     )
-    out = add_dafm(filled, moons, early_days=early_days)
+    return add_dafm(pieces, moons, early_days=early_days)
+
+
+def half_hours() -> Column:
+    """The half-hours that a row of ``gap_days`` stands for."""
+    return F.col("__until") - F.col("__from") + 1
+
+
+def fill_days(days: DataFrame) -> DataFrame:
+    """The second half of ``fill_gaps``: the half-hours that the rows of ``gap_days`` stand for, in their order and
+    within their tasks."""
+    kept = F.col("__kept") & (F.col("__at") == F.col("__from"))
+    zero = F.lit(0).cast("long")
     dafm = F.col("dafm")
-    if has_dafm:
-        dafm = F.when(F.col("__kept"), F.col("__dafm")).otherwise(dafm)
-    return out.select(
+    if "__dafm" in days.columns:
+        dafm = F.when(kept, F.col("__dafm")).otherwise(dafm)
+    return days.withColumn("__at", F.explode(F.sequence("__from", "__until"))).select(
         "transmitter",
         F.year("date").alias("year"),
         "date",
-        "halfhour",
-        "no_stations",
-        "no_detections",
+        slot_half_hour("__at").alias("halfhour"),
+        F.when(kept, F.col("no_stations")).otherwise(zero).alias("no_stations"),
+        F.when(kept, F.col("no_detections")).otherwise(zero).alias("no_detections"),
         dafm.alias("dafm"),
-        *carried,
+        *[F.when(kept, F.col(c)).alias(c) for c in (*POSITIONS, "mssca") if c in days.columns],
     )
 
 
+def fill_gaps(bins: DataFrame, moons: DataFrame, early_days: int = EARLY_DAYS) -> DataFrame:
+    """Adds the empty half-hours between a tag's first and last bin.
+
+    Every bin is expanded up to the tag's next one, by days and then by half-hours, so the result is contiguous
+    without a join against a spine. The only shuffles are by tag, on at most 48
+    rows per tag and day, and of the blocks of long gaps. Empty bins have zero counts, no position, and the DAFM
+    of their date.
+    """
+    return fill_days(gap_days(bins, moons, early_days, deal=True))
+
+
 def presence_by_day(bins: DataFrame) -> DataFrame:
     """Occupied (P) and empty (A) half-hours per date over all tags.
 

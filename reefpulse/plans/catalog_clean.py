@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from reefpulse.operators import restrict, visits
+from reefpulse.operators import binning, restrict, visits
 from reefpulse.plans import stages
 from reefpulse.plans import surrogate as s
 from reefpulse.plans.registry import query, rounded
@@ -36,11 +36,10 @@ def scan_detections(spark, d):
     "SELECT b.* FROM bins b WHERE transmitter IN (SELECT transmitter FROM analysed)",
 )
 def scan_allowlist(spark, d):
-    bins = s.bins(spark, d).drop("pa")
-    path = write_per_key(bins, shared_folder(spark, "bins"))
-    return restrict.flag_presence(
-        restrict.keep_tags(readers.read_stage(spark, path, bins.schema), s.analysed_tags(spark, d))
-    )
+    days = s.gap_days(spark, d)
+    path = write_per_key(days, shared_folder(spark, "bins"), expand=binning.fill_days, size=binning.half_hours())
+    mine = restrict.keep_tags(readers.stage_folders(spark, path), s.analysed_tags(spark, d))
+    return restrict.flag_presence(readers.read_folders(spark, path, binning.fill_days(days).schema, mine))
 
 
 @query("scan_typed_dim", "SELECT * FROM tags")

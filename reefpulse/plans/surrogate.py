@@ -158,11 +158,16 @@ def located_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.zone_of_bin(occupied_bins(det), RING)
 
 
-def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap-free half-hour bins with zone and presence flag.
+def gap_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins and the days up to the tag's next one, of which ``binning.fill_days`` makes gap-free half-hours.
 
-    DAFM is added to the bins, not to the detections: it is the same per date.
+    DAFM is added to these, not to the detections: it is the same per date.
     """
+    return binning.gap_days(located_bins(spark, sf_dir), moons(detections_short(spark, sf_dir)))
+
+
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap-free half-hour bins with zone and presence flag."""
     filled = binning.fill_gaps(located_bins(spark, sf_dir), moons(detections_short(spark, sf_dir)))
     return restrict.flag_presence(filled)
 

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable, Mapping
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from reefpulse.functions.clock import to_local
 from reefpulse.sources import schemas
@@ -178,6 +184,106 @@ def read_stage(spark: SparkSession, path: str, schema: StructType, tags: Iterabl
     return df if tags is None else df.filter(F.col("transmitter").isin(list(tags)))
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder's plain name, if ``path`` is on this machine's file system or a mount in it."""
+    scheme = urlsplit(path).scheme or urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
+    plain = re.sub(r"^file:/*", "/", path)
+    return plain if scheme == "file" and plain.startswith("/") else None
+
+
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _listed(root: str, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Values of ``key`` and names of the folders in ``root``, a few thousand at a time."""
+
+    def batch(names: list[str]) -> pa.RecordBatch:
+        values = [unquote(n.partition("=")[2], errors="strict") for n in names]
+        return pa.RecordBatch.from_pydict({key: pa.array([None if v == none else v for v in values], pa.string()), "folder": pa.array(names, pa.string())})
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            names: list[str] = []
+            with os.scandir(root) as found:
+                for entry in found:
+                    if entry.name.startswith(f"{key}="):
+                        names.append(entry.name)
+                        if len(names) == 5_000:
+                            yield batch(names)
+                            names = []
+            if names:
+                yield batch(names)
+
+    none = _NO_VALUE
+    return listed
+
+
+def stage_folders(spark: SparkSession, path: str, key: str = "transmitter") -> DataFrame:
+    """``key`` and ``folder``: one row per folder of a table written by ``write_per_key``, dealt by key. No file is opened, and
+    on local or mounted storage one task streams the folders' names and no file is listed.
+    """
+    root, tasks = mounted(spark, path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if root:
+        return spark.range(0, 1, 1, 1).mapInArrow(_listed(root, key), f"`{key}` string, folder string").repartition(tasks, key)
+    folder = F.element_at(F.split("file", "/"), -2)
+    folders = _files(spark, path).select(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("folder")).distinct()
+    value = F.url_decode(F.replace(F.substring_index("folder", "=", -1), F.lit("+"), F.lit("%2B")))
+    return folders.filter(F.startswith("folder", F.lit(f"{key}="))).select(F.nullif(value, F.lit(_NO_VALUE)).alias(key), "folder")
+
+
+def _files_in(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The files of each folder, beside the folder's key."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for k, folder in enumerate(batch.column("folder").to_pylist()):
+                for name in os.listdir(f"{root}/{folder}"):
+                    if not name.startswith(("_", ".")):
+                        keys.append(k)
+                        found.append(f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "file"])
+
+    return files
+
+
+def _rows_of(root: str, key: str, wanted: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of each file, a row group at a time; columns that a file lacks are null."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with pq.ParquetFile(f"{root}/{name}", coerce_int96_timestamp_unit="us") as file:
+                    held = set(file.schema_arrow.names)
+                    columns = [f.name for f in wanted if f.name in held and f.name != key]
+                    for group in range(file.num_row_groups):
+                        for piece in file.read_row_group(group, columns, use_threads=False).to_batches(10_000):
+                            made = [
+                                pa.repeat(pa.scalar(value).cast(f.type), piece.num_rows) if f.name == key
+                                else pa.nulls(piece.num_rows, f.type) if f.name not in held
+                                else piece.column(f.name).cast(f.type)
+                                for f in wanted
+                            ]
+                            yield pa.RecordBatch.from_arrays(made, schema=wanted)
+
+    return rows
+
+
+def read_folders(spark: SparkSession, path: str, schema: StructType, folders: DataFrame, key: str = "transmitter") -> DataFrame:
+    """As ``read_stage``, but only the folders in ``folders``, some rows of ``stage_folders``.
+
+    There may be any number of them: on local or mounted storage their files are dealt over tasks by name and read there by Arrow, so
+    others are neither listed nor opened and no list is gathered. Elsewhere the whole is scanned and joined.
+    """
+    whole = StructType([StructField(f.name, f.dataType) for f in schema])
+    root = mounted(spark, path)
+    if not root:
+        return read_stage(spark, path, whole).join(folders.select(F.col(key).cast(whole[key].dataType)), key, "left_semi").select(whole.names)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = folders.select(key, "folder").mapInArrow(_files_in(root), f"`{key}` string, file string")
+    return files.repartition(tasks, "file").mapInArrow(_rows_of(root, key, to_arrow_schema(whole)), whole)
+
+
 def read_dimension(
     spark: SparkSession, path: str, columns: schemas.Columns, formats: Mapping[str, str] | None = None
 ) -> DataFrame:

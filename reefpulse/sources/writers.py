@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import urlsplit
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reefpulse.operators.joining import LEAST_HOT, SHARES, salted
-from reefpulse.sources.readers import index_headers
+from reefpulse.sources.readers import index_headers, mounted
 
 # Files that one task writes, and tasks of one export.
 FILES_PER_TASK, MOST_TASKS = 64, 20_000
@@ -22,31 +22,50 @@ FILES_PER_TASK, MOST_TASKS = 64, 20_000
 # Rows and bytes of a tag that a task holds before it writes them as a row group.
 GROUP_ROWS, GROUP_BYTES = 250_000, 32 << 20
 
+# Rows that Spark hands to a task's Python at a time.
+BATCH_ROWS = 1_000
+
 # Types that Arrow hands to Python otherwise than Parquet files hold them, or not at all.
 _OWN_TYPES = re.compile(r"interval|variant|void|geo")
 
+# Types of which a value may be as large as many rows.
+_WIDE_TYPES = re.compile(r"array|map|struct<.*struct|binary")
+
+
+@contextmanager
+def _batches_by_rows(spark: SparkSession, rows: DataFrame) -> Iterator[None]:
+    """Batches of ``rows`` for Python end by number, not by bytes, while a job of plain columns is planned.
+
+    For a limit of bytes Spark adds up all columns of a batch again after each of its rows, which takes longer than
+    filling it.
+    """
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 2**31 - 1}
+    if _WIDE_TYPES.search(rows.schema.simpleString()):
+        settings = {}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
-def _plan(rows: DataFrame, folder: str, max_records_per_file: int) -> tuple[int, Column | None]:
+
+def _plan(rows: DataFrame, key: str, size: Column, max_records_per_file: int) -> tuple[int, Column | None]:
     """The number of files and, if a key holds much of the data, the map of its hash to salts
-    (as ``hot_groups``), by one pass over ``rows``."""
-    counts = rows.groupBy(folder).agg(F.count(F.lit(1)).alias("n")).persist()
+    (as ``hot_groups``), by one pass over ``rows``, each of which becomes ``size`` rows."""
+    counts = rows.groupBy(key).agg(F.sum(size).alias("n")).persist()
     try:
         n = F.col("n")
         files, total = counts.agg(F.coalesce(F.sum(F.ceil(n / max_records_per_file)), F.lit(0)), F.coalesce(F.sum(n), F.lit(0))).first()
         share = max(total / SHARES, float(LEAST_HOT))
-        hot = dict(counts.filter(n > share).select(F.xxhash64(folder), F.ceil(n / share).cast("int")).collect())
+        hot = dict(counts.filter(n > share).select(F.xxhash64(key), F.ceil(n / share).cast("int")).collect())
     finally:
         counts.unpersist()
     return files, F.create_map(*[F.lit(v).cast(t) for pair in hot.items() for v, t in zip(pair, ("long", "int"))]) if hot else None
 
 
-def _mounted(spark: SparkSession, path: str) -> str | None:
-    """The folder's plain name, if ``path`` is on this machine's file system or a mount in it."""
-    scheme = urlsplit(path).scheme or urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
-    plain = re.sub(r"^file:/*", "/", path)
-    return plain if scheme == "file" and plain.startswith("/") else None
-
-
 def _files_of(root: str, folder: str, run: str, fmt: str, most: int, header: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Writes a task's rows, ordered by ``folder``, under ``root``/folder=value/ and returns the rows of each task.
 
@@ -65,8 +84,9 @@ def _files_of(root: str, folder: str, run: str, fmt: str, most: int, header: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         place, attempt = task.partitionId(), task.taskAttemptId()
-        state = {"value": None, "part": 0, "rows": 0, "out": None, "tmp": None, "held": [], "size": 0, "bytes": 0}
-        total = 0
+        state = {"value": None, "rows": 0, "out": None, "tmp": None, "held": [], "size": 0, "bytes": 0}
+        # Files so far of each folder, so that no file takes the name of another, whatever the order of the rows.
+        parts, total = {}, 0
 
         def begin(schema: pa.Schema) -> None:
             at = f"{root}/{named(state['value'])}"
@@ -94,9 +114,10 @@ def _files_of(root: str, folder: str, run: str, fmt: str, most: int, header: str
             flush()
             if state["out"] is not None:
                 state["out"].close()
-                at = f"part-{place:05d}-{run}.c{state['part']:03d}.{'csv' if fmt == 'csv' else 'snappy.parquet'}"
-                os.replace(state["tmp"], f"{os.path.dirname(state['tmp'])}/{at}")
-                state["part"] += 1
+                at = os.path.dirname(state["tmp"])
+                part = parts.get(at, 0)
+                os.replace(state["tmp"], f"{at}/part-{place:05d}-{run}.c{part:03d}.{'csv' if fmt == 'csv' else 'snappy.parquet'}")
+                parts[at] = part + 1
             state["out"], state["rows"] = None, 0
 
         def add(piece: pa.RecordBatch) -> None:
@@ -123,7 +144,7 @@ def _files_of(root: str, folder: str, run: str, fmt: str, most: int, header: str
                 for value, last in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                     if value != state["value"]:
                         end()
-                        state["value"], state["part"] = value, 0
+                        state["value"] = value
                     add(rest.slice(first, last - first))
                     first = last
                 total += batch.num_rows
@@ -139,7 +160,7 @@ def _files_of(root: str, folder: str, run: str, fmt: str, most: int, header: str
     return write
 
 
-def _write_mounted(dealt: DataFrame, path: str, root: str, folder: str, fmt: str, most: int, header: str | None, plain: Sequence[str], options: dict) -> None:
+def _write_mounted(ordered: DataFrame, path: str, root: str, folder: str, fmt: str, most: int, header: str | None, options: dict) -> None:
     """One folder per value of ``folder`` on a mounted file system, by Arrow in Spark's tasks.
 
     There, Hadoop's file system starts a process for the mode of every folder, file and checksum, which for
@@ -147,20 +168,19 @@ def _write_mounted(dealt: DataFrame, path: str, root: str, folder: str, fmt: str
     mark of a whole export is set last.
     """
     mark = f"{root}/_SUCCESS"
-    dealt.limit(0).write.partitionBy(folder).format(fmt).save(path)
+    ordered.limit(0).write.partitionBy(folder).format(fmt).save(path)
     for name in (mark, f"{root}/._SUCCESS.crc"):
         if os.path.exists(name):
             os.unlink(name)
-    ordered = dealt.withColumn("__folder", F.col(folder).cast("string")).sortWithinPartitions("__folder", *plain)
-    kept = [c for c in dealt.columns if c != folder]
+    kept, name = [c for c in ordered.columns if c != folder], F.col(folder).cast("string").alias("__folder")
     if fmt == "csv":
-        rows = ordered.select("__folder", F.to_csv(F.struct(*kept), options).alias("line"))
-        rows = rows.select("line", "__folder")
+        rows = ordered.select(F.to_csv(F.struct(*kept), options).alias("line"), name)
     else:
-        rows = ordered.select(*kept, "__folder")
+        rows = ordered.select(*kept, name)
     run = os.path.basename(root.rstrip("/"))[-32:]
     done = rows.mapInArrow(_files_of(root, folder, run, fmt, most, header), "n long")
-    done.agg(F.sum("n")).first()
+    with _batches_by_rows(ordered.sparkSession, rows):
+        done.agg(F.sum("n")).first()
     open(mark, "wb").close()
 
 
@@ -172,6 +192,8 @@ def write_per_key(
     mode: str = "errorifexists",
     keep_key: bool = True,
     max_records_per_file: int = 5_000_000,
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+    size: Column | None = None,
 ) -> str:
     """Writes ``df`` under ``path/key=value/``.
 
@@ -181,27 +203,32 @@ def write_per_key(
     the key as a column as well, because those files are read by path, and a manifest of
     the files' header, so that the folder is read in one pass.
 
+    With ``expand``, its result is written. It makes each row into ``size`` rows with the row's ``key``, in their order and
+    without a shuffle; rows are then counted, dealt and ordered ahead of it, while they are few.
+
     New Parquet and CSV exports to a local or mounted folder are written by Arrow inside the tasks: a file appears under its
     name when it is whole, ``_SUCCESS`` when all are. Others go through Spark's writer.
     """
-    spark, out = df.sparkSession, df
-    folder = key
-    if fmt == "csv" and keep_key:
-        folder = f"by_{key}"
-        out = out.withColumn(folder, F.col(key))
-    files, hot = _plan(out, folder, max_records_per_file)
+    spark, folder = df.sparkSession, f"by_{key}" if fmt == "csv" and keep_key else key
+    files, hot = _plan(df, key, F.lit(1) if size is None else size, max_records_per_file)
     tasks = min(max(-(-files // FILES_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
-    plain = [f.name for f in out.schema if "map" not in f.dataType.simpleString()]
-    dealt = out.withColumn("__part", F.lit(0)) if hot is None else salted(out, hot, [folder], plain, "__part")
-    dealt = dealt.repartition(tasks, folder, "__part").drop("__part")
+    plain = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
+    dealt = df.withColumn("__part", F.lit(0)) if hot is None else salted(df, hot, [key], plain, "__part")
+    dealt = dealt.repartition(tasks, key, "__part").drop("__part")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        made = rows if expand is None else expand(rows)
+        return made if folder == key else made.withColumn(folder, F.col(key))
+
+    schema = whole(df).schema
     options = {"header": "true", "nullValue": "NA", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"} if fmt == "csv" else {}
-    names = [c for c in out.columns if c != folder]
+    names = [c for c in schema.names if c != folder]
     header = ",".join(f'"{n}"' if re.search(r'[",\n]', n) else n for n in names) if fmt == "csv" else None
-    root = _mounted(spark, path)
-    if root and names and fmt in ("parquet", "csv") and mode in ("error", "errorifexists") and not _OWN_TYPES.search(out.schema.simpleString()):
-        _write_mounted(dealt, path, root, folder, fmt, max_records_per_file, header, plain, options)
+    root = mounted(spark, path)
+    if root and names and fmt in ("parquet", "csv") and mode in ("error", "errorifexists") and not _OWN_TYPES.search(schema.simpleString()):
+        _write_mounted(whole(dealt.sortWithinPartitions(F.col(key).cast("string"), *plain)), path, root, folder, fmt, max_records_per_file, header, options)
     else:
-        dealt.write.mode(mode).option("maxRecordsPerFile", max_records_per_file).partitionBy(folder).options(**options).format(fmt).save(path)
+        whole(dealt).write.mode(mode).option("maxRecordsPerFile", max_records_per_file).partitionBy(folder).options(**options).format(fmt).save(path)
     if fmt == "csv":
         index_headers(spark, path, names, header=header)
     return path

@@ -238,3 +238,22 @@ def test_a_gap_of_a_century_is_spread(spark):
     assert per_tag == {"a": (36525 * 48 + 1, 2), "b": (5, 2)}
     most = filled.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
     assert most < 36525 * 48 * 0.4
+
+
+def test_days_stand_for_the_half_hours_they_become(spark):
+    """A gap is a row a day until its half-hours are made, in order and by the task that holds the day."""
+    bins = _occupied(spark, [("a", "1", "2023-12-30 05:10"), ("a", "1", "2024-01-09 17:40"), ("a", "1", "2024-01-09 18:10"), ("b", "1", "2024-01-02 23:50")])
+    days = binning.gap_days(bins, moons(spark, *MOONS))
+    assert days.count() == 11 + 1 + 1
+    assert days.agg(F.sum(binning.half_hours())).first()[0] == 10 * 48 + 26 + 1 + 1
+    filled = binning.fill_days(days.coalesce(1).sortWithinPartitions("transmitter", "__from"))
+    rows = [(r.transmitter, r.date, r.halfhour) for r in filled.collect()]
+    assert rows == sorted(rows) and len(set(rows)) == 10 * 48 + 28
+    assert tuples(filled) == tuples(binning.fill_gaps(bins, moons(spark, *MOONS)))
+    assert "Exchange" not in binning.fill_days(spark.createDataFrame([], days.schema))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bins_own_dafm_stays_and_empty_ones_have_their_dates(spark):
+    bins = _occupied(spark, [("a", "1", "2024-01-15 23:30"), ("a", "2", "2024-01-16 00:40")]).withColumn("dafm", F.lit(77))
+    got = tuples(binning.fill_gaps(bins, moons(spark, *MOONS)), "halfhour", "no_detections", "dafm")
+    assert got == [(0.0, 0, -9), (0.5, 1, 77), (23.5, 1, 77)]

@@ -221,6 +221,106 @@ def test_tags_prune_the_scan(spark, tmp_path):
     assert kept.count() == 1
 
 
+def _repeated(rows):
+    """Each row ``n`` times, numbered."""
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(1), "n"))).select("transmitter", "station", "k")
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("mode", ["errorifexists", "append"])
+def test_an_export_expands_its_rows_after_dealing_them(spark, fmt, mode, tmp_path):
+    """The few rows pass twice, to be planned and written; what they expand to is made once. A tag of few rows that
+    become many takes several tasks."""
+    few = spark.range(300).select(
+        F.when(F.col("id") < 40, "hot").otherwise(F.format_string("t%03d", "id")).alias("transmitter"),
+        F.col("id").cast("string").alias("station"),
+        F.when(F.col("id") < 40, 2_000).otherwise(F.pmod("id", F.lit(5)) + 1).cast("int").alias("n"),
+    )
+    rows, seen = _passes(spark, few)
+    made = []
+
+    def expand(df):
+        out, n = _passes(spark, _repeated(df))
+        made.append(n)
+        return out
+
+    path = write_per_key(rows, str(tmp_path / "out"), fmt=fmt, mode=mode, expand=expand, size=F.col("n"))
+    want = _repeated(few)
+    assert seen.value == 600 and sum(n.value for n in made) == want.count()
+    back = readers.read_text_columns(spark, path) if fmt == "csv" else readers.read_stage(spark, path, want.schema)
+    assert tuples(back.select("transmitter", "station", F.col("k").cast("int"))) == tuples(want)
+    folder = tmp_path / "out" / f"{'by_' if fmt == 'csv' else ''}transmitter=hot"
+    assert len([p for p in folder.iterdir() if p.name.startswith("part-")]) >= 3
+    others = [d for d in (tmp_path / "out").iterdir() if "=t" in d.name]
+    assert len(others) == 260 and all(len([p for p in d.iterdir() if p.name.startswith("part-")]) == 1 for d in others)
+
+
+def test_rows_of_a_folder_out_of_order_are_all_written(spark, tmp_path):
+    """A value that comes again in a task gets a further file, not that of before."""
+    from reefpulse.sources.writers import _files_of
+
+    root = str(tmp_path / "out")
+    rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "k int, __folder string").coalesce(1)
+    rows.mapInArrow(_files_of(root, "t", "run", "parquet", 100, None), "n long").collect()
+    assert sorted(r.k for r in spark.read.parquet(root).collect()) == list(range(20))
+
+
+def test_an_export_leaves_the_sessions_batches(spark, tmp_path):
+    """Batches of plain rows end by number; Spark's check of their bytes after each row is off meanwhile, and back after."""
+    from reefpulse.sources.writers import BATCH_ROWS, _batches_by_rows
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    plain = spark.range(1)
+    with _batches_by_rows(spark, plain):
+        assert [spark.conf.get(n) for n in names] == [str(BATCH_ROWS), str(2**31 - 1)]
+    with _batches_by_rows(spark, plain.select(F.array("id"))):
+        assert [spark.conf.get(n) for n in names] == before
+    write_per_key(plain.select(F.lit("a").alias("transmitter"), "id"), str(tmp_path / "out"))
+    assert [spark.conf.get(n) for n in names] == before
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_only_kept_folders_are_read(spark, shared, tmp_path, monkeypatch):
+    """Odd names, a folder of several files, a column the files lack, and nothing opened of other tags."""
+    tags = ["a b", "c/d=e", "100%", "x+y", "007", "\u00fc", "", None, "many"]
+    text = "transmitter string, note string, at timestamp_ntz, k int"
+    det = spark.createDataFrame([(t, None if k % 3 else str(t), ts("1500-01-01 00:00") if k % 2 else None, k) for t in tags for k in range(30 if t == "many" else 4)], text)
+    path = write_per_key(det, str(tmp_path / "out"), max_records_per_file=10)
+    if not shared:
+        monkeypatch.setattr(readers, "mounted", lambda *_: None)
+    folders = readers.stage_folders(spark, path)
+    assert {r.transmitter for r in folders.collect()} == {t or None for t in tags}
+    if shared:
+        bad = tmp_path / "out" / "transmitter=bad"
+        bad.mkdir()
+        (bad / "part-0.parquet").write_text("no table")
+    mine = [t for t in tags if t != "007"] + ["many", "unheard"]
+    kept = restrict.keep_tags(folders, spark.createDataFrame([(t,) for t in mine], "transmitter string"))
+    schema = spark.createDataFrame([], f"{text}, extra double").schema
+    got = readers.read_folders(spark, path, schema, kept)
+    assert got.columns == schema.names
+    want = det.filter(F.col("transmitter").isin([t for t in mine if t])).withColumn("extra", F.lit(None).cast("double"))
+    assert tuples(got) == tuples(want) and len(tuples(got)) == 50
+
+
+def test_kept_folders_are_read_without_a_shuffle_of_rows(spark, tmp_path):
+    det = spark.range(2_000).select(F.format_string("t%04d", F.col("id") % 500).alias("transmitter"), "id")
+    path = write_per_key(det, str(tmp_path / "out"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        kept = restrict.keep_tags(readers.stage_folders(spark, path), det.filter("id < 100"))
+        got = readers.read_folders(spark, path, det.schema, kept)
+        assert got.count() == 400
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("MapInArrow rows")[0] and "FileScan parquet" not in plan.split("MapInArrow listed")[0].split("MapInArrow files")[0]
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
 def test_sink_without_rows_for_a_tag_makes_no_folder(spark, tmp_path):
     det = detections(spark, [("a", "1", "2024-01-01 00:00"), ("b", "9", "2024-01-01 00:00")])
     master = spark.createDataFrame([("1",)], "station string")
