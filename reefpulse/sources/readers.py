@@ -5,8 +5,9 @@ from __future__ import annotations
 import csv
 import os
 import re
+import stat
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from urllib.parse import unquote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -73,17 +74,196 @@ HEADERS = "_headers"
 _HEADER_SCHEMA = "file string, length long, modified timestamp, header string"
 
 
+# Files of a folder that Spark's own scan may list, which takes the driver some kilobytes for each. Beyond, on local or
+# mounted storage, tasks list and read them.
+MOST_LISTED = 10_000
+
+# Bytes of a file that one task reads at a time, beside other pieces of it.
+PIECE = 32 << 20
+
+# Names of files that Spark's readers unpack.
+_PACKED = r"(?i)\.(gz|gzip|bz2|deflate|snappy|lz4|zst|zstd)$"
+
+
+def _tree(spark: SparkSession, path: str) -> str | None:
+    """The folder's plain name, if ``path`` is a local or mounted folder."""
+    root = mounted(spark, path)
+    return os.path.normpath(root) if root and os.path.isdir(root) else None
+
+
+def _name() -> Column:
+    """A scanned row's file. Local ones are named with one slash or three, as their folder was given."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+
+
+def _listers(root: str) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ...]:
+    """Two steps that list ``root`` inside tasks: the names in it, and the files at and below each of these, as Spark lists them."""
+    escaped = re.compile(r"(?![A-Za-z0-9_.!~*'():@&=+$,;/-])[\x00-\x9f\s]")
+
+    def seen(name: str) -> bool:
+        hidden = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+        return not hidden or name.startswith(("_metadata", "_common_metadata"))
+
+    def uri(name: str) -> str:
+        """As ``_name``, where letters of any language stand as they are."""
+        return "file:" + escaped.sub(lambda m: quote(m[0], safe=""), name)
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            held: list[str] = []
+            with os.scandir(root) as found:
+                for entry in found:
+                    if seen(entry.name):
+                        held.append(entry.name)
+                        if len(held) == 5_000:
+                            yield pa.RecordBatch.from_pydict({"name": pa.array(held, pa.string())})
+                            held = []
+            if held:
+                yield pa.RecordBatch.from_pydict({"name": pa.array(held, pa.string())})
+
+    def batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        columns = zip(*rows)
+        return pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip((("file", pa.string()), ("length", pa.int64()), ("modified", pa.int64())), columns)})
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            rows: list[tuple[str, int, int]] = []
+            todo = [f"{root}/{name}" for name in given.column(0).to_pylist()]
+            while todo:
+                at = todo.pop()
+                try:
+                    about = os.stat(at)
+                    inside = os.listdir(at) if stat.S_ISDIR(about.st_mode) else None
+                except FileNotFoundError:
+                    continue
+                if inside is not None:
+                    todo += [f"{at}/{name}" for name in inside if seen(name)]
+                elif about.st_size:
+                    rows.append((uri(at), about.st_size, about.st_mtime_ns // 1_000_000))
+                if len(rows) == 5_000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    return names, files
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and time of every file under ``path``; no content is read."""
+    """Path, length and time of every file under ``path`` that is not empty; no content is read.
+
+    A local or mounted folder is listed by tasks: one streams the names in it, which are dealt out to look below them.
+    """
+    root = _tree(spark, path)
+    if root:
+        names, files = _listers(root)
+        dealt = spark.range(0, 1, 1, 1).mapInArrow(names, "name string").repartition(_tasks(spark), "name")
+        listed = dealt.mapInArrow(files, "file string, length long, modified long")
+        return listed.select("file", "length", F.timestamp_millis("modified").alias("modified"))
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     about = F.col("_metadata")
-    return listed.select(about["file_path"].alias("file"), about["file_size"].alias("length"), about["file_modification_time"].alias("modified"))
+    return listed.select(_name().alias("file"), about["file_size"].alias("length"), about["file_modification_time"].alias("modified"))
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _line_reader() -> Callable[[str, int, int], Iterator[list[bytes]]]:
+    """Reads lists of lines: those that begin in the bytes from ``start`` to ``end`` of a file, as Spark's readers cut lines.
+
+    Pieces meet at line feeds. A byte order mark is left out. Little is held at once, whatever the file's size.
+    """
+    step = 1 << 20
+
+    def lines(file: str, start: int, end: int) -> Iterator[list[bytes]]:
+        with open(unquote(file.removeprefix("file:"), errors="strict"), "rb") as f:
+            if start:
+                f.seek(start - 1)
+                while (skipped := f.readline(step)) and not skipped.endswith(b"\n"):
+                    pass
+            elif f.read(3) != b"\xef\xbb\xbf":
+                f.seek(0)
+            at, rest = f.tell(), b""
+            more = at < end
+            while more:
+                chunk = f.read(min(step, end - at)) if at < end else f.readline(step)
+                at += len(chunk)
+                more = bool(chunk) and not (at >= end and chunk.endswith(b"\n"))
+                chunk = rest + chunk
+                # A carriage return at the very end may be half of a line's end.
+                cut = max(chunk.rfind(b"\n"), chunk.rfind(b"\r", 0, len(chunk) - 1)) + 1 if more else len(chunk)
+                rest = chunk[cut:]
+                yield chunk[:cut].splitlines()
+
+    return lines
+
+
+def _heads(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first line of each file that holds all ``names``; a file is read no further than that."""
+    lines = _line_reader()
+
+    def head(file: str) -> str | None:
+        for some in lines(file, 0, 2**63 - 1):
+            for line in some:
+                text = line.decode("utf-8", "replace")
+                if all(name in text for name in names):
+                    return text
+        return None
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(file, text) for file in batch.column(0).to_pylist() if (text := head(file)) is not None]
+            yield pa.RecordBatch.from_pydict({"file": pa.array([f for f, _ in found], pa.string()), "header": pa.array([h for _, h in found], pa.string())})
+
+    return heads
+
+
+def _lines_of(headers: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of pieces of files without their header, each with the header's place in ``headers``.
+
+    If there is but one, each file must begin with it, as in ``read_text_columns``.
+    """
+    lines, one, blank = _line_reader(), len(headers) < 2, bytes(range(33))
+    places = {h: k for k, h in enumerate(headers)}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, size = [], [], 0
+        for batch in batches:
+            for file, start, end, header in zip(*[c.to_pylist() for c in batch.columns]):
+                top = one and start == 0
+                for some in lines(file, start, end):
+                    if one:
+                        kept = [line for line in some if line.strip(blank)]
+                        if top and kept:
+                            if kept.pop(0).decode("utf-8", "replace") != header:
+                                raise ValueError(f"{file} begins with another header than the other files")
+                            top = False
+                    else:
+                        kept = [line for line in some if line and line.decode("utf-8", "replace") != header]
+                    held += kept
+                    of += [places[header]] * len(kept)
+                    size += sum(map(len, kept))
+                    if len(held) >= 10_000 or size >= 4 << 20:
+                        yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.binary()), "h": pa.array(of, pa.int32())})
+                        held, of, size = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.binary()), "h": pa.array(of, pa.int32())})
+
+    return read
 
 
 def _found_headers(spark: SparkSession, path: str, names: Iterable[str]) -> DataFrame:
-    """file and header, the first line of each file that holds all ``names``, by one narrow scan of the text."""
+    """file and header, the first line of each file that holds all ``names``: by one narrow scan of the text, or, of a folder
+    of too many files to list, by tasks that open each file."""
+    names = list(names)
+    if _tree(spark, path):
+        files = _files(spark, path).select("file")
+        n, packed = files.agg(F.count(F.lit(1)), F.max(F.rlike("file", F.lit(_PACKED)))).first()
+        if n > MOST_LISTED and not packed:
+            return files.repartition(_tasks(spark), "file").mapInArrow(_heads(names), "file string, header string")
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+        "value", _name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
     )
     for name in names:
         lines = lines.filter(F.contains("value", F.lit(name)))
@@ -133,20 +313,36 @@ def read_mixed_columns(spark: SparkSession, path: str, names: Iterable[str], na:
     headers are known without reading any text; else they are found by a narrow scan ahead. A folder
     of one header is then one CSV scan. Otherwise the text is scanned once, each line meets
     its file's header by an equi-join, and is parsed by that; there are few distinct headers, and columns
-    that one lacks are null. No list of files is gathered.
+    that one lacks are null. No list of files is gathered: a local or mounted folder of more than ``MOST_LISTED`` files is
+    listed by tasks, which read pieces of the files, and so takes the driver no memory for a file.
     """
     headers = _indexed_headers(spark, path)
     headers = _found_headers(spark, path, names) if headers is None else headers
-    distinct = [r.header for r in headers.select("header").distinct().orderBy("header").collect()]
-    if len(distinct) < 2:
+    each = headers.groupBy("header").agg(F.count(F.lit(1)).alias("files"), F.max(F.rlike("file", F.lit(_PACKED))).alias("packed"))
+    found = each.orderBy("header").collect()
+    distinct = [r.header for r in found]
+    many = sum(r.files for r in found) > MOST_LISTED and not any(r.packed for r in found) and _tree(spark, path) is not None
+    if len(distinct) < 2 and not many:
         return read_text_columns(spark, path, na)
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = lines.filter("value <> ''").join(headers, "file").filter("value <> header")
-    fields = [_fields_of(h) for h in distinct]
+    if many:
+        files = _files(spark, path)
+        files = files.join(headers, "file") if len(distinct) > 1 else files.withColumn("header", F.lit(distinct[0]))
+        pieces = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(PIECE).cast("long"))))
+        pieces = pieces.select("file", "start", F.least("length", F.col("start") + PIECE).alias("end"), "header")
+        lines = pieces.repartition(_tasks(spark), "file", "start").mapInArrow(_lines_of(distinct), "value binary, h int")
+        lines, of = lines.withColumn("value", F.col("value").cast("string")), [F.col("h") == k for k in range(len(distinct))]
+    else:
+        lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", _name().alias("file"))
+        lines = lines.filter("value <> ''").join(headers, "file").filter("value <> header")
+        of = [F.col("header") == h for h in distinct]
+    if len(distinct) > 1:
+        fields = [_fields_of(h) for h in distinct]
+    else:
+        fields = [_csv_reader(spark, na).option("enforceSchema", True).csv(spark.sparkContext.parallelize(distinct, 1)).columns]
     options = {"nullValue": na, "mode": "PERMISSIVE"}
     parsed = {
-        f"__h{k}": F.when(F.col("header") == h, F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in f), options))
-        for k, (h, f) in enumerate(zip(distinct, fields))
+        f"__h{k}": F.when(mine, F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in f), options))
+        for k, (mine, f) in enumerate(zip(of, fields))
     }
     rows = lines.withColumns(parsed)
     every = list(dict.fromkeys(n for f in fields for n in f))

@@ -80,6 +80,92 @@ def test_a_line_like_a_header_is_data(spark, tmp_path):
     assert tuples(raw, "station", "lat_nad83", "note") == [("1", "1", f"see {head}, above"), ("2", "1", None), ("3", None, "x")]
 
 
+def test_a_folder_of_many_files_is_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver keeps some kilobytes for each file that a scan of its own lists; of these it lists none."""
+    det = spark.range(30_000).select(
+        F.lit("1").alias("station"), F.format_string("t%05d", F.col("id") % 10_050).alias("transmitter"),
+        F.timestamp_millis(F.col("id") * 1_000).cast("timestamp_ntz").alias("detection_time_ast"), (F.col("id") / 4).alias("lat_nad83"), F.lit(-64.5).alias("long_nad83"),
+    )
+    path = write_per_key(det, str(tmp_path / "out"), fmt="csv")
+    back = readers.read_detections(spark, path)
+    assert not _text_scans(back) and "BinaryFile" not in back._jdf.queryExecution().executedPlan().toString() and not back.inputFiles()
+    every = [F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(det.columns)).cast("decimal(38,0)"))]
+    assert back.agg(*every).first() == det.agg(*every).first()
+
+
+_HEAD = "station,transmitter,detection_time_ast,lat_nad83,long_nad83"
+_ODD = [
+    "1,a,2024-01-01 00:00:00,1,2\r\n\r\n2,a,2024-01-01 00:00:01,NA,2\r\n",
+    '"a, ""b""",a,2024-01-01 00:00:00,,""\n  \n\t\nshort,row\n1,long,2024-01-01 00:00:00,1,2,3,4\n\n"open,a,2024-01-01 00:00:00,1,2\n',
+    "old,mac,2024-01-01 00:00:00,1,2\rold,mac,2024-01-01 00:00:01,1,2\r",
+    "no,end,2024-01-01 00:00:00,1,2",
+    "\u00fc\u4e2d\u2028x\x0by,a,bad,1e3,nan\n",
+    "",
+    "".join(f"{k},many,2024-01-01 00:00:00,{k},{'9' * (k % 40)}\n" for k in range(500)),
+]
+_NAMES = ["a b.csv", "100%.csv", "x+y,z;[q]{r}.csv", "\u00fc\u00a0\u4e2d#?.csv", "sub=1/deep er/it's.csv", "_k=v/\"q\".csv", "many.txt"]
+
+
+def _odd_folder(root, heads):
+    for name, head, text in zip(_NAMES, heads, _ODD):
+        at = root / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        mark = b"\xef\xbb\xbf" if name.startswith("a") else b""
+        at.write_bytes(mark + f"{head}{chr(13) if 'mac' in text else chr(10)}{text}".encode())
+    (root / "latin.csv").write_bytes(f"{heads[0]}\n".encode() + b"S\xe9,a,2024-01-01 00:00:00,1,2\n")
+    for hidden in ("_headers.csv", ".x.csv", "_tmp/x.csv", "late.csv._COPYING_", "empty.csv"):
+        (root / hidden).parent.mkdir(exist_ok=True)
+        (root / hidden).write_text("" if hidden == "empty.csv" else "not, to be read")
+    return str(root)
+
+
+def test_tasks_list_files_as_spark_does(spark, tmp_path, monkeypatch):
+    path = _odd_folder(tmp_path, [_HEAD] * len(_ODD))
+    mine = tuples(readers._files(spark, path + "/../" + tmp_path.name + "/"))
+    monkeypatch.setattr(readers, "mounted", lambda *_: None)
+    assert mine == tuples(readers._files(spark, path)) and len(mine) == 8
+
+
+@pytest.mark.parametrize("manifest", [True, False])
+@pytest.mark.parametrize("mixed", [True, False])
+def test_many_files_read_as_few_do(spark, mixed, manifest, tmp_path, monkeypatch):
+    """Quotes, blanks, line ends, marks, bytes that are no text, names and pieces: both ways give the same rows."""
+    other = "note,transmitter,station,long_nad83,lat_nad83,detection_time_ast"
+    heads = [(other if k % 2 else f"{_HEAD},x y,") if mixed else f"{_HEAD},note,NA,,x y,X Y" for k in range(len(_ODD))]
+    path, names = _odd_folder(tmp_path, heads), _HEAD.split(",")
+    few = readers.read_mixed_columns(spark, path, names)
+    assert _text_scans(few) and few.count() > 500
+    monkeypatch.setattr(readers, "MOST_LISTED", 7)
+    monkeypatch.setattr(readers, "PIECE", 100)
+    if manifest:
+        readers.index_headers(spark, path, names)
+        monkeypatch.setattr(readers, "_found_headers", None)
+    many = readers.read_mixed_columns(spark, path, names)
+    assert not _text_scans(many)
+    wanted = few.columns if mixed else [*names, "note"]
+    assert many.columns == few.columns and tuples(many, *wanted) == tuples(few, *wanted)
+    assert repr(tuples(readers.read_detections(spark, path))) == repr(tuples(readers.typed(few, schemas.DETECTIONS)))
+
+
+def test_many_files_of_which_one_differs_are_not_read_shifted(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        _file(tmp_path, f"{k}.csv", f"{_HEAD}\n1,a,2024-01-01 00:00:00,1,2\n")
+    path = _file(tmp_path, "other.csv", "transmitter,station\na,1\n")
+    monkeypatch.setattr(readers, "MOST_LISTED", 2)
+    with pytest.raises(Exception, match="another header"):
+        readers.read_detections(spark, path).collect()
+
+
+def test_packed_files_are_left_to_spark(spark, tmp_path, monkeypatch):
+    import gzip
+
+    for k in range(3):
+        (tmp_path / f"{k}.csv.gz").write_bytes(gzip.compress(f"{_HEAD}\n{k},a,2024-01-01 00:00:00,1,2\n".encode()))
+    monkeypatch.setattr(readers, "MOST_LISTED", 2)
+    back = readers.read_detections(spark, str(tmp_path))
+    assert _text_scans(back) == 1 and tuples(back, "station") == [("0",), ("1",), ("2",)]
+
+
 def test_own_formats_know_no_time_zone(spark, tmp_path):
     """02:30 does not exist in New York on that day; a wall clock keeps it all the same."""
     path = _file(tmp_path, "a.csv", "station,transmitter,detection_time_ast,lat_nad83,long_nad83\n1,a,2024/03/10 02:30:00,1,2\n1,b,bad,1,2\n")
