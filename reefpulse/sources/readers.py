@@ -296,7 +296,10 @@ def _indexed_headers(spark: SparkSession, path: str) -> DataFrame | None:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    changed = _files(spark, path).join(known, ["file", "length", "modified"], "left_anti")
+    # By an aggregate: a join might send the whole manifest, which is small while it is packed, through the driver.
+    as_is = ["file", "length", "modified"]
+    both = _files(spark, path).withColumn("known", F.lit(False)).unionByName(known.select(*as_is, F.lit(True).alias("known")))
+    changed = both.groupBy(as_is).agg(F.bool_or("known").alias("known")).filter("NOT known")
     return known.select("file", "header") if changed.isEmpty() else None
 
 
@@ -306,6 +309,12 @@ def _fields_of(header: str) -> list[str]:
     return [f"{n}_c{i}" if not n or n in names[:i] else n for i, n in enumerate(names)]
 
 
+def _with_headers(files: DataFrame, headers: DataFrame) -> DataFrame:
+    """file, length and header of the files that have one; as a join, but never by way of the driver."""
+    both = files.select("file", "length").unionByName(headers.select("file", "header"), allowMissingColumns=True)
+    return both.groupBy("file").agg(F.max("length").alias("length"), F.max("header").alias("header")).dropna()
+
+
 def read_mixed_columns(spark: SparkSession, path: str, names: Iterable[str], na: str = "NA") -> DataFrame:
     """As ``read_text_columns`` for a folder whose files differ in columns or their order.
 
@@ -326,7 +335,7 @@ def read_mixed_columns(spark: SparkSession, path: str, names: Iterable[str], na:
         return read_text_columns(spark, path, na)
     if many:
         files = _files(spark, path)
-        files = files.join(headers, "file") if len(distinct) > 1 else files.withColumn("header", F.lit(distinct[0]))
+        files = _with_headers(files, headers) if len(distinct) > 1 else files.withColumn("header", F.lit(distinct[0]))
         pieces = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(PIECE).cast("long"))))
         pieces = pieces.select("file", "start", F.least("length", F.col("start") + PIECE).alias("end"), "header")
         lines = pieces.repartition(_tasks(spark), "file", "start").mapInArrow(_lines_of(distinct), "value binary, h int")

@@ -141,12 +141,23 @@ def test_many_files_read_as_few_do(spark, mixed, manifest, tmp_path, monkeypatch
         readers.index_headers(spark, path, names)
         monkeypatch.setattr(readers, "_found_headers", None)
     many = readers.read_mixed_columns(spark, path, names)
-    assert not _text_scans(many)
+    assert not _text_scans(many) and "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
     wanted = few.columns if mixed else [*names, "note"]
     assert many.columns == few.columns and tuples(many, *wanted) == tuples(few, *wanted)
     assert repr(tuples(readers.read_detections(spark, path))) == repr(tuples(readers.typed(few, schemas.DETECTIONS)))
 
 
+def test_a_manifest_is_compared_without_a_broadcast(spark, tmp_path, monkeypatch):
+    """It is packed well, so that its rows are many times what its size on disk promises."""
+    det = detections(spark, [(t, "1", "2024-01-01 00:00") for t in "abc"])
+    path, plans = write_per_key(det, str(tmp_path / "out"), fmt="csv"), []
+    frame = type(det)
+    empty = frame.isEmpty
+    monkeypatch.setattr(frame, "isEmpty", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or empty(df))
+    assert readers.read_detections(spark, path).count() == 3
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_many_files_of_which_one_differs_are_not_read_shifted(spark, tmp_path, monkeypatch):
     for k in range(3):
         _file(tmp_path, f"{k}.csv", f"{_HEAD}\n1,a,2024-01-01 00:00:00,1,2\n")
